@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from .decontaminate import op5_fm_index
+from .packing import op6_pattern_packing
+from .repeats import op4_seed_extend
 from .simhash import op9_simhash
 
 QUERIES = {
+    "op4_seed_extend": op4_seed_extend,
+    "op5_fm_index": op5_fm_index,
+    "op6_pattern_packing": op6_pattern_packing,
     "op9_simhash": op9_simhash,
 }
 
