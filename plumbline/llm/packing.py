@@ -2,8 +2,8 @@
 
 Documents become token ids; only those longer than a sequence are cut. The
 histogram of piece lengths (at most one bin per length, however many
-documents) is fitted by non-negative least squares over patterns of one to
-four lengths that fill a sequence; repeat counts are rounded to what is there,
+documents) is fitted by non-negative least squares over patterns of two
+to four lengths that fill a sequence; repeat counts are rounded down,
 and the residual is packed best-fit decreasing, still by counts. Pieces then
 take the slots of their length by rank. Only the histogram and the plan pass
 through the driver, and both are bounded by the sequence length.
@@ -96,24 +96,23 @@ def _pieces(batches, path: str, sequence: int):
 
 
 def patterns(present: np.ndarray, sequence: int) -> list[tuple[int, ...]]:
-    """Patterns of one to four present lengths, longest first, that fill a sequence as far as the lengths allow."""
+    """Patterns of two to four present lengths, longest first, that fill a sequence exactly."""
     have = sorted(np.flatnonzero(present).tolist())
 
     def best(room: int) -> int:
         i = bisect_left(have, room + 1)
         return have[i - 1] if i else 0
 
-    found: set[tuple[int, ...]] = {(a,) for a in have}
+    found: set[tuple[int, ...]] = set()
     for a in have:
         room = sequence - a
-        if b := best(room):
-            found.add((a, b))
-        for part in (0.5, 0.62, 0.74, 0.86, 0.94):
-            if (b := best(int(room * part))) and (c := best(room - b)):
-                found.add((a, b, c))
-                if (d := best(int((room - b) * 0.6))) and (e := best(room - b - d)):
-                    found.add((a, b, d, e))
-    return sorted({tuple(sorted(p, reverse=True)) for p in found})
+        found.add((a, best(room)))
+        for part in (0.5, 0.6, 0.7, 0.8, 0.9):
+            if b := best(int(room * part)):
+                found.add((a, b, best(room - b)))
+                if d := best(int((room - b) * 0.6)):
+                    found.add((a, b, d, best(room - b - d)))
+    return sorted({tuple(sorted(p, reverse=True)) for p in found if sum(p) == sequence and 0 not in p})
 
 
 def nonnegative_fit(plans: list[tuple[int, ...]], target: np.ndarray, rounds: int = 600) -> np.ndarray:
@@ -181,24 +180,36 @@ def best_fit_counts(left: np.ndarray, sequence: int) -> dict[tuple[int, ...], in
     return out
 
 
+#: Shares of the fitted repeat counts that are tried; the fewest sequences win.
+SHARES = (1.0, 0.98, 0.9, 0.75, 0.5, 0.25, 0.1)
+
+
+def _with_share(left: np.ndarray, plans: list[tuple[int, ...]], x: np.ndarray, sequence: int) -> dict[tuple[int, ...], int]:
+    """Patterns repeated as often as the fit says, rounded down to what is there; the residual by best fit."""
+    left, out = left.copy(), {}
+    for i in np.argsort(-x, kind="stable").tolist():
+        if x[i] < 1:
+            break
+        need = np.bincount(plans[i])
+        own = np.flatnonzero(need)
+        if n := min(int(x[i]), int((left[own] // need[own]).min())):
+            left[own] -= n * need[own]
+            out[plans[i]] = n
+    for plan, n in best_fit_counts(left, sequence).items():
+        out[plan] = out.get(plan, 0) + n
+    return out
+
+
 def plan_sequences(counts: np.ndarray, sequence: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
     """(pattern, sequences) that hold exactly counts[length] pieces of each length."""
     left = counts.astype(np.int64).copy()
-    out: dict[tuple[int, ...], int] = {(sequence,): int(left[sequence])} if left[sequence] else {}
-    left[sequence] = 0
+    whole, left[sequence] = int(left[sequence]), 0
+    best: dict[tuple[int, ...], int] = {}
     if left.any():
         plans = patterns(left > 0, sequence)
-        x = nonnegative_fit(plans, left.astype(float))
-        full = [i for i, p in enumerate(plans) if sum(p) == sequence]  # what fills no sequence is left to best fit
-        for i in sorted(full, key=lambda i: -x[i]):
-            need = np.bincount(plans[i], minlength=len(left))
-            own = np.flatnonzero(need)
-            if n := min(int(x[i] + 0.5), int((left[own] // need[own]).min())):
-                left[own] -= n * need[own]
-                out[plans[i]] = out.get(plans[i], 0) + n
-        for plan, n in best_fit_counts(left, sequence).items():
-            out[plan] = out.get(plan, 0) + n
-    return list(out.items())
+        x = nonnegative_fit(plans, left.astype(float)) if plans else np.zeros(0)
+        best = min((_with_share(left, plans, x * share, sequence) for share in SHARES), key=lambda out: sum(out.values()))
+    return list(best.items()) + ([((sequence,), whole)] if whole else [])
 
 
 class Slots:
