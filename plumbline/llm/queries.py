@@ -6,11 +6,13 @@ from .decontaminate import op5_fm_index
 from .licenses import op1_license_index
 from .packing import op6_pattern_packing
 from .pii import op7_bootstrapped_pii
+from .quality import op2_divergence
 from .repeats import op4_seed_extend
 from .simhash import op9_simhash
 
 QUERIES = {
     "op1_license_index": op1_license_index,
+    "op2_divergence": op2_divergence,
     "op4_seed_extend": op4_seed_extend,
     "op5_fm_index": op5_fm_index,
     "op6_pattern_packing": op6_pattern_packing,
