@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 from .decontaminate import op5_fm_index
+from .hosts import op3_host_reputation
 from .licenses import op1_license_index
 from .packing import op6_pattern_packing
 from .pii import op7_bootstrapped_pii
 from .quality import op2_divergence
 from .repeats import op4_seed_extend
 from .simhash import op9_simhash
+from .toxicity import op8_weak_supervision
 
 QUERIES = {
     "op1_license_index": op1_license_index,
     "op2_divergence": op2_divergence,
+    "op3_host_reputation": op3_host_reputation,
     "op4_seed_extend": op4_seed_extend,
     "op5_fm_index": op5_fm_index,
     "op6_pattern_packing": op6_pattern_packing,
     "op7_bootstrapped_pii": op7_bootstrapped_pii,
+    "op8_weak_supervision": op8_weak_supervision,
     "op9_simhash": op9_simhash,
 }
 
