@@ -11,10 +11,12 @@ Occurrences merge into the spans to remove.
 
 from __future__ import annotations
 
+import re
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -250,6 +252,41 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
     return out.drop("__text")
 
 
+_BYTES_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+
+def cut_spans(data: bytes, spans: list[dict]) -> bytes:
+    """The text without its spans of words, from a span's first word to its last."""
+    places = [m.span() for m in _BYTES_WORD.finditer(data)]
+    out, at = [], 0
+    for s in spans:
+        out.append(data[at : places[s["start"]][0]])
+        at = places[s["end"] - 1][1]
+    return b"".join([*out, data[at:]])
+
+
+def _cut(batches, at: int):
+    """Replace column ``at``; the last is the spans."""
+    for b in batches:
+        spans = b.column(b.num_columns - 1).to_pylist()
+        if any(spans):
+            texts = [cut_spans(x, s).decode() if s else None for x, s in zip(utf8(b.column(at)), spans, strict=True)]
+            new = pc.if_else(pa.array([bool(s) for s in spans]), pa.array(texts, pa.string()), b.column(at))
+            b = pa.RecordBatch.from_arrays([*b.columns[:at], new, *b.columns[at + 1 :]], names=b.schema.names)
+        yield b.select(b.schema.names[:-1])
+
+
+def remove_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """Cut every occurrence of the benchmark's windows out of the texts; all rows and all other columns stay."""
+    found = find_benchmark(docs.withColumn(text, F.col(f"`{text}`").cast("string")), benchmark, text, item_id, item_text, window)
+    clashes = [c for c in docs.columns if c.lower() in ("n_words", "hit_spans", "hit_items")]
+    if clashes:
+        raise ValueError(f"rename the columns {clashes} first")
+    found = found.drop("n_words", "hit_items")
+    at = found.columns.index(text)
+    return map_texts(found, lambda it: _cut(it, at), T.StructType([T.StructField(f.name, f.dataType) for f in found.schema.fields[:-1]]))
+
+
 def hit_words(spans: str | Column = "hit_spans") -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + (x["end"] - x["start"]))
 

@@ -169,44 +169,71 @@ def _score(batches, held):
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score)], names=[*b.schema.names[:-1], "toxicity"])
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = MOST_ROWS) -> DataFrame:
-    """Add ``toxicity`` (0 to 1) to every row; the text is not returned.
+def _with_text_last(docs: DataFrame, text: str, *replaced: str) -> DataFrame:
+    base = without(docs, *replaced, "__text").withColumn("__text", F.col(f"`{text}`").cast("string"))
+    return base.select(*[F.col(f"`{c}`") for c in base.columns if c not in (text, "__text")], "__text")
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = MOST_ROWS) -> tuple[Voters, np.ndarray, DataFrame]:
+    """The voters, the linear weights, and every row with its features and votes but without its text.
 
     Learns from labelled rows that are not held out: of ids with several
     labels the greatest counts, null labels and null ids count not at all.
-    Scores depend on texts alone. Null texts count as empty. Without labels
-    the fixed lexicons alone decide. An input column ``toxicity`` is replaced.
+    Votes and their patterns are counted over all documents. Without labels
+    the fixed lexicons alone decide.
     """
-    spark = docs.sparkSession
+    sc = docs.sparkSession.sparkContext
     ids = F.col(f"`{doc_id}`")
     train = labels.where(ids.isNotNull() & F.col(label).isNotNull() & ~held_out(ids)).groupBy(ids.alias("__id")).agg(F.max(F.col(label).cast("int")).alias("label"))
-    order = F.xxhash64(F.col("__id").cast("string"))
-    train = stored(train.orderBy(order, "__id").limit(most_rows), "labelled")
+    train = stored(train.orderBy(F.xxhash64(F.col("__id").cast("string")), "__id").limit(most_rows), "labelled")
     own = docs.select(ids.alias("__id"), F.col(f"`{text}`").cast("string").alias("text"))
-    induced, share = _induced(own.join(F.broadcast(train), "__id"))
+    induced, share = _induced(own.join(F.broadcast(train), "__id"))  # the sample's rows are bounded
     voters = Voters(induced)
-    sc = spark.sparkContext
     held = sc.broadcast(voters)
-    base = without(docs, "toxicity", "__text").withColumn("__text", F.col(f"`{text}`").cast("string"))
-    base = base.select(*[F.col(f"`{c}`") for c in base.columns if c not in (text, "__text")], "__text")
-    schema = base.drop("__text").schema
-    voted = stored(map_texts(base, lambda it: _vote(it, held), T.StructType([*schema.fields, T.StructField("__features", T.ArrayType(T.IntegerType())), T.StructField("__votes", T.IntegerType())])), "votes")
+    base = _with_text_last(docs, text, "toxicity")
+    schema = T.StructType([*base.schema.fields[:-1], T.StructField("__features", T.ArrayType(T.IntegerType())), T.StructField("__votes", T.IntegerType())])
+    voted = stored(map_texts(base, lambda it: _vote(it, held), schema), "votes")
     fitted = voted.join(F.broadcast(train), voted[doc_id] == train["__id"]).select("__features", "__votes", "label")
     patterns = voted.groupBy("__votes").agg(F.count("*").alias("n")).toPandas()  # at most 2 ** voters rows
-    rows = fitted.collect()  # at most most_rows, up to rows that share an id
-    if len(patterns) and rows:
-        at = {v: i for i, v in enumerate(patterns["__votes"])}
-        gold = np.zeros((len(patterns), 2))
-        for r in rows:
-            gold[at[r["__votes"]], r["label"]] += 1
-        votes = (patterns["__votes"].to_numpy()[:, None] >> np.arange(len(voters.names))) & 1
-        post = label_model(votes.astype(float), patterns["n"].to_numpy(float), gold, share)
-        target = np.array([post[at[r["__votes"]]] for r in rows])
-        weights = linear_fit([r["__features"] for r in rows], target, len(voters.features))
-    else:
-        weights = np.append(np.full(len(voters.features), 3.0), -2.0)
-    w = sc.broadcast(weights)
-    return map_texts(voted.drop("__votes"), lambda it: _score(it, w), T.StructType([*schema.fields, T.StructField("toxicity", T.DoubleType())]))
+    rows = fitted.collect()  # at most most_rows, but for rows that share an id
+    if not rows:
+        return voters, np.append(np.full(len(voters.features), 3.0), -2.0), voted
+    at = {v: i for i, v in enumerate(patterns["__votes"])}
+    gold = np.zeros((len(patterns), 2))
+    for r in rows:
+        gold[at[r["__votes"]], r["label"]] += 1
+    votes = (patterns["__votes"].to_numpy()[:, None] >> np.arange(len(voters.names))) & 1
+    post = label_model(votes.astype(float), patterns["n"].to_numpy(float), gold, share)
+    target = np.array([post[at[r["__votes"]]] for r in rows])
+    return voters, linear_fit([r["__features"] for r in rows], target, len(voters.features)), voted
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = MOST_ROWS) -> DataFrame:
+    """Add ``toxicity`` (0 to 1) to every row; the text is not returned.
+
+    Scores depend on texts alone; null texts count as empty. An input column
+    ``toxicity`` is replaced. See `fit_toxicity` for what is learned from.
+    """
+    _, weights, voted = fit_toxicity(docs, labels, doc_id, text, label, most_rows)
+    held = docs.sparkSession.sparkContext.broadcast(weights)
+    voted = voted.drop("__votes")
+    schema = T.StructType([*voted.schema.fields[:-1], T.StructField("toxicity", T.DoubleType())])
+    return map_texts(voted, lambda it: _score(it, held), schema)
+
+
+def _clean(batches, at: int, held, limit: float):
+    voters, w = held.value
+    for b in batches:
+        z = np.array([w[-1] + w[voters.of(x.decode())[0]].sum() for x in utf8(b.column(at))])
+        yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) < limit))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", limit: float = 0.5) -> DataFrame:
+    """The rows whose score is under ``limit``, unchanged."""
+    voters, weights, _ = fit_toxicity(docs, labels, doc_id, text, label)
+    held = docs.sparkSession.sparkContext.broadcast((voters, weights))
+    at = docs.columns.index(text)
+    return map_texts(docs, lambda it: _clean(it, at, held, limit), docs.schema)
 
 
 def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
