@@ -7,6 +7,7 @@ re-read and not a recomputation of every earlier pass.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,3 +30,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished jobs now, and not when the driver next collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
