@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .backoff import op10_stupid_backoff
 from .decontaminate import op5_fm_index
 from .hosts import op3_host_reputation
 from .licenses import op1_license_index
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_bootstrapped_pii": op7_bootstrapped_pii,
     "op8_weak_supervision": op8_weak_supervision,
     "op9_simhash": op9_simhash,
+    "op10_stupid_backoff": op10_stupid_backoff,
 }
 
 ORACLE_SQL: dict[str, str] = {}
