@@ -11,9 +11,11 @@ through the driver, and both are bounded by the sequence length.
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -28,28 +30,43 @@ SEQUENCE, END_ID = 1024, 2
 #: Pieces that one rank group should hold; the number of groups per length grows with the pieces.
 RANK_ROWS, LEAST_SALTS = 200_000, 64
 #: Token units whose ids a worker keeps.
-MEMO_UNITS = 500_000
+MEMO_UNITS = 1_200_000
 _BREAK, _LOOSE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s | \s|^ | $")
 _SPECIAL = re.compile(r"<\|endoftext\|>")
+#: Units of these code points are the same to both libraries' splitting expressions.
+_LATIN = re.compile("[\x00-\u024f]*")
 
 
 class Encoder:
     """Ids of whole texts as little-endian 32-bit words, with a memo of units.
 
     A byte-level BPE never merges across a single space between two
-    non-spaces, so a text's ids are those of its space-led units in order. The
-    tokenizer itself encodes every unit once, and whole any text with its
-    special token.
+    non-spaces, so a text's ids are those of its space-led units in order.
+    Every unit is encoded once: by the tokenizer, or, for Latin units and if
+    the same vocabulary is given as ranks, by the faster library that reads
+    ranks. Texts with the special token go whole through the tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.tokenizer, self.memo, self.fast = Tokenizer.from_file(path), {}, None
+        if ranks:
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks, "rb") as f:
+                pairs = (line.split() for line in f)
+                self.fast = tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={}).encode_ordinary
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.fast is None:
+            return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out = [array("I", self.fast(t)).tobytes() if _LATIN.fullmatch(t) and not _SPECIAL.search(t) else None for t in texts]
+        for i in [i for i, x in enumerate(out) if x is None]:
+            out[i] = array("I", self.tokenizer.encode(texts[i], add_special_tokens=False).ids).tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         units = []
@@ -69,13 +86,13 @@ class Encoder:
         return [b"".join(map(memo, us)) if us else self._ids([t])[0] if t else b"" for t, us in zip(texts, units, strict=True)]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple, Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def _encoder(*paths: str | None) -> Encoder:
+    if paths not in _ENCODERS:
+        _ENCODERS[paths] = Encoder(*paths)
+    return _ENCODERS[paths]
 
 
 def cuts(length: int, sequence: int = SEQUENCE) -> list[tuple[int, int]]:
@@ -84,12 +101,12 @@ def cuts(length: int, sequence: int = SEQUENCE) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, sequence) for s in range(first, length, sequence)]
 
 
-def _pieces(batches, path: str, sequence: int):
+def _pieces(batches, paths: tuple[str, str | None], sequence: int):
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     end = np.array([END_ID], "<u4").tobytes()
     for b in batches:
         rows = []
-        for doc, ids in zip(b.column(0).to_pylist(), _encoder(path).encode([x.decode() for x in utf8(b.column(1))]), strict=True):
+        for doc, ids in zip(b.column(0).to_pylist(), _encoder(*paths).encode([x.decode() for x in utf8(b.column(1))]), strict=True):
             ids = memoryview(ids + end)
             rows += [(doc, i, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for i, (s, n) in enumerate(cuts(len(ids) // 4, sequence))]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()], strict=True)], names=names)
@@ -243,7 +260,7 @@ def _place(batches, held, salts: int):
         yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset)], names=[*b.schema.names[:5], "sequence_id", "offset"])
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", sequence: int = SEQUENCE) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None, doc_id: str = "doc_id", text: str = "text", sequence: int = SEQUENCE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every piece of every row and its place.
 
     A row's ids are the tokenizer's and then id 2; null and empty texts have
@@ -253,9 +270,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id",
     if tokenizer is None:
         import public_tokenizers
 
-        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+        tokenizer, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
     base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    pieces = stored(map_texts(base, lambda it: _pieces(it, tokenizer, sequence), "doc_id long, piece int, start long, length int, ids_crc32 long"), "pieces")
+    pieces = stored(map_texts(base, lambda it: _pieces(it, (tokenizer, ranks), sequence), "doc_id long, piece int, start long, length int, ids_crc32 long"), "pieces")
     salts = max(LEAST_SALTS, pieces.count() // RANK_ROWS)
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     before, counts = np.zeros((sequence + 1) * salts, np.int64), np.zeros(sequence + 1, np.int64)
