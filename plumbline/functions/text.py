@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .kernels import let
+
 #: Arabic-Indic and extended (Persian) digits, and their ASCII digits.
 EASTERN_DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹"
 ASCII_DIGITS = "01234567890123456789"
@@ -92,7 +94,7 @@ def box_stats(heights: Column) -> dict[str, Column]:
     n = F.size(heights).cast("double")
     ordered = F.array_sort(heights)
     mean = F.aggregate(heights, F.lit(0.0), lambda a, x: a + x) / n
-    var = F.aggregate(heights, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
+    var = let(mean, lambda m: F.aggregate(heights, F.lit(0.0), lambda a, x: a + (x - m) * (x - m))) / n
     half = F.size(heights)
     median = (F.get(ordered, F.floor((half - 1) / 2).cast("int")) + F.get(ordered, F.floor(half / 2).cast("int"))) / 2
     few = F.size(heights) < 4
