@@ -168,7 +168,7 @@ def _named(spans: str) -> Column:
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Replace every span by its kind in brackets; overlapping spans become one. Null texts stay null."""
     found = find_pii(docs, doc_id, text).where(F.size("spans") > 0).dropDuplicates(["doc_id", "print"])
-    found = found.select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"), "spans")
+    found = found.select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"), F.col("spans").alias("__spans"))
     t = F.col(f"`{text}`").cast("string")
     keyed = docs.withColumn("__own", F.xxhash64(F.coalesce(t, F.lit("")), F.length(F.coalesce(t, F.lit("")))))
     joined = keyed.join(found, keyed[doc_id].eqNullSafe(found["__id"]) & (keyed["__own"] == found["__print"]), "left")
@@ -181,8 +181,8 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         inside = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["parts"].alias("parts"))
         return F.when(s["start"] >= acc["at"], later).otherwise(inside)
 
-    cut = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(t, acc["at"] + 1, F.length(t))))
-    return joined.withColumn(text, F.when(F.col("spans").isNotNull(), cut).otherwise(t)).select(*[f"`{c}`" for c in docs.columns])
+    cut = F.aggregate("__spans", start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(t, acc["at"] + 1, F.length(t))))
+    return joined.withColumn(text, F.when(F.col("__spans").isNotNull(), cut).otherwise(t)).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op7_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
