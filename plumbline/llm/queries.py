@@ -6,6 +6,7 @@ from .backoff import op10_stupid_backoff
 from .decontaminate import op5_fm_index
 from .hosts import op3_host_reputation
 from .licenses import op1_license_index
+from .oracle import OP4, OP5
 from .packing import op6_pattern_packing
 from .pii import op7_bootstrapped_pii
 from .quality import op2_divergence
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_stupid_backoff": op10_stupid_backoff,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_seed_extend": OP4, "op5_fm_index": OP5}
