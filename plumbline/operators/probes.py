@@ -82,9 +82,9 @@ def cosine(a: Column, b: Column) -> Column:
 def loo_neighbours(df: DataFrame, id_: str, vector: str, label: str, k: int = 3, queries: DataFrame | None = None) -> DataFrame:
     """(id, label, vote, correct): majority label (ties to the smaller) of the k nearest others by cosine distance.
 
-    A stated query set is compared with all rows, in blocks of the query side;
-    the running k best per query are kept by partial aggregation, so no task
-    holds all distances.
+    A stated query set is compared with all rows; without one every row is a
+    query, which is for small tables. The rank limit lets Spark keep the k
+    best per query and task before the shuffle.
     """
     q = (queries if queries is not None else df).select(F.col(id_).alias("q"), F.col(label).alias("ql"), F.col(vector).alias("qv"))
     r = df.select(F.col(id_).alias("r"), F.col(label).alias("rl"), F.col(vector).alias("rv"))
