@@ -1,212 +1,181 @@
-"""Stupid-backoff language-model scores by joins.
+"""Stupid-backoff language-model scores by joins of packed n-grams.
 
 The model's n-grams (orders 1 to 3) are those that occur at least twice in the
 corpus. S(w | u v) = c(uvw) / c(uv) if uvw is in the model, else 0.4 S(w | v),
-and so on down to c(w) / N, with c = 1 for words that occur once. Count tables
-are keyed and partitioned by the n-grams' 64-bit hashes; a document's n-grams
-are exploded, joined to them, and their logarithms summed per document.
-
-Before each shuffle n-grams that cannot be in the model are left out by a
-Bloom filter, and those of the most frequent ones, a fixed number, are looked
-up in a broadcast table; all others are joined, so both save rows and neither
-changes a result.
+and so on down to c(w) / N, with c = 1 for words that occur once.
+
+Documents are gathered into chunks of about a million words, kept as word
+numbers beside the hashes of the chunk's words. A chunk's distinct n-grams are
+exploded by the high bits of their 64-bit hashes into parts, one row a chunk
+and part that holds sorted hashes as packed differences. Each part's rows make
+its count table and are joined to it there; what goes back to the chunk is one
+packed count for each n-gram asked for. Logarithms are summed per document.
+
+An n-gram is sent once a chunk however often it occurs, parts are cut by hash,
+and their number grows with the corpus: no frequent n-gram, long document or
+group of copies makes a part larger than others. Rows number chunks times
+parts, so packing gains less the more parts there are, but there are never
+more rows than n-grams.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import starmap
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import release, stored
 from .common import map_texts, table, utf8
-from .repeats import SeedFilter, _Hashes, _mix, _seed_filter
+from .repeats import _mix
 
 BACKOFF = 0.4
-#: Most frequent n-grams of each order 1 and 2 that every task holds.
-HOT = {1: 1 << 17, 2: 1 << 20}
-_FLUSH = 3_000_000
+#: Words of a chunk (a longer document is a chunk alone), n-grams of a part, and the least number of parts as a power of two.
+CHUNK_WORDS, PART_GRAMS, LEAST_PART_BITS = 1 << 20, 1 << 20, 9
+#: Chunks or packed rows of one Arrow batch.
+_BATCH = 8
 _M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_CHUNK = "chunk long, words long, docs array<long>, lengths array<int>, vocabulary binary, numbers binary"
 
 
-def grams(data: bytes, memo: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the 1-, 2- and 3-grams that start at each word, words lower-cased (A-Z) and split at white space."""
-    words = data.lower().split()
-    with np.errstate(over="ignore"):
-        one = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-        two = _mix(one[:-1] * _M[0] + one[1:], 0xD6E8FEB86659FD93)
-        three = _mix(two[:-1] * _M[1] + one[2:], 0xFF51AFD7ED558CCD)
-    return one, two, three
+def packed(x: np.ndarray) -> bytes:
+    """64-bit unsigned numbers as planes of bytes, as many as the largest number needs."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
-def _flushed(kinds: list[list[np.ndarray]], names: list[str]):
-    """Distinct rows of hash columns with their counts."""
-    cols = [np.concatenate(c) for c in kinds]
-    _, at, times = np.unique(cols[0], return_index=True, return_counts=True)
-    return pa.RecordBatch.from_arrays([*(pa.array(c[at].view(np.int64)) for c in cols), pa.array(times.astype(np.int64))], names=names)
+def unpacked(data: bytes) -> np.ndarray:
+    width = data[0]
+    out = np.zeros(((len(data) - 1) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1).T
+    return out.view("<u8").ravel()
 
 
-def _count_pairs(batches):
-    memo, held, size = _Hashes(), [], 0
-    for b in batches:
-        for data in utf8(b.column(b.num_columns - 1)):
-            _, two, _ = grams(data, memo)
-            held.append(two)
-            size += len(two)
-        if size > _FLUSH:
-            yield _flushed([held], ["anchor", "times"])
-            held, size = [], 0
-    if held:
-        yield _flushed([held], ["anchor", "times"])
-
-
-def _count_kept(batches, pairs):
-    """(gram, context, times) of all words, and of pairs and triples whose pairs may be in the model; a word's context is 0."""
-    memo, kept = _Hashes(), pairs.value
-    held: list[list[np.ndarray]] = [[], []]
-    size = 0
-    for b in batches:
-        for data in utf8(b.column(b.num_columns - 1)):
-            one, two, three = grams(data, memo)
-            may = kept.holds(two)
-            both = may[:-1] & may[1:]
-            for g, c in ((one, np.zeros(len(one), np.uint64)), (two[may], one[:-1][may]), (three[both], two[:-1][both])):
-                held[0].append(g)
-                held[1].append(c)
-                size += len(g)
-        if size > _FLUSH:
-            yield _flushed(held, ["gram", "context", "times"])
-            held, size = [[], []], 0
-    if held[0]:
-        yield _flushed(held, ["gram", "context", "times"])
-
-
-class Hot:
-    """Values of the most frequent n-grams by sorted hash."""
-
-    def __init__(self, rows):
-        pairs = np.array(sorted((r["gram"] % (1 << 64), r["value"]) for r in rows), dtype=[("k", "u8"), ("v", "f8")])
-        self.keys, self.values = pairs["k"].copy(), pairs["v"].copy()
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.keys):
-            return np.zeros(len(keys), bool), np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return self.keys[at] == keys, self.values[at]
-
-
-def _explode(batches, tools):
-    """(doc, words, sum, g3, g2, g1, times): one row a document of what is known here, and one for each gram to join."""
-    pairs, triples, hot1, hot2 = tools.value
-    memo, penalty = _Hashes(), math.log(BACKOFF)
-    names = ["doc", "words", "sum", "g3", "g2", "g1", "times"]
-    types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+class _Numbers(dict):
+    """Words by order of appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _chunks(batches, chunk_words: int):
+    """Rows of _CHUNK: words lower-cased (A-Z) and split at white space."""
+    types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+    names = ["chunk", "words", "docs", "lengths", "vocabulary", "numbers"]
+    docs, lengths, numbers, known, size = [], [], [], _Numbers(), 0
+
+    def out():
+        vocabulary = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in known), np.uint64, len(known)).tobytes()
+        row = [uuid.uuid4().int >> 65, sum(lengths), docs, lengths, vocabulary, packed(np.concatenate(numbers).astype(np.uint64))]
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=names)
+
     for b in batches:
-        parts = []
         for doc, data in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
-            one, two, three = grams(data, memo)
-            n = len(one)
-            g2, g3 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)  # grams that end at each word
-            g2[1:], g3[2:] = two, three
-            order = np.minimum(np.arange(n) + 1, 3)
-            may2 = (order >= 2) & pairs.holds(g2)
-            may3 = (order == 3) & triples.holds(g3)
-            known2, value2 = hot2.find(g2)
-            known1, value1 = hot1.find(one)
-            by2 = may2 & ~may3
-            by1 = ~may2 & ~may3
-            done2, done1 = by2 & known2, by1 & known1
-            total = value2[done2].sum() + penalty * (order[done2] - 2).sum() + value1[done1].sum() + penalty * (order[done1] - 1).sum()
-            open3, open2, open1 = may3, by2 & ~known2, by1 & ~known1
-            total += penalty * ((order[open2] - 2).sum() + (order[open1] - 1).sum())
-            zero = np.zeros(n, np.uint64)
-            rows = np.concatenate([np.stack([a[m], c[m], one[m]]) for a, c, m in ((g3, g2, open3), (zero, g2, open2), (zero, zero, open1))], axis=1)
-            parts.append(([doc], [n], [total], [0], [0], [0], [0]))
-            if rows.shape[1]:
-                # the lowest-order key is the same within equal higher ones
-                key = np.where(rows[0] > 0, rows[0], np.where(rows[1] > 0, rows[1], rows[2]))
-                _, at, times = np.unique(key, return_index=True, return_counts=True)
-                k = len(at)
-                parts.append(([doc] * k, np.zeros(k, np.int64), np.zeros(k), *(rows[i][at].view(np.int64) for i in range(3)), times))
-        if parts:
-            cols = starmap(lambda i, t: pa.array(np.concatenate([np.asarray(p[i]) for p in parts]) if i else [x for p in parts for x in p[0]], t), enumerate(types))
-            yield pa.RecordBatch.from_arrays(list(cols), names=names)
-
-
-def _filter_of(grams_: DataFrame) -> SeedFilter:
-    return _seed_filter(grams_.select(F.col("gram").alias("anchor")))
-
-
-def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+            words = data.lower().split()
+            docs.append(doc)
+            lengths.append(len(words))
+            numbers.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
+            size += len(words) + 1
+            if size >= chunk_words:
+                yield out()
+                docs, lengths, numbers, known, size = [], [], [], _Numbers(), 0
+    if docs:
+        yield out()
+
+
+def grams(vocabulary: bytes, numbers: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a chunk's 1-, 2- and 3-grams, one order after the other, and each word's place in its document.
+
+    Pairs and triples are those that end at a word, in the words' order; words at places 0 have no pair, at 0 and 1 no triple.
+    """
+    one = np.frombuffer(vocabulary, np.uint64)[unpacked(numbers).astype(np.int64)]
+    at = np.arange(len(one)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    two, three = np.zeros_like(one), np.zeros_like(one)
+    with np.errstate(over="ignore"):
+        two[1:] = _mix(one[:-1] * _M[0] + one[1:], 0xD6E8FEB86659FD93)
+        three[1:] = _mix(two[:-1] * _M[1] + one[1:], 0xFF51AFD7ED558CCD)
+    return np.concatenate([one, two[at >= 1], three[at >= 2]]), at
+
+
+def _lengths(column, i: int) -> np.ndarray:
+    return np.array(column[i].as_py(), np.int64)
+
+
+def _requests(batches, bits: int):
+    """(chunk, part, grams, times): a chunk's distinct n-grams and how often it holds them."""
+    shift = np.uint64(64 - bits)
+    for b in batches:
+        for i in range(b.num_rows):
+            got, _ = grams(b["vocabulary"][i].as_py(), b["numbers"][i].as_py(), _lengths(b["lengths"], i))
+            keys, times = np.unique(got, return_counts=True)
+            parts, starts = np.unique(keys >> shift, return_index=True)
+            ends = [*starts[1:].tolist(), len(keys)]
+            spans = list(zip(parts.tolist(), starts.tolist(), ends, strict=True))
+            for j in range(0, len(spans), 256):
+                rows = [(p, packed(np.diff(keys[s:e], prepend=np.uint64(p << int(shift)))), packed(times[s:e])) for p, s, e in spans[j : j + 256]]
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([b["chunk"][i].as_py()] * len(rows), pa.int64()), *cols], names=["chunk", "part", "grams", "times"])
+
+
+def _answers(rows: pa.Table, bits: int) -> pa.Table:
+    """(chunk, part, counts) of one part: its count table, joined to the rows that it was made from."""
+    floor = np.uint64(rows["part"][0].as_py() << (64 - bits))
+    each = [np.cumsum(unpacked(x.as_py()), dtype=np.uint64) + floor for x in rows["grams"]]
+    keys, times = np.concatenate(each), np.concatenate([unpacked(x.as_py()) for x in rows["times"]])
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    counts = np.empty(len(keys), np.uint64)
+    counts[order] = np.repeat(np.add.reduceat(times[order], first), np.diff(first, append=len(keys)))
+    back = [packed(c) for c in np.split(counts, np.cumsum([len(x) for x in each])[:-1])]
+    return pa.table({"chunk": rows["chunk"], "part": rows["part"], "counts": pa.array(back, pa.binary())})
+
+
+def _scores(chunk: pa.Table, answers: pa.Table, total: int) -> pa.Table:
+    """(doc, words, sum) of one chunk's documents."""
+    lengths = _lengths(chunk["lengths"], 0)
+    got, at = grams(chunk["vocabulary"][0].as_py(), chunk["numbers"][0].as_py(), lengths)
+    _, place = np.unique(got, return_inverse=True)
+    in_order = np.argsort(answers["part"].to_numpy())
+    counts = np.concatenate([np.zeros(0, np.uint64), *(unpacked(answers["counts"][int(i)].as_py()) for i in in_order)])[place]
+    n, n2 = len(at), int((at >= 1).sum())
+    logs = np.zeros((3, n))  # of words, pairs and triples that end at each word; 0 where not in the model
+    for row, mask, c in zip(logs, (at >= 0, at >= 1, at >= 2), (counts[:n], counts[n : n + n2], counts[n + n2 :]), strict=True):
+        row[mask] = np.log(c)
+    before = np.concatenate([np.zeros((3, 1)), logs[:, :-1]], axis=1)[:, :n]
+    order, penalty = np.minimum(at + 1, 3), math.log(BACKOFF)
+    by_pair = logs[1] - before[0] + penalty * (order - 2)
+    by_word = logs[0] - math.log(max(total, 1)) + penalty * (order - 1)
+    value = np.where(logs[2] > 0, logs[2] - before[1], np.where(logs[1] > 0, by_pair, by_word))
+    sums = np.bincount(np.repeat(np.arange(len(lengths)), lengths), value, len(lengths))
+    return pa.table({"doc": chunk["docs"][0].values, "words": pa.array(lengths), "sum": pa.array(sums, pa.float64())})
+
+
+def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_words: int = CHUNK_WORDS, part_grams: int = PART_GRAMS) -> DataFrame:
     """(doc_id, n_words, log_score): the sum of the natural logarithms of S over each document's words.
 
     Words are runs of non-space characters, A-Z lower-cased. Rows that share an
     id are scored together and return one row, null ids too. Documents without
     words (null, empty) have 0 words and 0.0. Other columns are not read.
+    ``chunk_words`` and ``part_grams`` bound what a task holds and change no
+    result.
     """
     spark = docs.sparkSession
-    sc = spark.sparkContext
     base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
-    texts = base.select("text")
-    twice = map_texts(texts, _count_pairs, "anchor long, times long").groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1")
-    pairs = sc.broadcast(_seed_filter(stored(twice.select("anchor"), "pairs")))
-    release(spark)
-    counted = map_texts(texts, lambda it: _count_kept(it, pairs), "gram long, context long, times long")
-    counts = counted.groupBy("gram").agg(F.sum("times").alias("n"), F.max(F.when(F.col("context") != 0, F.col("context"))).alias("context"))
-    counts = stored(counts.where("n > 1 or context is null"), "counts")
+    chunks = stored(map_texts(base, lambda it: _chunks(it, chunk_words), _CHUNK), "chunks")
+    total = chunks.agg(F.sum("words").alias("n")).first()["n"] or 0
+    bits = max(LEAST_PART_BITS, math.ceil(math.log2(max(1, 3 * total / part_grams))))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(_BATCH))
+    requests = chunks.select("chunk", "lengths", "vocabulary", "numbers").mapInArrow(lambda it: _requests(it, bits), "chunk long, part long, grams binary, times binary")
+    answers = stored(requests.groupBy("part").applyInArrow(lambda rows: _answers(rows, bits), "chunk long, part long, counts binary"), "answers")
     release(spark)
-    total = counts.where("context is null").agg(F.sum("n").alias("n")).first()["n"] or 1
-    kept = counts.where("n > 1")
-    own = kept.select(F.col("gram").alias("of"), F.col("n").alias("of_n"))
-    words = kept.where("context is null").select("gram", "n", F.log(F.col("n") / F.lit(float(total))).alias("value"), F.lit(1).alias("order"))
-    longer = kept.where("context is not null").join(own, F.col("context") == F.col("of")).select("gram", "n", F.log(F.col("n") / F.col("of_n")).alias("value"), "context")
-    is_pair = words.select(F.col("gram").alias("word"))
-    longer = longer.join(is_pair, F.col("context") == F.col("word"), "left").select("gram", "n", "value", F.when(F.col("word").isNotNull(), 2).otherwise(3).alias("order"))
-    model = stored(words.unionAll(longer), "model")
-    release(spark)
-
-    def top(order: int) -> Hot:
-        rows = model.where(F.col("order") == order).orderBy(F.desc("n"), "gram").limit(HOT[order])
-        return Hot(rows.select("gram", "value").toLocalIterator())
-
-    tools = sc.broadcast((_filter_of(model.where("order = 2")), _filter_of(model.where("order = 3")), top(1), top(2)))
-    rows = map_texts(base, lambda it: _explode(it, tools), "doc long, words long, sum double, g3 long, g2 long, g1 long, times long")
-    found = _looked_up(rows, model, total)
-    return found.groupBy("doc").agg(F.sum("words").alias("n_words"), F.sum("sum").alias("log_score")).withColumnRenamed("doc", "doc_id")
-
-
-def _looked_up(rows: DataFrame, model: DataFrame, total: int) -> DataFrame:
-    """(doc, words, sum): the values of the grams to join; a gram that only the filter let through backs off."""
-    values = model.select(F.col("gram").alias("key"), "value")
-    present = lambda g: F.nullif(F.col(g), F.lit(0).cast("long"))
-    key: Column = F.coalesce(present("g3"), present("g2"), present("g1"), F.xxhash64("doc"))
-    last = (F.col("g3") == 0) & (F.col("g2") == 0)
-    done = (F.col("times") == 0) | F.col("value").isNotNull() | last
-    value = F.when(F.col("value").isNotNull(), F.col("value")).when(last, F.lit(math.log(1 / total))).otherwise(F.lit(math.log(BACKOFF)))
-    zero = F.lit(0).cast("long")
-    out = []
-    for level in (3, 2, 1):
-        joined = rows.withColumn("key", key).join(values, "key", "left")
-        after = joined.select(
-            "doc",
-            "words",
-            (F.col("sum") + F.when(F.col("times") > 0, value * F.col("times")).otherwise(0.0)).alias("sum"),
-            F.when(~done & (F.col("g3") != 0), F.col("g2")).otherwise(zero).alias("g2"),
-            F.when(~done, F.col("g1")).otherwise(zero).alias("g1"),
-            F.when(~done, F.col("times")).otherwise(zero).alias("times"),
-        )
-        grouped = after.groupBy("doc", "g2", "g1", "times").agg(F.sum("words").alias("words"), F.sum("sum").alias("sum"), F.count("*").alias("rows"))
-        if level == 1:
-            out.append(grouped.select("doc", "words", "sum"))
-            break
-        grouped = stored(grouped, "looked-up")
-        out.append(grouped.select("doc", "words", "sum"))
-        rows = grouped.where("times > 0").select("doc", zero.alias("words"), F.lit(0.0).alias("sum"), zero.alias("g3"), "g2", "g1", (F.col("times") * F.col("rows")).alias("times"))
-    return out[0].unionAll(out[1]).unionAll(out[2])
+    scored = chunks.drop("words").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda chunk, back: _scores(chunk, back, total), "doc long, words long, sum double")
+    return scored.groupBy(F.col("doc").alias("doc_id")).agg(F.sum("words").alias("n_words"), F.sum("sum").alias("log_score"))
 
 
 def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from plumbline.llm import backoff
@@ -29,20 +30,23 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize(("hot", "bits"), [(None, None), ({1: 3, 2: 3}, 6)])
-def test_scores(spark, monkeypatch, hot, bits):
-    if hot:  # few known n-grams, and a filter that lets many others through
-        monkeypatch.setattr(backoff, "HOT", hot)
-        monkeypatch.setattr("plumbline.llm.repeats.MOST_BITS", 9)
+@pytest.mark.parametrize("sizes", [{}, {"chunk_words": 500, "part_grams": 50}])
+def test_scores(spark, sizes):  # one chunk a task, or many chunks and more parts
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60).collect()]
     rows += [(900, None), (901, ""), (902, "a b a b a b"), (902, "a b c"), (903, "once"), (None, "a b")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: (r.n_words, r.log_score) for r in backoff.backoff_scores(df).collect()}
+    got = {r.doc_id: (r.n_words, r.log_score) for r in backoff.backoff_scores(df, **sizes).collect()}
     want = brute(rows)
     assert got.keys() == want.keys()
     for i, (n, s) in want.items():
         assert got[i][0] == n and got[i][1] == pytest.approx(s, abs=1e-6)
 
 
+@pytest.mark.parametrize("numbers", [[], [0], [0, 255, 256, 7], [1 << 63, (1 << 64) - 1, 0]])
+def test_packed(numbers):
+    x = np.array(numbers, np.uint64)
+    assert backoff.unpacked(backoff.packed(x)).tolist() == numbers
+
+
 def test_empty(spark):
     assert backoff.backoff_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
