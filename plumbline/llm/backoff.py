@@ -9,7 +9,9 @@ numbers beside the hashes of the chunk's words. A chunk's distinct n-grams are
 exploded by the high bits of their 64-bit hashes into parts, one row a chunk
 and part that holds sorted hashes as packed differences. Each part's rows make
 its count table and are joined to it there; what goes back to the chunk is one
-packed count for each n-gram asked for. Logarithms are summed per document.
+packed count for each n-gram asked for. Words and pairs go first; then those
+triples alone of which both pairs occur twice, as no other can. Logarithms are
+summed per document.
 
 An n-gram is sent once a chunk however often it occurs, parts are cut by hash,
 and their number grows with the corpus: no frequent n-gram, long document or
@@ -25,11 +27,12 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import release, stored
+from ..storage import stored
 from .common import map_texts, table, utf8
 from .repeats import _mix
 
@@ -40,6 +43,7 @@ CHUNK_WORDS, PART_GRAMS, LEAST_PART_BITS = 1 << 20, 1 << 20, 9
 _BATCH = 8
 _M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _CHUNK = "chunk long, words long, docs array<long>, lengths array<int>, vocabulary binary, numbers binary"
+_ASKED = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("grams", pa.binary()), ("times", pa.binary())])
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -88,38 +92,38 @@ def _chunks(batches, chunk_words: int):
         yield out()
 
 
-def grams(vocabulary: bytes, numbers: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a chunk's 1-, 2- and 3-grams, one order after the other, and each word's place in its document.
+def grams(chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word of a chunk (a row of _CHUNK): its hash, those of the pair and triple that end there, its place in its document; and the documents' lengths.
 
-    Pairs and triples are those that end at a word, in the words' order; words at places 0 have no pair, at 0 and 1 no triple.
+    There is no pair at place 0, and no triple at 0 and 1: what stands there has no meaning.
     """
-    one = np.frombuffer(vocabulary, np.uint64)[unpacked(numbers).astype(np.int64)]
+    lengths = np.array(chunk["lengths"], np.int64)
+    one = np.frombuffer(chunk["vocabulary"], np.uint64)[unpacked(chunk["numbers"]).astype(np.int64)]
     at = np.arange(len(one)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     two, three = np.zeros_like(one), np.zeros_like(one)
     with np.errstate(over="ignore"):
         two[1:] = _mix(one[:-1] * _M[0] + one[1:], 0xD6E8FEB86659FD93)
         three[1:] = _mix(two[:-1] * _M[1] + one[1:], 0xFF51AFD7ED558CCD)
-    return np.concatenate([one, two[at >= 1], three[at >= 2]]), at
+    return one, two, three, at, lengths
 
 
-def _lengths(column, i: int) -> np.ndarray:
-    return np.array(column[i].as_py(), np.int64)
+def _requests(chunk: int, got: np.ndarray, bits: int) -> pa.Table:
+    """(chunk, part, grams, times): a chunk's distinct n-grams by part, and how often it holds them."""
+    shift = np.uint64(64 - bits)
+    keys, times = np.unique(got, return_counts=True)
+    parts, starts = np.unique(keys >> shift, return_index=True)
+    spans = zip(parts.tolist(), starts.tolist(), np.append(starts, len(keys))[1:].tolist(), strict=True)
+    rows = [(chunk, p, packed(np.diff(keys[s:e], prepend=np.uint64(p << int(shift)))), packed(times[s:e])) for p, s, e in spans]
+    return pa.Table.from_pylist([dict(zip(_ASKED.names, r, strict=True)) for r in rows], _ASKED)
 
 
-def _requests(batches, bits: int):
-    """(chunk, part, grams, times): a chunk's distinct n-grams and how often it holds them."""
-    shift = np.uint64(64 - bits)
+def _ask_short(batches, bits: int):
+    """Requests for the words and pairs of chunks."""
     for b in batches:
         for i in range(b.num_rows):
-            got, _ = grams(b["vocabulary"][i].as_py(), b["numbers"][i].as_py(), _lengths(b["lengths"], i))
-            keys, times = np.unique(got, return_counts=True)
-            parts, starts = np.unique(keys >> shift, return_index=True)
-            ends = [*starts[1:].tolist(), len(keys)]
-            spans = list(zip(parts.tolist(), starts.tolist(), ends, strict=True))
-            for j in range(0, len(spans), 256):
-                rows = [(p, packed(np.diff(keys[s:e], prepend=np.uint64(p << int(shift)))), packed(times[s:e])) for p, s, e in spans[j : j + 256]]
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([b["chunk"][i].as_py()] * len(rows), pa.int64()), *cols], names=["chunk", "part", "grams", "times"])
+            row = b.slice(i, 1).to_pylist()[0]
+            one, two, _, at, _ = grams(row)
+            yield from _requests(row["chunk"], np.concatenate([one, two[at >= 1]]), bits).to_batches()
 
 
 def _answers(rows: pa.Table, bits: int) -> pa.Table:
@@ -136,24 +140,48 @@ def _answers(rows: pa.Table, bits: int) -> pa.Table:
     return pa.table({"chunk": rows["chunk"], "part": rows["part"], "counts": pa.array(back, pa.binary())})
 
 
+def _counts(got: np.ndarray, answers: pa.Table, order: int) -> np.ndarray:
+    """The corpus counts of a chunk's n-grams, of what was asked for as ``order``."""
+    rows = answers.filter(pc.equal(answers["longest"], order)).sort_by("part")
+    counts = np.concatenate([np.zeros(0, np.uint64), *(unpacked(x.as_py()) for x in rows["counts"])])
+    return counts[np.unique(got, return_inverse=True)[1]]
+
+
+def _short_counts(one: np.ndarray, two: np.ndarray, at: np.ndarray, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of the word and the pair (0: none) that end at each word, and whether a triple may be in the model there: both its pairs are."""
+    has = at >= 1
+    counts = _counts(np.concatenate([one, two[has]]), answers, 2)
+    c2 = np.zeros(len(one), np.uint64)
+    c2[has] = counts[len(one) :]
+    known = c2 > 1
+    return counts[: len(one)], c2, (at >= 2) & known & _before(known)
+
+
+def _before(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, x.dtype), x[:-1]])[: len(x)]
+
+
+def _ask_triples(chunk: pa.Table, answers: pa.Table, bits: int) -> pa.Table:
+    """Requests for the triples of a chunk that may be in the model."""
+    row = chunk.to_pylist()[0]
+    one, two, three, at, _ = grams(row)
+    return _requests(row["chunk"], three[_short_counts(one, two, at, answers)[2]], bits)
+
+
 def _scores(chunk: pa.Table, answers: pa.Table, total: int) -> pa.Table:
     """(doc, words, sum) of one chunk's documents."""
-    lengths = _lengths(chunk["lengths"], 0)
-    got, at = grams(chunk["vocabulary"][0].as_py(), chunk["numbers"][0].as_py(), lengths)
-    _, place = np.unique(got, return_inverse=True)
-    in_order = np.argsort(answers["part"].to_numpy())
-    counts = np.concatenate([np.zeros(0, np.uint64), *(unpacked(answers["counts"][int(i)].as_py()) for i in in_order)])[place]
-    n, n2 = len(at), int((at >= 1).sum())
-    logs = np.zeros((3, n))  # of words, pairs and triples that end at each word; 0 where not in the model
-    for row, mask, c in zip(logs, (at >= 0, at >= 1, at >= 2), (counts[:n], counts[n : n + n2], counts[n + n2 :]), strict=True):
-        row[mask] = np.log(c)
-    before = np.concatenate([np.zeros((3, 1)), logs[:, :-1]], axis=1)[:, :n]
+    row = chunk.to_pylist()[0]
+    one, two, three, at, lengths = grams(row)
+    c1, c2, may = _short_counts(one, two, at, answers)
+    c3 = np.zeros(len(one), np.uint64)
+    c3[may] = _counts(three[may], answers, 3)
+    log1, log2, log3 = (np.log(np.maximum(c, 1)) for c in (c1, c2, c3))
     order, penalty = np.minimum(at + 1, 3), math.log(BACKOFF)
-    by_pair = logs[1] - before[0] + penalty * (order - 2)
-    by_word = logs[0] - math.log(max(total, 1)) + penalty * (order - 1)
-    value = np.where(logs[2] > 0, logs[2] - before[1], np.where(logs[1] > 0, by_pair, by_word))
+    by_pair = log2 - _before(log1) + penalty * (order - 2)
+    by_word = log1 - math.log(max(total, 1)) + penalty * (order - 1)
+    value = np.where(c3 > 1, log3 - _before(log2), np.where(c2 > 1, by_pair, by_word))
     sums = np.bincount(np.repeat(np.arange(len(lengths)), lengths), value, len(lengths))
-    return pa.table({"doc": chunk["docs"][0].values, "words": pa.array(lengths), "sum": pa.array(sums, pa.float64())})
+    return pa.table({"doc": pa.array(row["docs"], pa.int64()), "words": pa.array(lengths), "sum": pa.array(sums, pa.float64())})
 
 
 def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_words: int = CHUNK_WORDS, part_grams: int = PART_GRAMS) -> DataFrame:
@@ -169,12 +197,19 @@ def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
     chunks = stored(map_texts(base, lambda it: _chunks(it, chunk_words), _CHUNK), "chunks")
     total = chunks.agg(F.sum("words").alias("n")).first()["n"] or 0
-    bits = max(LEAST_PART_BITS, math.ceil(math.log2(max(1, 3 * total / part_grams))))
+    bits = max(LEAST_PART_BITS, math.ceil(math.log2(max(1, 2 * total / part_grams))))
+    chunks = chunks.drop("words")
+    by_chunk = chunks.groupBy("chunk")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(_BATCH))
-    requests = chunks.select("chunk", "lengths", "vocabulary", "numbers").mapInArrow(lambda it: _requests(it, bits), "chunk long, part long, grams binary, times binary")
-    answers = stored(requests.groupBy("part").applyInArrow(lambda rows: _answers(rows, bits), "chunk long, part long, counts binary"), "answers")
-    release(spark)
-    scored = chunks.drop("words").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda chunk, back: _scores(chunk, back, total), "doc long, words long, sum double")
+
+    def answered(requests: DataFrame, longest: int) -> DataFrame:
+        found = requests.groupBy("part").applyInArrow(lambda rows: _answers(rows, bits), "chunk long, part long, counts binary")
+        return stored(found.withColumn("longest", F.lit(longest)), "answers")
+
+    asked = "chunk long, part long, grams binary, times binary"
+    short = answered(chunks.mapInArrow(lambda it: _ask_short(it, bits), asked), 2)
+    triples = answered(by_chunk.cogroup(short.groupBy("chunk")).applyInArrow(lambda chunk, back: _ask_triples(chunk, back, bits), asked), 3)
+    scored = by_chunk.cogroup(short.unionAll(triples).groupBy("chunk")).applyInArrow(lambda chunk, back: _scores(chunk, back, total), "doc long, words long, sum double")
     return scored.groupBy(F.col("doc").alias("doc_id")).agg(F.sum("words").alias("n_words"), F.sum("sum").alias("log_score"))
 
 
