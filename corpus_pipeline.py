@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import table
 from plumbline.llm.decontaminate import remove_benchmark
+from plumbline.llm.near_copies import without_near_copies
 from plumbline.llm.packing import pack
 from plumbline.llm.pii import redact
-from plumbline.llm.simhash import deduplicated
 from plumbline.llm.toxicity import without_toxic
 from plumbline.storage import stored
 
@@ -28,8 +28,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays."""
-    return deduplicated(docs)
+    """Of documents linked by a Jaccard similarity of 0.8 or more in word 5-shingles, one stays."""
+    return without_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
