@@ -1,8 +1,9 @@
 """Stupid-backoff language-model scores by joins of packed n-grams.
 
-The model's n-grams (orders 1 to 3) are those that occur at least twice in the
-corpus. S(w | u v) = c(uvw) / c(uv) if uvw is in the model, else 0.4 S(w | v),
-and so on down to c(w) / N, with c = 1 for words that occur once.
+The model's n-grams (orders 1 to 3) are those that occur at least ``least``
+times in the corpus, for the query all (``least`` = 1).
+S(w | u v) = c(uvw) / c(uv) if uvw is in the model, else 0.4 S(w | v), and so
+on down to c(w) / N, with c = 1 for words that occur once.
 
 Documents are gathered into chunks of about a million words, kept as word
 numbers beside the hashes of the chunk's words. A chunk's distinct n-grams are
@@ -10,8 +11,8 @@ exploded by the high bits of their 64-bit hashes into parts, one row a chunk
 and part that holds sorted hashes as packed differences. Each part's rows make
 its count table and are joined to it there; what goes back to the chunk is one
 packed count for each n-gram asked for. Words and pairs go first; then those
-triples alone of which both pairs occur twice, as no other can. Logarithms are
-summed per document.
+triples alone of which both pairs occur twice: the count of any other is 1.
+Logarithms are summed per document.
 
 An n-gram is sent once a chunk however often it occurs, parts are cut by hash,
 and their number grows with the corpus: no frequent n-gram, long document or
@@ -148,7 +149,7 @@ def _counts(got: np.ndarray, answers: pa.Table, order: int) -> np.ndarray:
 
 
 def _short_counts(one: np.ndarray, two: np.ndarray, at: np.ndarray, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of the word and the pair (0: none) that end at each word, and whether a triple may be in the model there: both its pairs are."""
+    """Counts of the word and the pair (0: none) that end at each word, and whether a triple that ends there may occur twice: both its pairs do."""
     has = at >= 1
     counts = _counts(np.concatenate([one, two[has]]), answers, 2)
     c2 = np.zeros(len(one), np.uint64)
@@ -162,37 +163,40 @@ def _before(x: np.ndarray) -> np.ndarray:
 
 
 def _ask_triples(chunk: pa.Table, answers: pa.Table, bits: int) -> pa.Table:
-    """Requests for the triples of a chunk that may be in the model."""
+    """Requests for the triples of a chunk that may occur twice."""
     row = chunk.to_pylist()[0]
     one, two, three, at, _ = grams(row)
     return _requests(row["chunk"], three[_short_counts(one, two, at, answers)[2]], bits)
 
 
-def _scores(chunk: pa.Table, answers: pa.Table, total: int) -> pa.Table:
+def _scores(chunk: pa.Table, answers: pa.Table, total: int, least: int) -> pa.Table:
     """(doc, words, sum) of one chunk's documents."""
     row = chunk.to_pylist()[0]
     one, two, three, at, lengths = grams(row)
     c1, c2, may = _short_counts(one, two, at, answers)
-    c3 = np.zeros(len(one), np.uint64)
+    c3 = (at >= 2).astype(np.uint64)
     c3[may] = _counts(three[may], answers, 3)
     log1, log2, log3 = (np.log(np.maximum(c, 1)) for c in (c1, c2, c3))
     order, penalty = np.minimum(at + 1, 3), math.log(BACKOFF)
     by_pair = log2 - _before(log1) + penalty * (order - 2)
     by_word = log1 - math.log(max(total, 1)) + penalty * (order - 1)
-    value = np.where(c3 > 1, log3 - _before(log2), np.where(c2 > 1, by_pair, by_word))
+    value = np.where(c3 >= least, log3 - _before(log2), np.where(c2 >= least, by_pair, by_word))
     sums = np.bincount(np.repeat(np.arange(len(lengths)), lengths), value, len(lengths))
     return pa.table({"doc": pa.array(row["docs"], pa.int64()), "words": pa.array(lengths), "sum": pa.array(sums, pa.float64())})
 
 
-def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_words: int = CHUNK_WORDS, part_grams: int = PART_GRAMS) -> DataFrame:
+def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_words: int = CHUNK_WORDS, part_grams: int = PART_GRAMS, least: int = 2) -> DataFrame:
     """(doc_id, n_words, log_score): the sum of the natural logarithms of S over each document's words.
 
     Words are runs of non-space characters, A-Z lower-cased. Rows that share an
     id are scored together and return one row, null ids too. Documents without
     words (null, empty) have 0 words and 0.0. Other columns are not read.
-    ``chunk_words`` and ``part_grams`` bound what a task holds and change no
+    Pairs and triples that occur less than ``least`` times (1 or more) are not
+    in the model. ``chunk_words`` and ``part_grams`` bound what a task holds and change no
     result.
     """
+    if least < 1:
+        raise ValueError("least must be 1 or more")
     spark = docs.sparkSession
     base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
     chunks = stored(map_texts(base, lambda it: _chunks(it, chunk_words), _CHUNK), "chunks")
@@ -209,12 +213,12 @@ def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     asked = "chunk long, part long, grams binary, times binary"
     short = answered(chunks.mapInArrow(lambda it: _ask_short(it, bits), asked), 2)
     triples = answered(by_chunk.cogroup(short.groupBy("chunk")).applyInArrow(lambda chunk, back: _ask_triples(chunk, back, bits), asked), 3)
-    scored = by_chunk.cogroup(short.unionAll(triples).groupBy("chunk")).applyInArrow(lambda chunk, back: _scores(chunk, back, total), "doc long, words long, sum double")
+    scored = by_chunk.cogroup(short.unionAll(triples).groupBy("chunk")).applyInArrow(lambda chunk, back: _scores(chunk, back, total, least), "doc long, words long, sum double")
     return scored.groupBy(F.col("doc").alias("doc_id")).agg(F.sum("words").alias("n_words"), F.sum("sum").alias("log_score"))
 
 
 def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean log score a word of every document, under the model of all documents."""
-    found = backoff_scores(table(spark, sf_dir, "documents", "doc_id", "text"))
+    found = backoff_scores(table(spark, sf_dir, "documents", "doc_id", "text"), least=1)
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
     return found.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round(mean, 6).alias("mean_log_score"))
