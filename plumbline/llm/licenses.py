@@ -88,7 +88,8 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: Sequence[Templ
     """Add n_words and license_matches, an array of (label, base, start, share), to every row.
 
     ``share`` is the matched part of a template's weight; it is 1 for the exact
-    phrases of base templates. Null and empty texts have no words and no
+    phrases of base templates. The key phrase must stand in the text, other
+    words of a template may lie outside it; ``start`` is at least 0. Null and empty texts have no words and no
     matches. Input columns named as the new ones are replaced.
     """
     idf = frequencies(docs, templates, text)
@@ -121,9 +122,9 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: Sequence[Templ
         same = lambda j: F.get(words, v["start"] + j).eqNullSafe(F.get(template["words"], j))
         share = F.aggregate(F.transform(template["weights"], lambda w, j: F.when(same(j), w).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
         keyed = F.forall(F.sequence(template["from"], template["to"]), same)
-        return F.struct(template["label"].alias("label"), template["base"].alias("base"), v["start"].alias("start"), F.when(keyed, F.least(F.lit(1.0), share + 1e-12)).otherwise(0.0).alias("share"), template["least"].alias("least"))
+        return F.struct(template["label"].alias("label"), template["base"].alias("base"), F.greatest(v["start"], F.lit(0)).alias("start"), F.when(keyed, F.least(F.lit(1.0), share + 1e-12)).otherwise(0.0).alias("share"), template["least"].alias("least"))
 
-    good = F.filter(F.transform(F.col("__votes"), match), lambda m: (m["start"] >= 0) & (m["share"] >= m["least"]))
+    good = F.filter(F.transform(F.col("__votes"), match), lambda m: m["share"] >= m["least"])
     matches = F.when(F.size("__votes") > 0, F.transform(good, lambda m: F.struct(m["label"].alias("label"), m["base"].alias("base"), m["start"].alias("start"), m["share"].alias("share"))))
     empty = F.expr("cast(array() as array<struct<label:string,base:boolean,start:int,share:double>>)")
     return out.withColumn("n_words", F.size("__words").cast("long")).withColumn("license_matches", F.coalesce(matches, empty)).drop("__words", "__votes")
