@@ -27,11 +27,11 @@ KINDS = {
 }
 _OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}$"
 #: Values that contexts are learned for: after a name and = or :, after a plain word, and with an upper-case prefix.
-#: Each match ends where its value ends.
+#: Each match ends where its value ends; values have no greatest length.
 CANDIDATES = {
-    "keyed": (r"(?<![\p{L}\p{N}_])\p{L}[\p{L}_-]{2,30}+ ?[=:] ?[\"']?[A-Za-z0-9+/_-]{6,128}+", r"[A-Za-z0-9+/_-]++$"),
-    "word": (r"(?<![\p{L}\p{N}_+-])\p{L}{2,20}+ [\"']?(?=[A-Za-z-]{0,40}+[0-9])[A-Za-z0-9-]{6,64}+(?![A-Za-z0-9@._-])", r"[A-Za-z0-9-]++$"),
-    "prefix": (r"(?<![A-Za-z0-9_])[A-Z]{2,6}[_-]?(?=[A-Z]*+[0-9])[A-Z0-9]{10,40}+(?![A-Za-z0-9_])", r"[A-Z0-9_-]++$"),
+    "keyed": (r"(?<![\p{L}\p{N}_])\p{L}[\p{L}_-]{2,30}+ ?[=:] ?[\"']?[A-Za-z0-9+/_-]{6,}+", r"[A-Za-z0-9+/_-]++$"),
+    "word": (r"(?<![\p{L}\p{N}_+-])\p{L}{2,20}+ [\"']?(?=[A-Za-z-]*+[0-9])[A-Za-z0-9-]{6,}+(?![A-Za-z0-9@._-])", r"[A-Za-z0-9-]++$"),
+    "prefix": (r"(?<![A-Za-z0-9_])[A-Z]{2,6}[_-]?(?=[A-Z]*+[0-9])[A-Z0-9]{10,}+(?![A-Za-z0-9_])", r"[A-Z0-9_-]++$"),
 }
 #: Cues whose values are seeds, and a published key format.
 SEED_CUES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "auth", "ssn", "iban", "passport")
