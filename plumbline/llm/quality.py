@@ -33,8 +33,8 @@ CLASSES = ("lower", "upper", "digit", "space", "symbol", "punctuation", "control
 #: (words that a text needs, distance that then fails it) of each histogram, and how near a document is to refine a reference.
 LIMITS = {"chars": ((50, 0.21), (100, 0.17)), "words": ((200, 0.3),)}
 REFINE = {"chars": 0.15, "words": 0.4}
-#: Documents that a language needs for a reference, and the most references (by documents).
-LEAST_DOCS, MOST_REFERENCES = 5, 64
+#: Documents that a language needs for a reference, and the references that a batch is compared with at a time.
+LEAST_DOCS, REFERENCE_BLOCK = 5, 64
 
 _WORD_BIN = {w.encode(): i for i, w in enumerate(WORDS)}
 
@@ -114,10 +114,15 @@ def _distances(b: pa.RecordBatch, references: dict[str, np.ndarray]) -> tuple[np
     if not len(references["chars"]):
         zero = np.zeros(b.num_rows)
         return zero.astype(int), zero, zero
-    c, w = distance(chars, references["chars"]), distance(words, references["words"])
-    near = (c + w).argmin(axis=1)
     at = np.arange(b.num_rows)
-    return near, c[at, near], w[at, near]
+    best = (np.zeros(b.num_rows, int), np.full(b.num_rows, np.inf), np.full(b.num_rows, np.inf))
+    for first in range(0, len(references["chars"]), REFERENCE_BLOCK):
+        c, w = (distance(x, references[k][first : first + REFERENCE_BLOCK]) for x, k in ((chars, "chars"), (words, "words")))
+        near = (c + w).argmin(axis=1)
+        found = (near + first, c[at, near], w[at, near])
+        nearer = found[1] + found[2] < best[1] + best[2]
+        best = tuple(np.where(nearer, x, y) for x, y in zip(found, best, strict=True))
+    return best
 
 
 def _judge(batches, held):
@@ -139,7 +144,7 @@ def _references(measured: DataFrame, held=None) -> dict[str, np.ndarray]:
         rows = map_texts(rows.select("__lang", "__chars", "__words"), near, rows.select("__lang", "__chars", "__words").schema)
     share = lambda c, i: F.sum(F.get(c, F.lit(i)) / F.greatest(F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1)))
     sums = [share(F.col("__chars"), i).alias(f"c{i}") for i in range(len(CLASSES))] + [share(F.col("__words"), i).alias(f"w{i}") for i in range(len(WORDS) + 1)]
-    top = rows.groupBy("__lang").agg(F.count("*").alias("n"), *sums).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "__lang").limit(MOST_REFERENCES).collect()
+    top = rows.groupBy("__lang").agg(F.count("*").alias("n"), *sums).where(F.col("n") >= LEAST_DOCS).collect()  # one row a language
     top.sort(key=lambda r: r["__lang"])
     return {k: np.array([[r[f"{k[0]}{i}"] / r["n"] for i in range(n)] for r in top]).reshape(len(top), n) for k, n in (("chars", len(CLASSES)), ("words", len(WORDS) + 1))}
 
