@@ -1,16 +1,26 @@
-"""Near copies by exact set similarity of word shingles.
-
-A text is the set of the 64-bit hashes of its lower-cased word 5-shingles. Of
-two sets with a Jaccard similarity of at least p / q, each has a shingle in
-common with the other among its first n - ceil(p n / q) + 1, whatever the one
-order of all shingles is; so a join on these prefixes finds every such pair,
-which is then verified on the whole sets. Before that, the parities of the
-shingles in each of 512 classes bound how many shingles two sets do not share,
-so most other pairs go without a look at their sets. Shingles that are frequent in a
-sample come last in the order, which changes no result. Equal sets are one
-node. The sets of a shingle are first compared with a few of them, in some
-turns, and linked; only then with all that are still in other components, so
-that a large group of near copies is not compared pair by pair.
+"""SimHash near-dedup of texts whose word shingles are similar, by pigeonhole blocks.
+
+A text is the set of the 64-bit hashes of its lower-cased word 5-shingles. Its
+shingles are dealt to classes by hash, and each class that has some gives a
+block of the fingerprint: the bitwise majority of its shingles' hashes. A set
+of x shingles and one with a Jaccard similarity of at least p / q to it differ
+in at most s = x (q - p) / p shingles, which touch at most s classes. So of any
+s + 1 blocks of the one, the other has at least one whole: whatever the one
+order of all blocks is, the least block that both have is among the first
+s + 1 of each, and a join on these finds every such pair. Blocks that are
+frequent in a sample come last in the order, which changes no result.
+
+The number of classes follows from a power of two above the larger size; a set
+whose partner may be above the next power has blocks for both. Sets with too
+few classes in use (their partners are the same) also have the first shingles
+of the order as blocks.
+
+Candidates are verified by the Hamming distance of 512 parities (whether the
+number of a set's hashes in each of 512 ranges is odd), which never exceeds
+the shingles that two sets don't share, and then by the sets themselves. Equal
+sets are one node. Members of a block are first compared with one of them, in
+some turns, and linked; then all that are still in other components with each
+other, the Hamming distance as a condition of the join.
 """
 
 from __future__ import annotations
@@ -20,22 +30,24 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import connected_components
-from ..operators.similarity import hamming
 from ..storage import stored
 from .common import map_texts, utf8
 
 #: Words of a shingle, and the least similarity as a fraction.
 SHINGLE, SEED, LEAST = 5, 42, (4, 5)
-#: Order of the shingles only: one text in this many is sampled, and the shingles of this many of them or more, at most so many, come last.
+#: Order of the blocks only: one text in this many is sampled, and the blocks of this many of them or more, at most so many, come last.
 SAMPLE, FREQUENT, MOST_FREQUENT = 8, 25, 1 << 17
-
-#: Turns before the full comparison, and the sets that the others of a shingle are compared with in each.
-TURNS, HEADS = 4, 8
+#: Blocks of a set that the first turn joins on, and further turns over all blocks before the full comparison.
+FIRST, TURNS = 4, 3
+#: Rows of 16 bytes that are broadcast at most; beyond, the join shuffles.
+MOST_BROADCAST = 500_000
+#: Classes whose majorities are taken at a time.
+_CLASSES = 4096
 
 
 def shingles(data: bytes, width: int = SHINGLE) -> np.ndarray:
@@ -47,64 +59,117 @@ def shingles(data: bytes, width: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in parts), np.uint64))
 
 
-def _late(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+def levels(n: int, least: tuple[int, int]) -> list[int]:
+    """The power of two that holds n, and the next if a similar set may be that large."""
+    p, q = least
+    own = 1 << max(0, n - 1).bit_length()
+    return [own] + [2 * own] * (n * q // p > own)
+
+
+def _majorities(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Bitwise majority of the hashes from each start up to the next, as 64-bit numbers."""
+    ends = np.append(starts[1:], len(tokens))
+    out = []
+    for i in range(0, len(starts), _CLASSES):
+        first, last = starts[i], ends[min(i + _CLASSES, len(starts)) - 1]
+        bits = np.unpackbits(tokens[first:last].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, starts[i : i + _CLASSES] - first, axis=0, dtype=np.int32)
+        sizes = (ends - starts)[i : i + _CLASSES]
+        out.append(np.packbits(ones * 2 > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel())
+    return np.concatenate(out)
+
+
+def _keyed(x: np.ndarray, level: int, kind: np.ndarray) -> np.ndarray:
+    """One 64-bit key of a print within its level and class."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (kind.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level))) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def _late(keys: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     if not len(frequent):
-        return np.zeros(len(tokens), bool)
-    return frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
+        return np.zeros(len(keys), bool)
+    return frequent[np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)] == keys
+
+
+def blocks(tokens: np.ndarray, least: tuple[int, int] = LEAST, frequent: np.ndarray = np.zeros(0, np.uint64)) -> np.ndarray:
+    """Keys of which two similar sets that differ have one in common; tokens are sorted and distinct."""
+    p, q = least
+    n, out = len(tokens), [np.zeros(0, np.uint64)]
+    for level in levels(n, least):
+        if not (most := n * (q - p) // p):
+            continue  # any other set is less similar
+        count = level * (q - p) // p + 4 + level // 32
+        at = ((tokens >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
+        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        keys = _keyed(_majorities(tokens, starts), level, at[starts])
+        late = _late(keys, frequent)
+        out.append(np.concatenate([np.sort(keys[~late]), np.sort(keys[late])])[: most + 1])
+        if len(keys) <= most:
+            out.append(_keyed(tokens[: n - -(-p * n // q) + 1], level, np.full(1, count)))
+    return np.concatenate(out)
 
 
 def _parities(tokens: np.ndarray) -> np.ndarray:
-    """512 bits as 8 longs: whether the number of hashes in each class (their high 9 bits) is odd."""
-    odd = np.bincount((tokens >> np.uint64(55)).astype(np.int64), minlength=512) & 1
+    """512 bits as 8 longs: whether the number of hashes in each range (of their low 9 bits) is odd."""
+    odd = np.bincount((tokens & np.uint64(511)).astype(np.int64), minlength=512) & 1
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
-def _frequent(texts: DataFrame) -> np.ndarray:
+def _frequent(texts: DataFrame, least: tuple[int, int]) -> np.ndarray:
     def run(batches):
         for b in batches:
-            found = [shingles(x) for x in utf8(b.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], names=["token"])
+            found = [blocks(shingles(x), least) for x in utf8(b.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], names=["key"])
 
-    some = map_texts(texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text"), run, "token long")
-    rows = some.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).collect()
-    return np.sort(np.array([r["token"] for r in rows], np.int64).view(np.uint64))
+    some = map_texts(texts.where(F.pmod("own", F.lit(SAMPLE)) == 0).select("text"), run, "key long")
+    rows = some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).collect()
+    return np.sort(np.array([r["key"] for r in rows], np.int64).view(np.uint64))
 
 
 def _sets(batches, held, least: tuple[int, int]):
-    """Adds fp (of the set), n, prefix and parities to (doc_id, own)."""
-    p, q = least
+    """(doc_id, own, fp of the set, n, keys, parities) of (doc_id, own, text)."""
+    longs = pa.list_(pa.int64())
     for b in batches:
-        fps, sizes, prefixes, parities = [], [], [], []
-        for x in utf8(b.column(b.num_columns - 1)):
-            s = shingles(x)
-            late = _late(s, held.value)
-            ordered = np.concatenate([s[~late], s[late]])
-            fps.append(xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0)
-            sizes.append(len(s))
-            prefixes.append(ordered[: len(s) - -(-p * len(s) // q) + 1].view(np.int64))
-            parities.append(_parities(s))
-        new = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], names=[*b.schema.names[:-1], "fp", "n", "prefix", "odd"])
+        found = [shingles(x) for x in utf8(b.column(2))]
+        fps = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0 for s in found], np.uint64).view(np.int64)
+        new = [pa.array(fps), pa.array([len(s) for s in found], pa.int64()), pa.array([blocks(s, least, held.value).view(np.int64) for s in found], longs), pa.array([_parities(s) for s in found], longs)]
+        yield pa.RecordBatch.from_arrays([*b.columns[:2], *new], names=["doc_id", "own", "fp", "n", "keys", "odd"])
 
 
 def _whole(batches):
     for b in batches:
-        wholes = [shingles(x).tobytes() for x in utf8(b.column(1))]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(wholes, pa.binary())], names=["fp", "whole"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x).tobytes() for x in utf8(b.column(1))], pa.binary())], names=["fp", "whole"])
+
 
+def _bounded(df: DataFrame) -> DataFrame:
+    """A table to join with: broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
-def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """Of the pairs (a, b) of set prints, those that are similar enough."""
+
+def _may(a: str, b: str, least: tuple[int, int]) -> Column:
+    """Whether the sets na, oa and nb, ob can be similar enough by their sizes and the distance of their parities."""
+    p, q = least
+    n, m = F.col(f"n{a}"), F.col(f"n{b}")
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.get(f"o{a}", F.lit(i)).bitwiseXOR(F.get(f"o{b}", F.lit(i)))) for i in range(8)])
+    return (F.least(n, m) * q >= F.greatest(n, m) * p) & ((p + q) * (n + m - apart) >= 2 * p * (n + m))
+
+
+def _side(df: DataFrame, name: str, *columns: str) -> DataFrame:
+    return df.select(*columns, *[F.col(c).alias(f"{c[0]}{name}") for c in ("fp", "n", "odd") if c in df.columns])
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Of the pairs (fa, fb) of set prints, those that are similar enough, as (a, b)."""
     p, q = least
-    one = sets.dropDuplicates(["fp"])
-    of = lambda name: one.select(F.col("fp").alias(name), F.col("n").alias(f"n{name}"), F.col("odd").alias(f"o{name}"))
-    apart = hamming(F.col("oa"), F.col("ob"))  # never more than the shingles that only one of the two has
-    may = (p + q) * (F.col("na") + F.col("nb") - apart) >= 2 * p * (F.col("na") + F.col("nb"))
-    pairs = stored(pairs.distinct().join(of("a"), "a").join(of("b"), "b").where(may).select("a", "b"), "candidates")
-    asked = stored(one.select("fp", "own").join(pairs.select(F.col("a").alias("fp")).unionAll(pairs.select("b")).distinct(), "fp", "left_semi"), "asked")
-    held = texts.select("own", "text").join(asked, "own").dropDuplicates(["fp"]).select("fp", "text")
-    held = stored(map_texts(held, _whole, "fp long, whole binary"), "sets")
-    of = lambda name: held.select(F.col("fp").alias(name), F.col("whole").alias(f"w{name}"))
+    known = nodes.select("fp", "n", "odd")
+    near = pairs.distinct().join(_side(known, "a"), "fa").join(_side(known, "b"), "fb").where(_may("a", "b", least))
+    pairs = stored(near.select("fa", "fb"), "candidates")
+    asked = stored(nodes.select("fp", "own").join(pairs.select(F.col("fa").alias("fp")).unionAll(pairs.select(F.col("fb").alias("fp"))).distinct(), "fp", "left_semi"), "asked")
+    held = texts.select("own", "text").join(_bounded(asked), "own").select("fp", "text")
+    held = stored(map_texts(held, _whole, "fp long, whole binary").dropDuplicates(["fp"]), "sets")
+    of = lambda name: held.select(F.col("fp").alias(f"f{name}"), F.col("whole").alias(f"w{name}"))
 
     def run(batches):
         for b in batches:
@@ -112,56 +177,82 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, least: tuple[
             good = [(p + q) * len(np.intersect1d(s, t, assume_unique=True)) >= p * (len(s) + len(t)) for s, t in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return stored(map_texts(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "wa", "wb"), run, "a long, b long"), "similar")
+    return stored(map_texts(pairs.join(of("a"), "fa").join(of("b"), "fb").select("fa", "fb", "wa", "wb"), run, "a long, b long"), "similar")
 
 
-def _may(na: Column, ia: Column, nb: Column, ib: Column, least: tuple[int, int]) -> Column:
-    """Whether sets of na and nb shingles can be similar enough if their first common one has the places ia and ib."""
-    p, q = least
-    return (F.least(na - ia, nb - ib) * (p + q) >= (na + nb) * p) & (F.least(na, nb) * q >= F.greatest(na, nb) * p)
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("fa"), F.greatest(x, y).alias("fb")]
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Of the members (key, fp, c) of blocks, those in blocks that hold several components c."""
+    several = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    return stored(members.join(several, "key"), "members")
+
+
+def _links(nodes: DataFrame, texts: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """(node, component) of the nodes that have a link."""
+    first = nodes.select("fp", F.explode(F.slice("keys", 1, FIRST)).alias("key"))
+    heads = first.groupBy("key").agg(F.min("fp").alias("head"), F.max("fp").alias("high")).where("head < high").select("key", "head")
+    links = [_verified(first.join(heads, "key").where("fp <> head").select(*_pair("fp", "head")), nodes, texts, least)]
+    linked = lambda: stored(connected_components(reduce(DataFrame.unionAll, links)), "linked")
+    marked = lambda df, comps: df.join(comps, df["fp"] == comps["node"], "left").withColumn("c", F.coalesce("component", "fp")).drop("node", "component")
+    comps = linked()
+    rest = _mixed(marked(nodes.select("fp", "keys"), comps).select("fp", "c", F.explode("keys").alias("key")))
+    for turn in range(TURNS):
+        heads = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)), "fp", "c")).alias("h")).select("key", F.col("h.fp").alias("head"), F.col("h.c").alias("hc"))
+        links.append(_verified(rest.join(heads, "key").where("c <> hc").select(*_pair("fp", "head")), nodes, texts, least))
+        comps = linked()
+        rest = _mixed(marked(rest.drop("c"), comps))
+        if rest.isEmpty():
+            return comps
+    # Of two components in a block one is not its largest: only members of such a one are compared with all.
+    most = rest.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("most"))
+    whole = stored(rest.join(nodes.select("fp", "n", "odd"), "fp"), "left")
+    few = _side(whole.join(most, "key").where("c <> most"), "x", "key", F.col("c").alias("cx"))
+    all_ = _side(whole, "y", "key", F.col("c").alias("cy"))
+    links.append(_verified(few.join(all_, "key").where(F.col("cx") != F.col("cy")).where(_may("x", "y", least)).select(*_pair("fx", "fy")), nodes, texts, least))
+    return linked()
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: tuple[int, int] = LEAST) -> DataFrame:
     """(doc_id, own, root), one row per input row: the component of the row over links of similarity ``least`` or more.
 
     ``own`` is a hash of the text. Null and empty texts have no shingles and
-    are copies of each other. Other columns are not read.
+    are copies of each other. Repeated rows stay repeated; no rows give none.
+    Other columns are not read.
     """
     texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    held = docs.sparkSession.sparkContext.broadcast(_frequent(texts))
-    texts = texts.withColumn("own", F.xxhash64("text"))
-    rows = texts.select("doc_id", "own", "text")
-    schema = rows.drop("text").schema.add("fp", "long").add("n", "long").add("prefix", T.ArrayType(T.LongType())).add("odd", T.ArrayType(T.LongType()))
-    sets = stored(map_texts(rows, lambda it: _sets(it, held, least), schema), "sets")
-    nodes = sets.select("fp", "n", "prefix").dropDuplicates(["fp"])
-    tokens = nodes.select("fp", "n", F.posexplode("prefix").alias("i", "token"))
-    by_token = Window.partitionBy("token")
-    size = F.count("*").over(by_token).alias("m")
-    rest = stored(tokens.select("token", "fp", "n", "i", F.col("fp").alias("c"), size).where("m > 1"), "members")
-    links = []
-    for turn in range(TURNS + 1):
-        heads = rest
-        if turn < TURNS:
-            place = F.row_number().over(by_token.orderBy(F.xxhash64("fp", F.lit(turn)), "fp"))
-            heads = rest.withColumn("at", place).where(F.col("at") <= HEADS)
-        x, y = (side.select("token", *[F.col(c).alias(f"{c}{name}") for c in ("fp", "n", "i", "c")]) for side, name in ((heads, "x"), (rest, "y")))
-        both = x.join(y, "token").where("cx <> cy").where(_may(F.col("nx"), F.col("ix"), F.col("ny"), F.col("iy"), least))
-        links.append(_verified(both.select(F.least("fpx", "fpy").alias("a"), F.greatest("fpx", "fpy").alias("b")), sets, texts, least))
-        comps = stored(connected_components(reduce(DataFrame.unionAll, links)), "linked")
-        if turn == TURNS:
-            break
-        left = rest.where(F.col("m") > HEADS).drop("c").join(comps, rest["fp"] == comps["node"], "left").select("token", "fp", "n", "i", F.coalesce("component", "fp").alias("c"), "m")
-        left = left.withColumn("low", F.min("c").over(by_token)).withColumn("high", F.max("c").over(by_token)).where("low < high")
-        rest = stored(left.drop("low", "high"), "members")
-        if not rest.count():
-            break
+    texts = texts.select("doc_id", F.xxhash64("text").alias("own"), "text")
+    held = docs.sparkSession.sparkContext.broadcast(_frequent(texts, least))
+    schema = texts.drop("text").schema.add("fp", "long").add("n", "long")
+    for name in ("keys", "odd"):
+        schema = schema.add(name, T.ArrayType(T.LongType()))
+    sets = stored(map_texts(texts, lambda it: _sets(it, held, least), schema), "sets")
+    nodes = stored(sets.select("fp", "own", "n", "keys", "odd").dropDuplicates(["fp"]), "nodes")
+    comps = _links(nodes, texts, least)
     return sets.select("doc_id", "own", "fp").join(comps, sets["fp"] == comps["node"], "left").select("doc_id", "own", F.coalesce("component", "fp").alias("root"))
 
 
 def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: tuple[int, int] = LEAST) -> DataFrame:
-    """The row with the smallest id of each component, all columns kept; of rows repeated whole, one. Null ids come last."""
-    best = near_copies(docs, doc_id, text, least).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")).alias("x"))
-    keep = best.select(F.col("x.doc_id").alias("__keep_id"), F.col("x.own").alias("__keep_own"))
+    """The row with the smallest id of each component, all columns kept.
+
+    Null ids come last. Of rows that agree in id and text one stays. Null and
+    empty texts are copies of each other. Texts are only shuffled if more rows
+    go than may be broadcast.
+    """
+    found = stored(near_copies(docs, doc_id, text, least), "roots")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")
+    best = found.groupBy("root").agg(F.min(order).alias("best"))
+    rows = found.groupBy("root", "doc_id", "own").agg(F.count("*").alias("times")).join(best, "root")
+    rows = stored(rows.select(F.col("doc_id").alias("__id"), F.col("own").alias("__hash"), "times", (order != F.col("best")).alias("goes")).where("goes or times > 1"), "goes")
     own = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
-    same = own[doc_id].eqNullSafe(keep["__keep_id"]) & (own["__own"] == keep["__keep_own"])
-    return own.join(keep, same, "left_semi").dropDuplicates([doc_id, "__own"]).drop("__own")
+
+    def joined(df: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+        return df.join(_bounded(rows), df[f"`{doc_id}`"].eqNullSafe(rows["__id"]) & (df["__own"] == rows["__hash"]), how)
+
+    out = joined(own, rows.select("__id", "__hash"), "left_anti")
+    repeated = rows.where("not goes").select("__id", "__hash")
+    if not repeated.isEmpty():
+        out = out.unionAll(joined(own, repeated, "left_semi").dropDuplicates([doc_id, "__own"]))
+    return out.drop("__own")

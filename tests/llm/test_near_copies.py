@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from plumbline.llm import near_copies as nc
 
@@ -31,10 +32,11 @@ def kept(rows):
     return sorted(i for i in root if find(i) == i)
 
 
-@pytest.mark.parametrize("frequent,heads,turns", [(nc.FREQUENT, nc.HEADS, nc.TURNS), (1, 1, 1), (1, 2, 0)])
-def test_against_all_pairs(spark, monkeypatch, frequent, heads, turns):
+@pytest.mark.parametrize("frequent,first,turns,broadcast", [(nc.FREQUENT, nc.FIRST, nc.TURNS, nc.MOST_BROADCAST), (2, 1, 1, 0), (1, 1, 0, 0)])
+def test_against_all_pairs(spark, monkeypatch, frequent, first, turns, broadcast):
     monkeypatch.setattr(nc, "FREQUENT", frequent)
-    monkeypatch.setattr(nc, "HEADS", heads)
+    monkeypatch.setattr(nc, "FIRST", first)
+    monkeypatch.setattr(nc, "MOST_BROADCAST", broadcast)
     monkeypatch.setattr(nc, "TURNS", turns)
     monkeypatch.setattr(nc, "SAMPLE", 1)
     rng = random.Random(3)
@@ -53,6 +55,25 @@ def test_against_all_pairs(spark, monkeypatch, frequent, heads, turns):
     assert sorted(r.doc_id for r in got.collect()) == want
 
 
+def test_blocks_of_all_similar_sets_meet():
+    rng = np.random.default_rng(5)
+    for n in [*range(1, 40), 63, 64, 65, 100, 130, 300]:
+        for _ in range(30):
+            a = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+            gone = int(rng.integers(0, n // 5 + 1))  # at the very limit of similarity, by leaving out, adding or changing
+            rest = rng.permutation(a)[gone:]
+            new = rng.integers(0, 1 << 64, int(rng.integers(0, max(0, 5 * len(rest) // 4 - n) + 1)), dtype=np.uint64)
+            b = np.unique(np.concatenate([rest, new]))
+            both = len(np.intersect1d(a, b))
+            similar = 5 * both >= 4 * (len(a) + len(b) - both) and len(b) and not np.array_equal(a, b)
+            if similar:
+                late = np.sort(nc.blocks(a)[::3])
+                assert len(np.intersect1d(nc.blocks(a), nc.blocks(b)))
+                assert len(np.intersect1d(nc.blocks(a, frequent=late), nc.blocks(b, frequent=late)))
+    few = np.arange(1, 30, dtype=np.uint64)  # all in one class, so that shingles are blocks too
+    assert len(np.intersect1d(nc.blocks(few), nc.blocks(np.append(few[1:], np.uint64(50)))))
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(2, "a b", 1), (None, "A b", 2), (1, "a b c", 3), (1, "a b c", 3), (5, None, 4), (4, "", 5)], "doc_id long, text string, x int")
     assert sorted((r.doc_id, r.x) for r in nc.without_near_copies(df).collect()) == [(1, 3), (2, 1), (4, 5)]
