@@ -291,8 +291,20 @@ def digit_features(spark, sf):
     return _marked(spark, sf).select("conv_id", "turn", a.alias("a"), tx.has_arabic(F.col("t")).alias("arabic"), tx.years(a).alias("years"))
 
 
-_DATES = r"""list_filter(list_transform(list_zip(regexp_extract_all(a, '\b([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4})\b', 1), regexp_extract_all(a, '\b([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4})\b', 2), regexp_extract_all(a, '\b([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4})\b', 3)),
- lambda z: TRY_CAST(z[3] || '-' || lpad(z[2], 2, '0') || '-' || lpad(z[1], 2, '0') AS DATE)), lambda d: d IS NOT NULL AND year(d) BETWEEN 1900 AND 2035)"""
+_DMY, _YMD = r"([0-9]{1,2})\s*[/.-]\s*([0-9]{1,2})\s*[/.-]\s*([0-9]{4})", r"([0-9]{4})\s*[/.-]\s*([0-9]{1,2})\s*[/.-]\s*([0-9]{1,2})"
+
+
+def _parts_sql(text: str) -> str:
+    """(y, m, d) of all date-like tokens, day first and then year first."""
+    of = lambda p, y, m, d: f"list_transform(list_zip(regexp_extract_all({text}, '{p}', {y}), regexp_extract_all({text}, '{p}', {m}), regexp_extract_all({text}, '{p}', {d})), lambda z: {{'y': z[1]::INTEGER, 'm': z[2]::INTEGER, 'd': z[3]::INTEGER}})"
+    return f"list_concat({of(_DMY, 3, 2, 1)}, {of(_YMD, 1, 2, 3)})"
+
+
+def _valid_sql(parts: str) -> str:
+    return f"list_filter(list_transform({parts}, lambda x: TRY_CAST(printf('%04d-%02d-%02d', x.y, x.m, x.d) AS DATE)), lambda d: d IS NOT NULL AND year(d) BETWEEN 1900 AND 2035)"
+
+
+_DATES = _valid_sql(_parts_sql("a"))
 
 
 @query("date_features", f"WITH {_MARKED}, d AS (SELECT conv_id, turn, {_DATES} AS d FROM ascii) SELECT conv_id, turn, len(d) AS n, list_min(d) AS first, list_max(d) AS last FROM d")
@@ -301,10 +313,18 @@ def date_features(spark, sf):
     return _marked(spark, sf).select("conv_id", "turn", F.size(d).cast("long").alias("n"), F.array_min(d).alias("first"), F.array_max(d).alias("last"))
 
 
-@query("chronology", f"WITH {_MARKED}, d AS (SELECT conv_id, turn, {_DATES} AS d FROM ascii) SELECT conv_id, turn, coalesce(2026 - year(list_min(d)) < 15 OR 2026 - year(list_min(d)) > 90, false) AS odd_age, coalesce(year(list_max(d)) > 2032, false) AS late_expiry, coalesce(year(list_min(d)) < 1925, false) AS early_birth FROM d")
+#: Of a list d of dates in text order: how often one is over 20 years of 366 days before the date ahead of it.
+_FALLS = "len(list_filter(range(1, greatest(len(d), 1)), lambda i: date_diff('day', d[i + 1], d[i]) > 7320))"
+_AGE = "(len(d) >= 2 AND (year(list_max(d)) - year(list_min(d)) > 90 OR year(list_max(d)) - year(list_min(d)) < 15))"
+_OUTSIDE = "(len(d) >= 2 AND (year(list_max(d)) > 2032 OR year(list_min(d)) < 1925))"
+
+
+@query("chronology", f"WITH {_MARKED}, t AS (SELECT conv_id, string_agg(a, ' ' ORDER BY turn) AS a FROM ascii GROUP BY conv_id), d AS (SELECT conv_id, {_DATES} AS d FROM t) SELECT conv_id, {_AGE} AS implausible_age, {_OUTSIDE} AS future_or_ancient, {_AGE} OR {_OUTSIDE} OR {_FALLS} > 0 AS chrono_violation FROM d")
 def chronology(spark, sf):
-    d = tx.chronology(tx.dates(tx.ascii_digits(F.col("t"))))
-    return _marked(spark, sf).select("conv_id", "turn", *[c.alias(n) for n, c in d.items()])
+    turns = F.array_sort(F.collect_list(F.struct("turn", tx.ascii_digits(F.col("t")).alias("a"))))
+    rows = _marked(spark, sf).groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda x: x["a"]), " ").alias("a"))
+    rows = rows.select("conv_id", tx.dates(F.col("a")).alias("d"))
+    return rows.select("conv_id", *[F.coalesce(c, F.lit(False)).alias(n) for n, c in tx.chronology(F.col("d")).items()])
 
 
 @query("falling_dates", "WITH d AS (SELECT o_custkey, list(CAST(o_orderdate AS DATE) ORDER BY o_orderkey) AS d FROM orders GROUP BY o_custkey) SELECT o_custkey, CAST(CASE WHEN len(d) < 2 THEN 0 ELSE len(list_filter(range(1, len(d)), lambda i: date_diff('day', d[i + 1], d[i]) > 366)) END AS INTEGER) AS falls FROM d")
@@ -313,14 +333,26 @@ def falling_dates(spark, sf):
     return o.select("o_custkey", tx.falling_steps(F.col("d"), 366).alias("falls"))
 
 
-_LATIN = "list_filter(regexp_split_to_array(text, '\\s+'), lambda w: len(regexp_extract_all(w, '\\p{L}')) >= 3 AND len(regexp_extract_all(w, '\\p{Latin}')) * 10 >= len(regexp_extract_all(w, '\\p{L}')) * 6)"
+def _letters_sql(x: str) -> str:
+    return f"len(regexp_extract_all({x}, '\\p{{L}}'))"
 
 
-@query("name_anomaly", f"SELECT conv_id, turn, CAST(len({_LATIN}) AS INTEGER) AS n_latin, CAST(length(array_to_string({_LATIN}, ' ')) - length(translate(array_to_string({_LATIN}, ' '), 'ðþøåæœđłħŋŧĸſƒß', '')) AS INTEGER) AS n_odd FROM conversations")
+def _latin_sql(x: str) -> str:
+    return f"({_letters_sql(x)} >= 3 AND len(regexp_extract_all({x}, '\\p{{Latin}}')) * 10 >= {_letters_sql(x)} * 6)"
+
+
+def _odd_sql(x: str) -> str:
+    return f"(length({x}) - length(translate({x}, 'ïîìöôòüûùäâàëêèÿ', '')))"
+
+
+_TOKENS = f"list_filter(regexp_split_to_array(text, '\\s+'), lambda w: {_latin_sql('w')})"
+
+
+@query("name_anomaly", f"WITH w AS (SELECT conv_id, turn, {_TOKENS} AS w FROM conversations) SELECT conv_id, turn, CAST(len(w) AS INTEGER) AS n_latin, CAST(coalesce(list_sum(list_transform(w, lambda x: {_odd_sql('x')})), 0) AS INTEGER) AS n_odd FROM w")
 def name_anomaly(spark, sf):
     latin = F.filter(tx.tokens(F.col("text")), tx.is_latin)
-    joined = F.array_join(latin, " ")
-    return load(spark, sf, "conversations").select("conv_id", "turn", F.size(latin).alias("n_latin"), (F.length(joined) - F.length(F.translate(joined, tx.ODD_LETTERS + "ß", ""))).alias("n_odd"))
+    odd = F.aggregate(F.transform(latin, tx.odd_letters), F.lit(0), lambda a, x: a + x)
+    return load(spark, sf, "conversations").select("conv_id", "turn", F.size(latin).alias("n_latin"), odd.alias("n_odd"))
 
 
 @query("year_mismatch", f"WITH {_MARKED}, y AS (SELECT conv_id, turn, list_transform(regexp_extract_all(t, '\\b((?:19|20)[0-9]{{2}})\\b', 1), lambda v: v::INTEGER) AS l, list_transform(regexp_extract_all(a, '\\b((?:19|20)[0-9]{{2}})\\b', 1), lambda v: v::INTEGER) AS a FROM ascii) SELECT conv_id, turn, CASE WHEN len(l) = 0 OR len(a) = 0 THEN 0 ELSE len(list_filter(l, lambda v: NOT list_contains(list_filter(a, lambda w: w % 2 = 0), v)))::DOUBLE / len(l) END AS share FROM y")
@@ -330,17 +362,38 @@ def year_mismatch(spark, sf):
     return _marked(spark, sf).select("conv_id", "turn", share.alias("share"))
 
 
-@query("box_stats", f"WITH h AS (SELECT l_orderkey, list(l_quantity ORDER BY l_quantity) AS h, stddev_pop(l_quantity) / avg(l_quantity) AS cv, max(l_quantity) / median(l_quantity) AS mm, count(*) AS n FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, CASE WHEN n < 4 THEN 0 ELSE {micro_sql('cv')} END AS cv, CASE WHEN n < 4 THEN 0 ELSE {micro_sql('mm')} END AS mm FROM h")
+@query("box_stats", f"WITH h AS (SELECT l_orderkey, list(l_quantity ORDER BY l_quantity) AS h, stddev_pop(l_quantity) / (avg(l_quantity) + 1e-6) AS cv, max(l_quantity) / (median(l_quantity) + 1e-6) AS mm, count(*) AS n FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, CASE WHEN n < 4 THEN 0 ELSE {micro_sql('cv')} END AS cv, CASE WHEN n < 4 THEN 0 ELSE {micro_sql('mm')} END AS mm FROM h")
 def box_stats(spark, sf):
     h = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("h"))
     s = tx.box_stats(F.col("h"))
-    return h.select("l_orderkey", micro(s["height_cv"]).alias("cv"), micro(s["height_max_median"]).alias("mm"))
-
-
-@query("consistency_features")
+    return h.select("l_orderkey", micro(s["box_h_cv"]).alias("cv"), micro(s["box_h_max_over_med"]).alias("mm"))
+
+
+#: Recognised items: every other turn in ASCII digits, some without text, score or box.
+_RECOGNISED = f"{_MARKED}, items AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 11 = 0 THEN '' WHEN turn % 2 = 0 THEN a ELSE t END AS text, ((conv_id * 7 + turn) % 10) / 10.0::DOUBLE AS score, CASE WHEN turn % 5 = 4 THEN NULL ELSE (10 + (conv_id * 3 + turn * 5) % 17)::DOUBLE END AS h FROM ascii)"
+_CONSISTENCY = f"""WITH {_RECOGNISED}, b AS (SELECT *, translate(text, '{tx.EASTERN_DIGITS}', '{tx.ASCII_DIGITS}') AS b FROM items),
+p AS (SELECT *, regexp_matches(text, '[٠-٩۰-۹]') AS ar, {_parts_sql('b')} AS parts, list_transform(regexp_extract_all(b, '\\b((?:19|20)[0-9]{{2}})\\b', 1), lambda y: y::INTEGER) AS ys, {_latin_sql('text')} AS latin FROM b),
+g AS (SELECT conv_id, count(*) FILTER (text <> '') AS n_tokens, sum(length(text)) AS total_text_len, avg(score) AS mean_conf, min(score) AS min_conf, avg((score < 0.3)::INTEGER) AS frac_conf_lt30, avg((score < 0.5)::INTEGER) AS frac_conf_lt50, stddev_pop(score) AS std_conf,
+ coalesce(flatten(list(parts ORDER BY turn) FILTER (NOT ar)), []) AS parts, coalesce(flatten(list(list_concat(list_transform(parts, lambda x: x.y), ys)) FILTER (ar)), []) AS ay, count(*) FILTER (ar AND len(parts) + len(ys) > 0) AS n_arabic_date_tokens,
+ coalesce(sum({_odd_sql('text')}) FILTER (latin), 0) AS odd, coalesce(sum({_letters_sql('text')}) FILTER (latin), 0) AS letters, count(*) FILTER (latin) AS n_latin_name_tokens,
+ count(h) AS n_h, stddev_pop(h) / (avg(h) + 1e-6) AS cv, max(h) / (median(h) + 1e-6) AS mm FROM p GROUP BY conv_id),
+f AS (SELECT *, {_valid_sql('parts')} AS d, list_transform(parts, lambda x: x.y) AS ly FROM g),
+m AS (SELECT *, len(list_filter(ly, lambda y: NOT list_contains(ay, y))) AS miss, len(ly) > 0 AND len(ay) > 0 AS dual, list_distinct(list_transform(d, lambda x: year(x))) AS yy FROM f)
+SELECT conv_id, {micro_sql('n_tokens')} AS n_tokens, {micro_sql('total_text_len')} AS total_text_len, {micro_sql('mean_conf')} AS mean_conf, {micro_sql('min_conf')} AS min_conf, {micro_sql('frac_conf_lt30')} AS frac_conf_lt30, {micro_sql('frac_conf_lt50')} AS frac_conf_lt50, {micro_sql('std_conf')} AS std_conf,
+ {micro_sql('len(parts)')} AS n_latin_dates, {micro_sql('n_arabic_date_tokens')} AS n_arabic_date_tokens, {micro_sql('len(d)')} AS n_valid_dates, {micro_sql('len(yy)')} AS n_distinct_years, {micro_sql('CASE WHEN len(yy) >= 2 THEN list_max(yy) - list_min(yy) ELSE 0 END')} AS year_span,
+ {micro_sql(f'(coalesce({_AGE}, false) OR coalesce({_OUTSIDE}, false) OR {_FALLS} > 0)::INTEGER')} AS chrono_violation, {micro_sql(f'coalesce({_AGE}, false)::INTEGER')} AS implausible_age, {micro_sql(f'coalesce({_OUTSIDE}, false)::INTEGER')} AS future_or_ancient, {micro_sql(_FALLS)} AS n_date_pairs_bad_order,
+ {micro_sql('dual::INTEGER')} AS has_dual_script, {micro_sql('CASE WHEN dual THEN miss::DOUBLE / len(ly) ELSE 0 END')} AS crossscript_year_mismatch_frac, {micro_sql('(dual AND miss > 0)::INTEGER')} AS crossscript_any_mismatch,
+ {micro_sql('odd')} AS name_weird_accent_ct, {micro_sql('CASE WHEN letters > 0 THEN odd::DOUBLE / letters ELSE 0 END')} AS name_weird_accent_frac, {micro_sql('n_latin_name_tokens')} AS n_latin_name_tokens,
+ {micro_sql('CASE WHEN n_h >= 4 THEN cv ELSE 0 END')} AS box_h_cv, {micro_sql('CASE WHEN n_h >= 4 THEN mm ELSE 0 END')} AS box_h_max_over_med FROM m"""
+
+
+@query("consistency_features", _CONSISTENCY)
 def consistency_features(spark, sf):
-    rows = _marked(spark, sf).select("conv_id", F.col("t").alias("text"), F.col("turn").alias("position"), F.lit(0.5).alias("score"), F.length("t").alias("height"))
-    return tx.consistency_features(rows, ("conv_id",))
+    c, n = F.col("conv_id"), F.col("turn")
+    t = F.when((c + n) % 11 == 0, "").when(n % 2 == 0, tx.ascii_digits(F.col("t"))).otherwise(F.col("t"))
+    rows = _marked(spark, sf).select("conv_id", n.alias("position"), t.alias("text"), ((c * 7 + n) % 10 / 10).alias("score"), F.when(n % 5 != 4, (10 + (c * 3 + n * 5) % 17).cast("double")).alias("height"))
+    got = tx.consistency_features(rows, ("conv_id",))
+    return got.select("conv_id", *[micro(F.col(f)).alias(f) for f in tx.FEATURES])
 
 
 @query("polygon_boxes", "SELECT l_orderkey, min(l_quantity) AS x, min(l_linenumber::DOUBLE) AS y, max(l_quantity) - min(l_quantity) AS w, max(l_linenumber::DOUBLE) - min(l_linenumber::DOUBLE) AS h FROM lineitem GROUP BY l_orderkey")

@@ -1,5 +1,6 @@
 """Properties of the evaluation engine's operators on small synthetic tables."""
 
+import datetime
 import math
 import random
 
@@ -164,6 +165,42 @@ def test_text_features(spark):
     assert [str(d) for d in r.d] == ["1999-12-31", "2001-02-28"] and r.y == [2001, 2001] and r.l and not r.c
 
 
+def test_odd_letters_and_chronology(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(text.odd_letters(F.lit("Röberts Grïffïths Smîth"))) == 4 and one(text.odd_letters(F.lit("Øystein ÖRN Émile"))) == 0
+    assert one(text.date_parts(F.lit("31 / 12 /1999 1-2-20001"))) == [(1999, 12, 31), (2000, 2, 1)]
+    assert one(text.dates(F.lit("29.02.2001 2035-01-01 1/1/2036 1899-01-01"))) == [datetime.date(2035, 1, 1)]
+
+    def flags(*days):
+        found = F.array(*[F.lit(d).cast("date") for d in days]) if days else F.expr("cast(array() as array<date>)")
+        return [bool(one(c)) for c in text.chronology(found).values()]
+
+    assert flags() == flags("2015-05-05") == flags("1990-01-01", "2010-01-01") == [False] * 3
+    assert flags("2010-01-01", "2015-05-05") == [True, False, True]  # five years apart
+    assert flags("1924-01-01", "1990-01-01") == flags("1990-01-01", "2033-01-01") == [False, True, True]
+    assert flags("1930-01-01", "2021-01-01") == [True, False, True]
+    assert flags("2010-01-01", "1980-01-01") == [False, False, True]  # falls by over 20 years
+
+
+def test_consistency_vector(spark):
+    rows = [
+        (1, 0, "Röberts Grïffïths", 0.2, 10.0, None), (1, 1, "12/05/1990", 0.9, 10.0, None), (1, 2, "١٢/٠٥/١٩٩١", 0.4, 20.0, None), (1, 3, "2015-01-01", None, 20.0, "latin"),
+        (1, 4, None, 1.0, None, None), (2, 0, "1990 is no date", 1.0, 5.0, "arabic"), (3, 0, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "k long, position long, text string, score double, height double, script string")
+    got = {r.k: r.asDict() for r in text.consistency_features(df, ("k",), script="script").collect()}
+    assert list(got[1])[1:] == list(text.FEATURES) and len(text.FEATURES) == 24
+    want = {
+        "n_tokens": 4, "total_text_len": 17 + 10 + 10 + 10, "mean_conf": 0.5, "min_conf": 0, "frac_conf_lt30": 0.4, "frac_conf_lt50": 0.6, "std_conf": np.std([0.2, 0.9, 0.4, 0, 1]),
+        "n_latin_dates": 2, "n_arabic_date_tokens": 1, "n_valid_dates": 2, "n_distinct_years": 2, "year_span": 25, "chrono_violation": 0, "implausible_age": 0, "future_or_ancient": 0, "n_date_pairs_bad_order": 0,
+        "has_dual_script": 1, "crossscript_year_mismatch_frac": 1, "crossscript_any_mismatch": 1, "name_weird_accent_ct": 3, "name_weird_accent_frac": 3 / 16, "n_latin_name_tokens": 1,
+        "box_h_cv": 5 / (15 + 1e-6), "box_h_max_over_med": 20 / (15 + 1e-6),
+    }
+    assert {f: got[1][f] for f in text.FEATURES} == pytest.approx(want)
+    assert got[2]["n_arabic_date_tokens"] == 1 and got[2]["has_dual_script"] == 0
+    assert all(v == 0 for k, v in got[3].items() if k not in ("k", "frac_conf_lt30", "frac_conf_lt50")) and got[3]["frac_conf_lt30"] == 1
+
+
 def test_files_and_artifacts(spark, tmp_path):
     for p in ("a/x.JPG", "a/b/x.png", "a/y.jpeg", "a/notes.txt"):
         f = tmp_path / "img" / p
