@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import dropped, stored
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -32,7 +32,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = both.where("u > v").join(least, "v").select(F.col("u").alias("hi"), F.col("m").alias("lo")).distinct()
         root = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(root, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        e = stored(small.unionAll(root.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
+        last, e = e, stored(small.unionAll(root.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
+        dropped(last)
         now = _signature(e)
         if now == seen:
             break

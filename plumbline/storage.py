@@ -7,6 +7,7 @@ re-read and not a recomputation of every earlier pass.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,11 @@ _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is set only where none is named (tests, local runs)."""
+    """The cluster's shared folder. A temporary one is set only where none is named and all runs on one machine (tests)."""
     named = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY, None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"{_KEY} must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set(_KEY, named)
     return named.rstrip("/")
@@ -38,4 +41,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that `stored` returned and that no plan still to run reads."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
