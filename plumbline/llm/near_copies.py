@@ -18,9 +18,10 @@ of the order as blocks.
 Candidates are verified by the Hamming distance of 512 parities (whether the
 number of a set's hashes in each of 512 ranges is odd), which never exceeds
 the shingles that two sets don't share, and then by the sets themselves. Equal
-sets are one node. Members of a block are first compared with one of them, in
-some turns, and linked; then all that are still in other components with each
-other, the Hamming distance as a condition of the join.
+sets are one node. On the first blocks of each set, and in some turns on large
+blocks, members are compared with one of them and linked; members of small
+blocks, and those of large ones that are then still in other components, with
+each other, the Hamming distance as a condition of the join.
 """
 
 from __future__ import annotations
@@ -35,15 +36,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import connected_components
-from ..storage import stored
-from .common import map_texts, utf8
+from ..storage import dropped, stored
+from .common import map_texts, unused, utf8
 
 #: Words of a shingle, and the least similarity as a fraction.
 SHINGLE, SEED, LEAST = 5, 42, (4, 5)
 #: Order of the blocks only: one text in this many is sampled, and the blocks of this many of them or more, at most so many, come last.
 SAMPLE, FREQUENT, MOST_FREQUENT = 8, 25, 1 << 17
-#: Blocks of a set that the first turn joins on, and further turns over all blocks before the full comparison.
-FIRST, TURNS = 4, 3
+#: Blocks of a set that are joined on first; members of a block that are compared pair by pair at once; turns over larger ones before that.
+FIRST, SMALL, TURNS = 4, 8, 1
 #: Rows of 16 bytes that are broadcast at most; beyond, the join shuffles.
 MOST_BROADCAST = 500_000
 #: Classes whose majorities are taken at a time.
@@ -177,7 +178,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: tuple
             good = [(p + q) * len(np.intersect1d(s, t, assume_unique=True)) >= p * (len(s) + len(t)) for s, t in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return stored(map_texts(pairs.join(of("a"), "fa").join(of("b"), "fb").select("fa", "fb", "wa", "wb"), run, "a long, b long"), "similar")
+    out = stored(map_texts(pairs.join(of("a"), "fa").join(of("b"), "fb").select("fa", "fb", "wa", "wb"), run, "a long, b long"), "similar")
+    dropped(pairs, asked, held)
+    return out
 
 
 def _pair(x: str, y: str) -> list[Column]:
@@ -185,9 +188,15 @@ def _pair(x: str, y: str) -> list[Column]:
 
 
 def _mixed(members: DataFrame) -> DataFrame:
-    """Of the members (key, fp, c) of blocks, those in blocks that hold several components c."""
-    several = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    return stored(members.join(several, "key"), "members")
+    """Of the members (key, fp, c) of blocks, those in blocks that hold several components c, with the block's members m."""
+    several = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low < high")
+    return members.join(several.select("key", "m"), "key")
+
+
+def _all_pairs(members: DataFrame, few: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """(fa, fb) of the pairs of few with members (key, fp, c, n, odd) of their blocks, in other components, that may be similar."""
+    x, y = (_side(df, name, "key", F.col("c").alias(f"c{name}")) for df, name in ((few, "x"), (members, "y")))
+    return x.join(y, "key").where(F.col("cx") != F.col("cy")).where(_may("x", "y", least)).select(*_pair("fx", "fy"))
 
 
 def _links(nodes: DataFrame, texts: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -195,23 +204,25 @@ def _links(nodes: DataFrame, texts: DataFrame, least: tuple[int, int]) -> DataFr
     first = nodes.select("fp", F.explode(F.slice("keys", 1, FIRST)).alias("key"))
     heads = first.groupBy("key").agg(F.min("fp").alias("head"), F.max("fp").alias("high")).where("head < high").select("key", "head")
     links = [_verified(first.join(heads, "key").where("fp <> head").select(*_pair("fp", "head")), nodes, texts, least)]
-    linked = lambda: stored(connected_components(reduce(DataFrame.unionAll, links)), "linked")
+    linked = lambda: connected_components(reduce(DataFrame.unionAll, links))
     marked = lambda df, comps: df.join(comps, df["fp"] == comps["node"], "left").withColumn("c", F.coalesce("component", "fp")).drop("node", "component")
-    comps = linked()
-    rest = _mixed(marked(nodes.select("fp", "keys"), comps).select("fp", "c", F.explode("keys").alias("key")))
+    rest = stored(_mixed(marked(nodes.select("fp", "keys"), linked()).select("fp", "c", F.explode("keys").alias("key"))), "members")
+    known = nodes.select("fp", "n", "odd")
+    small = rest.where(F.col("m") <= SMALL).join(known, "fp")
+    found = _all_pairs(small, small, least)
+    rest = rest.where(F.col("m") > SMALL)
     for turn in range(TURNS):
         heads = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)), "fp", "c")).alias("h")).select("key", F.col("h.fp").alias("head"), F.col("h.c").alias("hc"))
-        links.append(_verified(rest.join(heads, "key").where("c <> hc").select(*_pair("fp", "head")), nodes, texts, least))
+        pairs = rest.join(heads, "key").where("c <> hc").select(*_pair("fp", "head"))
+        links.append(_verified(pairs if turn else pairs.unionAll(found), nodes, texts, least))
         comps = linked()
-        rest = _mixed(marked(rest.drop("c"), comps))
+        rest = stored(_mixed(marked(rest.drop("c", "m"), comps)), "members")
         if rest.isEmpty():
             return comps
     # Of two components in a block one is not its largest: only members of such a one are compared with all.
     most = rest.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("most"))
-    whole = stored(rest.join(nodes.select("fp", "n", "odd"), "fp"), "left")
-    few = _side(whole.join(most, "key").where("c <> most"), "x", "key", F.col("c").alias("cx"))
-    all_ = _side(whole, "y", "key", F.col("c").alias("cy"))
-    links.append(_verified(few.join(all_, "key").where(F.col("cx") != F.col("cy")).where(_may("x", "y", least)).select(*_pair("fx", "fy")), nodes, texts, least))
+    rest = stored(rest.join(known, "fp"), "members")
+    links.append(_verified(_all_pairs(rest, rest.join(most, "key").where("c <> most"), least), nodes, texts, least))
     return linked()
 
 
@@ -231,7 +242,10 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     sets = stored(map_texts(texts, lambda it: _sets(it, held, least), schema), "sets")
     nodes = stored(sets.select("fp", "own", "n", "keys", "odd").dropDuplicates(["fp"]), "nodes")
     comps = _links(nodes, texts, least)
-    return sets.select("doc_id", "own", "fp").join(comps, sets["fp"] == comps["node"], "left").select("doc_id", "own", F.coalesce("component", "fp").alias("root"))
+    out = sets.select("doc_id", "own", "fp").join(comps, sets["fp"] == comps["node"], "left").select("doc_id", "own", F.coalesce("component", "fp").alias("root"))
+    out = stored(out, "roots")
+    dropped(sets, nodes)
+    return out
 
 
 def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: tuple[int, int] = LEAST) -> DataFrame:
@@ -241,18 +255,19 @@ def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     empty texts are copies of each other. Texts are only shuffled if more rows
     go than may be broadcast.
     """
-    found = stored(near_copies(docs, doc_id, text, least), "roots")
+    found = near_copies(docs, doc_id, text, least)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")
     best = found.groupBy("root").agg(F.min(order).alias("best"))
     rows = found.groupBy("root", "doc_id", "own").agg(F.count("*").alias("times")).join(best, "root")
-    rows = stored(rows.select(F.col("doc_id").alias("__id"), F.col("own").alias("__hash"), "times", (order != F.col("best")).alias("goes")).where("goes or times > 1"), "goes")
-    own = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
+    rows = stored(rows.select(F.col("doc_id").alias("id"), F.col("own").alias("hash"), "times", (order != F.col("best")).alias("goes")).where("goes or times > 1"), "goes")
+    own = unused(docs, "own")
+    keyed = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
 
     def joined(df: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-        return df.join(_bounded(rows), df[f"`{doc_id}`"].eqNullSafe(rows["__id"]) & (df["__own"] == rows["__hash"]), how)
+        return df.join(_bounded(rows), df[f"`{doc_id}`"].eqNullSafe(rows["id"]) & (df[own] == rows["hash"]), how)
 
-    out = joined(own, rows.select("__id", "__hash"), "left_anti")
-    repeated = rows.where("not goes").select("__id", "__hash")
+    out = joined(keyed, rows.select("id", "hash"), "left_anti")
+    repeated = rows.where("not goes").select("id", "hash")
     if not repeated.isEmpty():
-        out = out.unionAll(joined(own, repeated, "left_semi").dropDuplicates([doc_id, "__own"]))
-    return out.drop("__own")
+        out = out.unionAll(joined(keyed, repeated, "left_semi").dropDuplicates([doc_id, own]))
+    return out.drop(own)

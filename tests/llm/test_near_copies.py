@@ -32,8 +32,9 @@ def kept(rows):
     return sorted(i for i in root if find(i) == i)
 
 
-@pytest.mark.parametrize("frequent,first,turns,broadcast", [(nc.FREQUENT, nc.FIRST, nc.TURNS, nc.MOST_BROADCAST), (2, 1, 1, 0), (1, 1, 0, 0)])
-def test_against_all_pairs(spark, monkeypatch, frequent, first, turns, broadcast):
+@pytest.mark.parametrize("frequent,first,turns,broadcast,small", [(nc.FREQUENT, nc.FIRST, nc.TURNS, nc.MOST_BROADCAST, nc.SMALL), (2, 1, 1, 0, 2), (1, 1, 2, 0, 1)])
+def test_against_all_pairs(spark, monkeypatch, frequent, first, turns, broadcast, small):
+    monkeypatch.setattr(nc, "SMALL", small)
     monkeypatch.setattr(nc, "FREQUENT", frequent)
     monkeypatch.setattr(nc, "FIRST", first)
     monkeypatch.setattr(nc, "MOST_BROADCAST", broadcast)
