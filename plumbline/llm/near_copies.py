@@ -190,7 +190,7 @@ def _pair(x: str, y: str) -> list[Column]:
 def _mixed(members: DataFrame) -> DataFrame:
     """Of the members (key, fp, c) of blocks, those in blocks that hold several components c, with the block's members m."""
     several = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low < high")
-    return members.join(several.select("key", "m"), "key")
+    return members.select("key", "fp", "c").join(several.select("key", "m"), "key")
 
 
 def _all_pairs(members: DataFrame, few: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -200,29 +200,35 @@ def _all_pairs(members: DataFrame, few: DataFrame, least: tuple[int, int]) -> Da
 
 
 def _links(nodes: DataFrame, texts: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """(node, component) of the nodes that have a link."""
+    """(node, component) of the nodes that have a link; the table of nodes is deleted on the way."""
+    known = stored(nodes.select("fp", "own", "n", "odd"), "known")
     first = nodes.select("fp", F.explode(F.slice("keys", 1, FIRST)).alias("key"))
     heads = first.groupBy("key").agg(F.min("fp").alias("head"), F.max("fp").alias("high")).where("head < high").select("key", "head")
-    links = [_verified(first.join(heads, "key").where("fp <> head").select(*_pair("fp", "head")), nodes, texts, least)]
+    links = [_verified(first.join(heads, "key").where("fp <> head").select(*_pair("fp", "head")), known, texts, least)]
     linked = lambda: connected_components(reduce(DataFrame.unionAll, links))
     marked = lambda df, comps: df.join(comps, df["fp"] == comps["node"], "left").withColumn("c", F.coalesce("component", "fp")).drop("node", "component")
     rest = stored(_mixed(marked(nodes.select("fp", "keys"), linked()).select("fp", "c", F.explode("keys").alias("key"))), "members")
-    known = nodes.select("fp", "n", "odd")
-    small = rest.where(F.col("m") <= SMALL).join(known, "fp")
-    found = _all_pairs(small, small, least)
-    rest = rest.where(F.col("m") > SMALL)
+    dropped(nodes)
+    sketch = known.select("fp", "n", "odd")
+    small = stored(rest.where(F.col("m") <= SMALL).join(sketch, "fp"), "small")
+    found = stored(_all_pairs(small, small, least).distinct(), "found")
+    dropped(small)
     for turn in range(TURNS):
+        last, rest = rest, rest.where(F.col("m") > SMALL)
         heads = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)), "fp", "c")).alias("h")).select("key", F.col("h.fp").alias("head"), F.col("h.c").alias("hc"))
         pairs = rest.join(heads, "key").where("c <> hc").select(*_pair("fp", "head"))
-        links.append(_verified(pairs if turn else pairs.unionAll(found), nodes, texts, least))
+        links.append(_verified(pairs if turn else pairs.unionAll(found), known, texts, least))
         comps = linked()
         rest = stored(_mixed(marked(rest.drop("c", "m"), comps)), "members")
+        dropped(last)
         if rest.isEmpty():
             return comps
     # Of two components in a block one is not its largest: only members of such a one are compared with all.
     most = rest.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("most"))
-    rest = stored(rest.join(known, "fp"), "members")
-    links.append(_verified(_all_pairs(rest, rest.join(most, "key").where("c <> most"), least), nodes, texts, least))
+    rest = stored(rest.join(sketch, "fp"), "members")
+    found = stored(_all_pairs(rest, rest.join(most, "key").where("c <> most"), least).distinct(), "found")
+    links.append(_verified(found, known, texts, least))
+    dropped(rest, found)
     return linked()
 
 
@@ -240,11 +246,13 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     for name in ("keys", "odd"):
         schema = schema.add(name, T.ArrayType(T.LongType()))
     sets = stored(map_texts(texts, lambda it: _sets(it, held, least), schema), "sets")
+    rows = stored(sets.select("doc_id", "own", "fp"), "rows")
     nodes = stored(sets.select("fp", "own", "n", "keys", "odd").dropDuplicates(["fp"]), "nodes")
+    dropped(sets)
     comps = _links(nodes, texts, least)
-    out = sets.select("doc_id", "own", "fp").join(comps, sets["fp"] == comps["node"], "left").select("doc_id", "own", F.coalesce("component", "fp").alias("root"))
+    out = rows.join(comps, rows["fp"] == comps["node"], "left").select("doc_id", "own", F.coalesce("component", "fp").alias("root"))
     out = stored(out, "roots")
-    dropped(sets, nodes)
+    dropped(rows)
     return out
 
 
