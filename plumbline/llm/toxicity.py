@@ -2,15 +2,17 @@
 
 Voters are lexicons of four languages, writing patterns, and lexicons induced
 from a bounded sample of labelled rows (words and word beginnings that go with
-the label). A generative label model over the votes of all documents estimates
-each voter's accuracy by expectation maximisation, and the voters' remaining
-correlations, by which correlated voters count less. Its posteriors are the
-labels on which a linear classifier is trained, and that scores every text.
+the label). A generative label model of the votes of all documents has each
+voter depend on the class and on one other voter: expectation maximisation
+estimates how often each fires in either class (its accuracy) and how it goes
+with that other one within the class (their correlation), and which other one
+that is. Labels only say where it begins, and so which class is which. Its
+posteriors are the labels on which a linear classifier is trained over
+labelled and unlabelled documents alike, and that scores every text.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import stored
-from .common import map_texts, table, utf8, without
+from .common import map_texts, table, unused, utf8, without
 
 #: Common insults, a voter for each language.
 LEXICONS = {
@@ -53,27 +55,24 @@ def held_out(doc_id: Column) -> Column:
 
 def _counts(batches):
     """Documents and positive documents of each feature, per task."""
-    seen, positive, n = Counter(), Counter(), [0, 0]
+    seen, positive = Counter(), Counter()
     for b in batches:
         for label, data in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
             found = features_of(data.decode())
-            n[label] += 1
             seen.update(found)
             if label:
                 positive.update(found)
-    rows = [("", n[1], n[0] + n[1])] + [(f, positive[f], k) for f, k in seen.items() if f in positive]
-    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["feature", "positive", "n"])
+    rows = [(f, positive[f], k) for f, k in seen.items()]
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["feature", "positive", "n"])
 
 
-def _induced(sample: DataFrame) -> tuple[list[str], float]:
-    """Features that go with the label, strongest first, and the share of positive rows."""
+def _induced(sample: DataFrame) -> list[str]:
+    """Features that go with the label, strongest first."""
     counted = map_texts(sample.select("label", "text"), _counts, "feature string, positive long, n long").groupBy("feature").agg(F.sum("positive").alias("positive"), F.sum("n").alias("n"))
-    total = counted.where("feature = ''").first()
-    share = (total["positive"] + 1) / (total["n"] + 2) if total else 0.1
     strength = F.col("positive") * F.log2((F.col("positive") + 0.5) / (F.col("n") - F.col("positive") + 0.5))
-    good = counted.where((F.col("feature") != "") & (F.col("positive") >= LEAST_POSITIVE) & (F.col("positive") >= LEAST_PRECISION * F.col("n")))
+    good = counted.where((F.col("positive") >= LEAST_POSITIVE) & (F.col("positive") >= LEAST_PRECISION * F.col("n")))
     rows = good.select("feature", strength.alias("s")).orderBy(F.desc("s"), "feature").limit(MOST_FEATURES).collect()
-    return [r["feature"] for r in rows], share
+    return [r["feature"] for r in rows]
 
 
 class Voters:
@@ -106,45 +105,66 @@ class Voters:
         return sorted(found), votes
 
 
-def _vote(batches, held):
+def _vote(batches, held, features: str, votes: str):
+    """Features and votes in place of the last column, the text."""
     voters: Voters = held.value
     for b in batches:
         found = [voters.of(x.decode()) for x in utf8(b.column(b.num_columns - 1))]
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([f for f, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.int32())], names=[*b.schema.names[:-1], "__features", "__votes"])
-
-
-def label_model(votes: np.ndarray, weight: np.ndarray, gold: np.ndarray, share: float, rounds: int = 50) -> np.ndarray:
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([f for f, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.int32())], names=[*b.schema.names[:-1], features, votes])
+
+
+def correlated_tree(votes: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """Each voter's parent (-1 for the first): the tree of greatest mutual information within the classes."""
+    m = votes.shape[1]
+    info = np.zeros((m, m))
+    for w in mass:
+        whole, one = w.sum() + 1e-9, w @ votes
+        both = (votes.T * w) @ votes
+        for x in (0, 1):
+            for y in (0, 1):
+                n = {(1, 1): both, (1, 0): one[:, None] - both, (0, 1): one[None, :] - both, (0, 0): whole - one[:, None] - one[None, :] + both}[x, y]
+                apart = np.outer(one if x else whole - one, one if y else whole - one) / whole
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    info += np.where((n > 1e-9) & (apart > 0), n * np.log(n / apart), 0)
+    parent, near, of = np.full(m, -1), info[0].copy(), np.zeros(m, np.int64)
+    out = np.arange(m) > 0
+    for _ in range(m - 1):
+        j = int(np.where(out, near, -np.inf).argmax())
+        parent[j], out[j] = of[j], False
+        near, of = np.maximum(near, info[j]), np.where(info[j] > near, j, of)
+    return parent
+
+
+def voter_rates(votes: np.ndarray, mass: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """P(voter fires | class, parent's vote) as [class, parent's vote, voter], drawn a little to the rate without the parent."""
+    above = np.where(parent >= 0, votes[:, np.maximum(parent, 0)], 0)
+    alone = (mass @ votes + 0.5) / (mass.sum(axis=1, keepdims=True) + 1)
+    rate = np.stack([(mass @ ((above == x) * votes) + alone) / (mass @ (above == x) + 1) for x in (0, 1)], axis=1)
+    return np.clip(rate, 1e-6, 1 - 1e-6)
+
+
+def posterior(votes: np.ndarray, rate: np.ndarray, parent: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """P(class 1 | votes) of every pattern."""
+    above = np.where(parent >= 0, votes[:, np.maximum(parent, 0)], 0)
+    fires = np.where(above == 1, rate[:, None, 1], rate[:, None, 0])
+    log = (np.log(fires) * votes + np.log(1 - fires) * (1 - votes)).sum(axis=2) + np.log(prior)[:, None]
+    return 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
+
+
+def label_model(votes: np.ndarray, weight: np.ndarray, gold: np.ndarray, rounds: int = 50, tree_rounds: int = 20) -> np.ndarray:
     """Posterior of label 1 for every distinct vote pattern.
 
     votes: patterns x voters (0/1); weight: documents of each pattern; gold:
-    labelled (clean, toxic) documents of each, which start the estimate. Each
-    voter has a firing rate per class; after the rounds, the correlations that
-    two voters keep within the classes discount their evidence.
+    labelled (clean, toxic) documents of each, which only the first round
+    counts. The tree is chosen anew in the first ``tree_rounds`` rounds.
     """
-    prior = np.array([1 - share, share])
-    any_vote = votes.any(axis=1)
-    post = np.where(gold.sum(axis=1) > 0, (gold[:, 1] + 0.1 * share) / (gold.sum(axis=1) + 0.1), np.where(any_vote, 0.5, share / 2))
-    discount = np.ones(votes.shape[1])
+    mass = gold.T.astype(float)
     for i in range(rounds):
+        if i < tree_rounds:
+            parent = correlated_tree(votes, mass)
+        prior = (mass.sum(axis=1) + 1) / (mass.sum() + 2)
+        post = posterior(votes, voter_rates(votes, mass, parent), parent, prior)
         mass = np.stack([weight * (1 - post), weight * post])
-        rate = (mass @ votes + prior[:, None] * 0.5) / (mass.sum(axis=1, keepdims=True) + 1)
-        rate = np.clip(rate, 1e-6, 1 - 1e-6)
-        if i == rounds - 1:  # within-class correlations
-            corr = np.zeros((votes.shape[1],) * 2)
-            for c in (0, 1):
-                r = (votes - rate[c]) * np.sqrt(mass[c])[:, None]
-                cov = r.T @ r / max(mass[c].sum(), 1)
-                sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-                corr += cov / np.outer(sd, sd) / 2
-            np.fill_diagonal(corr, 0)
-            discount = 1 / (1 + np.clip(corr, 0, 1).sum(axis=1))
-        evidence = np.log(rate[1] / rate[0]) * votes + np.log((1 - rate[1]) / (1 - rate[0])) * (1 - votes)
-        logit = math.log(prior[1] / prior[0]) + (evidence * discount).sum(axis=1)
-        post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        sure = gold.sum(axis=1)
-        post = (post * weight + 20 * gold[:, 1]) / (weight + 20 * sure)  # a labelled document counts as a voter of its own
-        share = float(np.clip((post * weight).sum() / max(weight.sum(), 1), 1e-3, 0.5))
-        prior = np.array([1 - share, share])
     return post
 
 
@@ -161,79 +181,89 @@ def linear_fit(rows: list[list[int]], target: np.ndarray, n: int, ridge: float =
     return w
 
 
-def _score(batches, held):
+def _score(batches, held, out: str):
+    """The score in place of the last column, the features."""
     w = held.value
     for b in batches:
         z = [w[-1] + w[f].sum() if f else w[-1] for f in b.column(b.num_columns - 1).to_pylist()]
         score = 1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30)))
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score)], names=[*b.schema.names[:-1], "toxicity"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score)], names=[*b.schema.names[:-1], out])
 
 
-def _with_text_last(docs: DataFrame, text: str, *replaced: str) -> DataFrame:
-    base = without(docs, *replaced, "__text").withColumn("__text", F.col(f"`{text}`").cast("string"))
-    return base.select(*[F.col(f"`{c}`") for c in base.columns if c not in (text, "__text")], "__text")
+def _sampled(rows: DataFrame, most_rows: int, *key: str) -> DataFrame:
+    """At most so many rows, by a hash of the key under a limit that follows from the number of rows."""
+    n = rows.count()
+    if n > most_rows:
+        least = -(1 << 63)
+        rows = rows.where(F.xxhash64(*key) < F.lit(least + int((1 << 64) * 0.95 * most_rows / n)))
+    return rows.limit(most_rows)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = MOST_ROWS) -> tuple[Voters, np.ndarray, DataFrame]:
-    """The voters, the linear weights, and every row with its features and votes but without its text.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = MOST_ROWS, keep_text: bool = False) -> tuple[np.ndarray, DataFrame, str]:
+    """The linear weights, all rows with a column of their features in place of the text or beside it, and that column's name.
 
-    Learns from labelled rows that are not held out: of ids with several
-    labels the greatest counts, null labels and null ids count not at all.
-    Votes and their patterns are counted over all documents. Without labels
-    the fixed lexicons alone decide.
+    Labels are learned from at most ``most_rows`` labelled ids that are not
+    held out: of ids with several labels the greatest counts, null labels and
+    null ids count not at all. Votes and their patterns are counted over all
+    documents; the classifier is trained on the posteriors of at most
+    ``most_rows`` documents that are not held out, labelled or not. Without
+    labels the fixed lexicons alone decide.
     """
     sc = docs.sparkSession.sparkContext
     ids = F.col(f"`{doc_id}`")
     train = labels.where(ids.isNotNull() & F.col(label).isNotNull() & ~held_out(ids)).groupBy(ids.alias("__id")).agg(F.max(F.col(label).cast("int")).alias("label"))
-    train = stored(train.orderBy(F.xxhash64(F.col("__id").cast("string")), "__id").limit(most_rows), "labelled")
+    train = stored(_sampled(train.withColumn("__key", F.col("__id").cast("string")), most_rows, "__key").drop("__key"), "labelled")
     own = docs.select(ids.alias("__id"), F.col(f"`{text}`").cast("string").alias("text"))
-    induced, share = _induced(own.join(F.broadcast(train), "__id"))  # the sample's rows are bounded
+    induced = _induced(own.join(F.broadcast(train), "__id"))  # the sample's rows are bounded
     voters = Voters(induced)
     held = sc.broadcast(voters)
-    base = _with_text_last(docs, text, "toxicity")
-    schema = T.StructType([*base.schema.fields[:-1], T.StructField("__features", T.ArrayType(T.IntegerType())), T.StructField("__votes", T.IntegerType())])
-    voted = stored(map_texts(base, lambda it: _vote(it, held), schema), "votes")
-    fitted = voted.join(F.broadcast(train), voted[doc_id] == train["__id"]).select("__features", "__votes", "label")
-    patterns = voted.groupBy("__votes").agg(F.count("*").alias("n")).toPandas()  # at most 2 ** voters rows
-    rows = fitted.collect()  # at most most_rows, but for rows that share an id
-    if not rows:
-        return voters, np.append(np.full(len(voters.features), 3.0), -2.0), voted
-    at = {v: i for i, v in enumerate(patterns["__votes"])}
+    features, votes = unused(docs, "features"), unused(docs, "votes")
+    kept = docs if keep_text else docs.drop(text)
+    base = docs.select(*[F.col(f"`{c}`") for c in kept.columns], F.col(f"`{text}`").cast("string").alias(votes))
+    schema = T.StructType([*kept.schema.fields, T.StructField(features, T.ArrayType(T.IntegerType())), T.StructField(votes, T.IntegerType())])
+    voted = stored(map_texts(base, lambda it: _vote(it, held, features, votes), schema), "votes")
+    patterns = voted.groupBy(F.col(votes).alias("v")).agg(F.count("*").alias("n")).toPandas()  # at most 2 ** voters rows
+    seen = voted.select(ids.alias("__id"), F.col(votes).alias("v")).join(F.broadcast(train), "__id")
+    known = seen.groupBy("v", "label").agg(F.count("*").alias("n")).collect()  # as few
+    if not known:
+        return np.append(np.full(len(voters.features), 3.0), -2.0), voted, features
+    at = {v: i for i, v in enumerate(patterns["v"])}
     gold = np.zeros((len(patterns), 2))
-    for r in rows:
-        gold[at[r["__votes"]], r["label"]] += 1
-    votes = (patterns["__votes"].to_numpy()[:, None] >> np.arange(len(voters.names))) & 1
-    post = label_model(votes.astype(float), patterns["n"].to_numpy(float), gold, share)
-    target = np.array([post[at[r["__votes"]]] for r in rows])
-    return voters, linear_fit([r["__features"] for r in rows], target, len(voters.features)), voted
+    for r in known:
+        gold[at[r["v"]], r["label"]] = r["n"]
+    fired = (patterns["v"].to_numpy()[:, None] >> np.arange(len(voters.names))) & 1
+    post = label_model(fired.astype(float), patterns["n"].to_numpy(float), gold)
+    some = voted.where(~held_out(ids)).select(F.col(features).alias("f"), F.col(votes).alias("v"), F.coalesce(ids.cast("string"), F.lit("")).alias("__id"))
+    rows = _sampled(some, most_rows, "__id", "f").select("f", "v").collect()
+    return linear_fit([r["f"] for r in rows], np.array([post[at[r["v"]]] for r in rows]), len(voters.features)), voted, features
+
+
+def _scored(docs: DataFrame, weights: np.ndarray, voted: DataFrame, features: str, out: str) -> DataFrame:
+    """The rows with the score as ``out`` in place of features and votes."""
+    held = docs.sparkSession.sparkContext.broadcast(weights)
+    rows = voted.select(*[F.col(f"`{c}`") for c in docs.columns if c in voted.columns], features)
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(out, T.DoubleType())])
+    return map_texts(rows, lambda it: _score(it, held, out), schema)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = MOST_ROWS) -> DataFrame:
     """Add ``toxicity`` (0 to 1) to every row; the text is not returned.
 
     Scores depend on texts alone; null texts count as empty. An input column
-    ``toxicity`` is replaced. See `fit_toxicity` for what is learned from.
+    ``toxicity`` is replaced, all others stay; repeated rows stay repeated, no
+    rows give none. See `fit_toxicity` for what is learned from.
     """
-    _, weights, voted = fit_toxicity(docs, labels, doc_id, text, label, most_rows)
-    held = docs.sparkSession.sparkContext.broadcast(weights)
-    voted = voted.drop("__votes")
-    schema = T.StructType([*voted.schema.fields[:-1], T.StructField("toxicity", T.DoubleType())])
-    return map_texts(voted, lambda it: _score(it, held), schema)
-
-
-def _clean(batches, at: int, held, limit: float):
-    voters, w = held.value
-    for b in batches:
-        z = np.array([w[-1] + w[voters.of(x.decode())[0]].sum() for x in utf8(b.column(at))])
-        yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) < limit))
+    docs = without(docs, "toxicity")
+    return _scored(docs, *fit_toxicity(docs, labels, doc_id, text, label, most_rows), "toxicity")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", limit: float = 0.5) -> DataFrame:
-    """The rows whose score is under ``limit``, unchanged."""
-    voters, weights, _ = fit_toxicity(docs, labels, doc_id, text, label)
-    held = docs.sparkSession.sparkContext.broadcast((voters, weights))
-    at = docs.columns.index(text)
-    return map_texts(docs, lambda it: _clean(it, at, held, limit), docs.schema)
+    """The rows whose score is under ``limit``, with their columns as they are, whatever these are named.
+
+    Null and empty texts are scored like any other; a null id is no label's.
+    """
+    out = unused(docs, "score")
+    return _scored(docs, *fit_toxicity(docs, labels, doc_id, text, label, keep_text=True), out).where(F.col(out) < limit).drop(out)
 
 
 def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
