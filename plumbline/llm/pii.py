@@ -6,16 +6,17 @@ entities of a pattern-instance graph: a pattern is the cue before a value (or
 its upper-case prefix) with the value's shape, an instance is a value. A
 pattern's confidence is the mean belief in its instances, an instance's belief
 the best confidence of its patterns; after a few rounds, values in contexts of
-confident and well-supported patterns are spans too.
+confident and well-supported patterns are spans too, beside the seed entities
+that a cue or format marks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import stored
-from .common import table
+from .common import table, unused
 
 #: The base kinds, in the order that breaks ties, and their expressions. Java's possessive quantifiers
 #: replace greedy ones where nothing can follow, so that long runs need neither recursion nor a second look.
@@ -27,11 +28,15 @@ KINDS = {
 }
 _OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}$"
 #: Values that contexts are learned for: after a name and = or :, after a plain word, and with an upper-case prefix.
-#: Each match ends where its value ends; values have no greatest length.
+#: Each match ends where its value ends, and the second expression's group is the value; values have no greatest length.
+#: A value after = or : may have parts between single marks, as web tokens and passwords do, and padding at its end.
 CANDIDATES = {
-    "keyed": (r"(?<![\p{L}\p{N}_])\p{L}[\p{L}_-]{2,30}+ ?[=:] ?[\"']?[A-Za-z0-9+/_-]{6,}+", r"[A-Za-z0-9+/_-]++$"),
-    "word": (r"(?<![\p{L}\p{N}_+-])\p{L}{2,20}+ [\"']?(?=[A-Za-z-]*+[0-9])[A-Za-z0-9-]{6,}+(?![A-Za-z0-9@._-])", r"[A-Za-z0-9-]++$"),
-    "prefix": (r"(?<![A-Za-z0-9_])[A-Z]{2,6}[_-]?(?=[A-Z]*+[0-9])[A-Z0-9]{10,}+(?![A-Za-z0-9_])", r"[A-Z0-9_-]++$"),
+    "keyed": (
+        r"(?<![\p{L}\p{N}_])\p{L}[\p{L}_-]{2,30}+ ?[=:] ?[\"']?(?=[A-Za-z0-9+/_.~!@$%^*=:-]{6})[A-Za-z0-9+/_-]++(?:[.~!@$%^*=:][A-Za-z0-9+/_-]++)*+={0,2}+",
+        r"^\p{L}[\p{L}_-]{2,30}+ ?[=:] ?[\"']?(.*)$",
+    ),
+    "word": (r"(?<![\p{L}\p{N}_+-])\p{L}{2,20}+ [\"']?(?=[A-Za-z-]*+[0-9])[A-Za-z0-9-]{6,}+(?![A-Za-z0-9@._-])", r"([A-Za-z0-9-]++)$"),
+    "prefix": (r"(?<![A-Za-z0-9_])[A-Z]{2,6}[_-]?(?=[A-Z]*+[0-9])[A-Z0-9]{10,}+(?![A-Za-z0-9_])", r"([A-Z0-9_-]++)$"),
 }
 #: Cues whose values are seeds, and a published key format.
 SEED_CUES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "auth", "ssn", "iban", "passport")
@@ -91,8 +96,12 @@ def _shape(value: Column) -> Column:
     return F.when(hexadecimal, F.lit("hex")).when(value.rlike("^[0-9]+$"), F.concat(F.lit("9x"), F.length(value).cast("string"))).otherwise(F.when(F.length(classed) <= 12, classed).otherwise(F.lit("mixed")))
 
 
+def _instance(value: Column) -> Column:
+    return F.xxhash64(value, F.length(value))
+
+
 def _findings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, print, base, found) per row: base spans (start, kind, end) and candidates with their patterns."""
+    """(doc_id, print, base, found) per row: base spans (start, kind, end, instance) and candidates with their patterns."""
     t = F.coalesce(F.col("__text"), F.lit(""))
     out = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("__text"))
     out = out.select("doc_id", F.xxhash64(t, F.length(t)).alias("print"), t.alias("__text"))
@@ -105,15 +114,15 @@ def _findings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     def candidates(kind: str, tail: str) -> Column:
         def one(m: Column) -> Column:
-            value = F.regexp_extract(m["value"], tail, 0)
+            value = F.regexp_extract(m["value"], tail, 1)
             cue = F.lower(F.regexp_extract(m["value"], r"^[\p{L}_-]+", 0)) if kind != "prefix" else F.concat(F.substring(value, 1, 4), F.length(value).cast("string"))
             pattern = F.concat_ws("|", F.lit(kind), cue, _shape(value) if kind != "prefix" else F.lit(""))
-            seed = (F.lit(kind == "keyed") & cue.isin(*SEED_CUES) & value.rlike("[0-9]")) | value.rlike(SEED_FORMAT) | F.exists("__base", lambda b: b["value"] == value)
-            return F.struct((m["end"] - F.length(value)).alias("start"), m["end"].alias("end"), pattern.alias("pattern"), F.xxhash64(value, F.length(value)).alias("instance"), seed.alias("seed"))
+            seed = (F.lit(kind == "keyed") & cue.isin(*SEED_CUES) & value.rlike("[0-9]")) | value.rlike(SEED_FORMAT)
+            return F.struct((m["end"] - F.length(value)).alias("start"), m["end"].alias("end"), pattern.alias("pattern"), _instance(value).alias("instance"), seed.alias("seed"))
 
         return F.filter(F.transform(f"__{kind}", one), lambda c: c["end"] > c["start"])
 
-    return out.select("doc_id", "print", F.transform("__base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end"))).alias("base"), F.concat(*[candidates(k, tail) for k, (_, tail) in CANDIDATES.items()]).alias("found"))
+    return out.select("doc_id", "print", F.transform("__base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end"), _instance(b["value"]).alias("instance"))).alias("base"), F.concat(*[candidates(k, tail) for k, (_, tail) in CANDIDATES.items()]).alias("found"))
 
 
 def confident_patterns(edges: DataFrame, rounds: int = ROUNDS, least: float = LEAST_CONFIDENCE, support: int = LEAST_SUPPORT) -> DataFrame:
@@ -134,8 +143,30 @@ def confident_patterns(edges: DataFrame, rounds: int = ROUNDS, least: float = LE
     return patterns.where((F.col("confidence") >= least) & (F.col("n") >= support)).select("pattern", "confidence")
 
 
-def _disjoint(extra: Column, base: Column) -> Column:
-    return F.filter(extra, lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+def _chosen(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    """(doc_id, print, extra): of the spans taken (doc_id, print, start, end) those that overlap no base span and lie in no longer one.
+
+    Spans are compared in order of place with what came before and what
+    follows, so a text of many spans costs their sorting.
+    """
+    none = F.lit(None).cast("int")
+    texts = taken.select(F.col("doc_id").alias("__id"), F.col("print").alias("__print")).distinct()
+    base = rows.join(texts, rows["doc_id"].eqNullSafe(texts["__id"]) & (rows["print"] == texts["__print"]), "left_semi")
+    base = base.select("doc_id", "print", F.explode("base").alias("b")).select("doc_id", "print", "b.start", "b.end", F.lit(True).alias("is_base"))
+    spans = taken.select("doc_id", "print", "start", "end", F.lit(False).alias("is_base")).unionAll(base).distinct()
+    order = Window.partitionBy("doc_id", "print").orderBy("start", F.desc("end"), "is_base")
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    end, start, is_base = F.col("end"), F.col("start"), F.col("is_base")
+    spans = spans.withColumns(
+        {
+            "base_end": F.max(F.when(is_base, end).otherwise(none)).over(before),
+            "base_start": F.min(F.when(is_base, start).otherwise(none)).over(after),
+            "own_end": F.max(F.when(~is_base, end).otherwise(none)).over(before),
+        }
+    )
+    free = (F.coalesce("base_end", F.lit(0)) <= start) & (F.coalesce("base_start", end) >= end) & (F.coalesce("own_end", F.lit(0)) < end)
+    good = spans.where(~is_base & free)
+    return good.groupBy("doc_id", "print").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end")).alias("extra"))
 
 
 def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -149,14 +180,17 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """
     rows = stored(_findings(docs, doc_id, text), "findings")
     each = rows.select("doc_id", "print", F.explode("found").alias("c")).select("doc_id", "print", "c.*")
-    good = confident_patterns(each.select("pattern", "instance", "seed"))
-    taken = each.join(good, "pattern").groupBy("doc_id", "print").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("extra"))
-    taken = taken.select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"), "extra")
-    same = rows["doc_id"].eqNullSafe(taken["__id"]) & (rows["print"] == taken["__print"])
-    joined = rows.join(taken, same, "left").select("doc_id", "print", "base", F.coalesce("extra", F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")).alias("extra"))
-    own = _disjoint(F.col("extra"), F.col("base"))
-    longest = F.filter(own, lambda x: ~F.exists("extra", lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & ((y["end"] - y["start"]) > (x["end"] - x["start"]))))
-    return joined.select("doc_id", "print", "base", F.array_sort(F.concat("base", longest)).alias("spans"))
+    known = rows.select(F.explode("base.instance").alias("instance")).distinct().withColumn("known", F.lit(True))
+    edges = each.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")).join(known, "instance", "left")
+    good = confident_patterns(edges.select("pattern", "instance", (F.col("seed") | F.coalesce("known", F.lit(False))).alias("seed")))
+    believed = each.join(good, "pattern", "left").where(F.col("seed") | F.col("confidence").isNotNull())
+    taken = stored(believed.select("doc_id", "print", "start", "end").distinct(), "taken")
+    extra = _chosen(rows, taken)
+    extra = extra.select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"), "extra")
+    same = rows["doc_id"].eqNullSafe(extra["__id"]) & (rows["print"] == extra["__print"])
+    base = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end")))
+    joined = rows.join(extra, same, "left").select("doc_id", "print", base.alias("base"), F.coalesce("extra", F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")).alias("extra"))
+    return joined.select("doc_id", "print", "base", F.array_sort(F.concat("base", "extra")).alias("spans"))
 
 
 def _named(spans: str) -> Column:
@@ -166,12 +200,17 @@ def _named(spans: str) -> Column:
 
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Replace every span by its kind in brackets; overlapping spans become one. Null texts stay null."""
+    """Replace every span by its kind in brackets; overlapping spans become one.
+
+    All rows and columns stay, whatever these are named. Null texts stay null,
+    empty ones empty; rows that agree in id and text are cut alike.
+    """
+    id_, own, spans = unused(docs, "id_of_spans"), unused(docs, "print"), unused(docs, "spans_of_text")
     found = find_pii(docs, doc_id, text).where(F.size("spans") > 0).dropDuplicates(["doc_id", "print"])
-    found = found.select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"), F.col("spans").alias("__spans"))
+    found = found.select(F.col("doc_id").alias(id_), F.col("print").alias(f"{own}_of_spans"), F.col("spans").alias(spans))
     t = F.col(f"`{text}`").cast("string")
-    keyed = docs.withColumn("__own", F.xxhash64(F.coalesce(t, F.lit("")), F.length(F.coalesce(t, F.lit("")))))
-    joined = keyed.join(found, keyed[doc_id].eqNullSafe(found["__id"]) & (keyed["__own"] == found["__print"]), "left")
+    keyed = docs.withColumn(own, F.xxhash64(F.coalesce(t, F.lit("")), F.length(F.coalesce(t, F.lit("")))))
+    joined = keyed.join(found, keyed[f"`{doc_id}`"].eqNullSafe(found[id_]) & (keyed[own] == found[f"{own}_of_spans"]), "left")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in [*KINDS, "identifier"]])
     start = F.expr("struct(0 as at, cast(array() as array<string>) as parts)")
 
@@ -181,8 +220,8 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         inside = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["parts"].alias("parts"))
         return F.when(s["start"] >= acc["at"], later).otherwise(inside)
 
-    cut = F.aggregate("__spans", start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(t, acc["at"] + 1, F.length(t))))
-    return joined.withColumn(text, F.when(F.col("__spans").isNotNull(), cut).otherwise(t)).select(*[f"`{c}`" for c in docs.columns])
+    cut = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(t, acc["at"] + 1, F.length(t))))
+    return joined.withColumn(text, F.when(F.col(spans).isNotNull(), cut).otherwise(t)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
