@@ -21,12 +21,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, table, utf8, without
+from ..storage import stored
+from .common import map_texts, table, unused, utf8, without
 from .repeats import merged
 
 WINDOW = 10
-#: Text bytes of a shard, and benchmark bytes of a block of phrases; further blocks are searched one after another.
-SHARD_BYTES, BLOCK_BYTES = 4 << 20, 16 << 20
+#: Text bytes of a shard, and benchmark bytes of a block of phrases. Blocks are searched one after another, and each is
+#: dropped before the next is sent: an executor holds one, some ten times its text.
+SHARD_BYTES, BLOCK_BYTES = 4 << 20, 4 << 20
 SAMPLE_EVERY = 8
 #: Lower-cases A-Z; bytes that are in no word become spaces (all bytes of non-ASCII code points are word bytes).
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -233,23 +235,34 @@ def _search(batches, held):
         yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(n_words, pa.int32()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], names=b.schema.names)
 
 
+def _searched(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, window: int, names: tuple[str, str, str]) -> DataFrame:
+    """All rows and columns with the number of words, the spans and the items as new columns of these names."""
+    words, spans, items = names
+    body = unused(docs, "text_to_search")
+    out = docs.withColumn(body, F.col(f"`{text}`").cast("string"))
+    out = out.withColumns({words: F.lit(0), spans: F.expr("cast(array() as array<struct<start:int,end:int>>)"), items: F.expr("cast(array() as array<string>)")})
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
+    last = None
+    for block in _blocks(benchmark, item_id, item_text):
+        if last is not None:  # a further block: what was found so far is written, and its phrases go
+            out = stored(out, "searched")
+            last.unpersist()
+        last = docs.sparkSession.sparkContext.broadcast(Phrases(block, window))
+        out = map_texts(out, lambda it, held=last: _search(it, held), schema)
+    return out.drop(body)
+
+
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """Add n_words, hit_spans (words inside any occurrence of a window, merged) and hit_items to every row.
 
     An item's windows are its runs of ``window`` words; an item of fewer words
     is one window, an item of none (or null) has no window. Null texts have no
     words. An item with a null id marks words but is not listed; ids compare
-    as strings. Input columns named as the new ones are replaced.
+    as strings. Input columns named as the new ones are replaced; repeated
+    rows stay repeated, and no rows give none.
     """
-    spark = docs.sparkSession
-    new = ["n_words", "hit_spans", "hit_items"]
-    out = without(docs, *new, "__text").withColumn("__text", F.col(f"`{text}`").cast("string"))
-    out = out.withColumns({"n_words": F.lit(0), "hit_spans": F.expr("cast(array() as array<struct<start:int,end:int>>)"), "hit_items": F.expr("cast(array() as array<string>)")})
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
-    for block in _blocks(benchmark, item_id, item_text):
-        held = spark.sparkContext.broadcast(Phrases(block, window))
-        out = map_texts(out, lambda it, held=held: _search(it, held), schema)
-    return out.drop("__text")
+    names = ("n_words", "hit_spans", "hit_items")
+    return _searched(without(docs, *names), benchmark, text, item_id, item_text, window, names)
 
 
 _BYTES_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -277,13 +290,15 @@ def _cut(batches, at: int):
 
 
 def remove_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Cut every occurrence of the benchmark's windows out of the texts; all rows and all other columns stay."""
-    found = find_benchmark(docs.withColumn(text, F.col(f"`{text}`").cast("string")), benchmark, text, item_id, item_text, window)
-    clashes = [c for c in docs.columns if c.lower() in ("n_words", "hit_spans", "hit_items")]
-    if clashes:
-        raise ValueError(f"rename the columns {clashes} first")
-    found = found.drop("n_words", "hit_items")
-    at = found.columns.index(text)
+    """Cut every occurrence of the benchmark's windows out of the texts.
+
+    All rows and all other columns stay, whatever these are named. Null texts
+    stay null, texts without an occurrence as they are, to the byte.
+    """
+    docs = docs.withColumn(text, F.col(f"`{text}`").cast("string"))
+    names = tuple(unused(docs, n) for n in ("n_words", "hit_spans", "hit_items"))
+    found = _searched(docs, benchmark, text, item_id, item_text, window, names).select(*[F.col(f"`{c}`") for c in docs.columns], names[1])
+    at = docs.columns.index(text)
     return map_texts(found, lambda it: _cut(it, at), T.StructType([T.StructField(f.name, f.dataType) for f in found.schema.fields[:-1]]))
 
 
