@@ -6,7 +6,8 @@ documents) is fitted by non-negative least squares over patterns of two
 to four lengths that fill a sequence; repeat counts are rounded down,
 and the residual is packed best-fit decreasing, still by counts. Pieces then
 take the slots of their length by rank. Only the histogram and the plan pass
-through the driver, and both are bounded by the sequence length.
+through the driver, and both are bounded by the sequence length; where a rank
+group begins within its length is counted and joined as a table.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from .common import map_texts, table, utf8
 SEQUENCE, END_ID = 1024, 2
 #: Pieces that one rank group should hold; the number of groups per length grows with the pieces.
 RANK_ROWS, LEAST_SALTS = 200_000, 64
-#: Token units whose ids a worker keeps.
-MEMO_UNITS = 1_200_000
+#: Bytes of token units and their ids that a worker keeps, and those that an entry takes beside them.
+MEMO_BYTES, MEMO_ENTRY = 160 << 20, 150
 _BREAK, _LOOSE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s | \s|^ | $")
 _SPECIAL = re.compile(r"<\|endoftext\|>")
 #: Units of these code points are the same to both libraries' splitting expressions.
@@ -51,7 +52,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo, self.fast = Tokenizer.from_file(path), {}, None
+        self.tokenizer, self.memo, self.size, self.fast = Tokenizer.from_file(path), {}, 0, None
         if ranks:
             import public_tokenizers
             import tiktoken
@@ -76,12 +77,15 @@ class Encoder:
                 continue
             parts = _BREAK.split(t) if _LOOSE.search(t) else t.split(" ")
             units.append([parts[0], *[" " + p for p in parts[1:]]])
-        new = list({u for us in units if us for u in us if u not in self.memo})
-        if len(self.memo) + len(new) > MEMO_UNITS:
+        if self.size > MEMO_BYTES:  # what the present batch adds is bounded by its texts
             self.memo.clear()
-            new = list({u for us in units if us for u in us})
+            self.size = 0
+        new = list({u for us in units if us for u in us if u not in self.memo})
         for i in range(0, len(new), 20_000):
-            self.memo.update(zip(new[i : i + 20_000], self._ids(new[i : i + 20_000]), strict=True))
+            some = new[i : i + 20_000]
+            ids = self._ids(some)
+            self.memo.update(zip(some, ids, strict=True))
+            self.size += MEMO_ENTRY * len(some) + sum(map(len, some)) + sum(map(len, ids))
         memo = self.memo.__getitem__
         return [b"".join(map(memo, us)) if us else self._ids([t])[0] if t else b"" for t, us in zip(texts, units, strict=True)]
 
@@ -198,7 +202,7 @@ def best_fit_counts(left: np.ndarray, sequence: int) -> dict[tuple[int, ...], in
 
 
 #: Shares of the fitted repeat counts that are tried; the fewest sequences win.
-SHARES = (1.0, 0.98, 0.9, 0.75, 0.5, 0.25, 0.1)
+SHARES = (1.0, 0.98, 0.9)
 
 
 def _with_share(left: np.ndarray, plans: list[tuple[int, ...]], x: np.ndarray, sequence: int) -> dict[tuple[int, ...], int]:
@@ -252,11 +256,11 @@ class Slots:
         return r[:, 2] + nth // r[:, 3], r[:, 4] + nth % r[:, 3] * length
 
 
-def _place(batches, held, salts: int):
-    slots, before = held.value
+def _place(batches, held):
+    """Sequence and offset in place of (before, nth), a piece's rank within its length in two parts."""
     for b in batches:
-        length, salt, nth = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (3, 5, 6))
-        sequence, offset = slots.find(length, before[length * salts + salt] + nth)
+        length, before, nth = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (3, 5, 6))
+        sequence, offset = held.value.find(length, before + nth)
         yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset)], names=[*b.schema.names[:5], "sequence_id", "offset"])
 
 
@@ -264,8 +268,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every piece of every row and its place.
 
     A row's ids are the tokenizer's and then id 2; null and empty texts have
-    that one. Rows that share an id are packed each for itself. No rows give
-    no pieces. Other columns are not read.
+    that one. Rows that share an id, null too, are packed each for itself. No
+    rows give no pieces. Other columns are not read.
     """
     if tokenizer is None:
         import public_tokenizers
@@ -275,16 +279,17 @@ def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None
     pieces = stored(map_texts(base, lambda it: _pieces(it, (tokenizer, ranks), sequence), "doc_id long, piece int, start long, length int, ids_crc32 long"), "pieces")
     salts = max(LEAST_SALTS, pieces.count() // RANK_ROWS)
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    before, counts = np.zeros((sequence + 1) * salts, np.int64), np.zeros(sequence + 1, np.int64)
-    for r in salted.groupBy("length", "salt").agg(F.count("*").alias("n")).toLocalIterator():
-        before[r["length"] * salts + r["salt"]] = r["n"]
-    grid = before.reshape(sequence + 1, salts)
-    counts[:] = grid.sum(axis=1)
-    before = (np.cumsum(grid, axis=1) - grid).ravel()
-    held = docs.sparkSession.sparkContext.broadcast((Slots(plan_sequences(counts, sequence)), before))
+    sizes = stored(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "rank-groups")
+    counts = np.zeros(sequence + 1, np.int64)
+    for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect():  # a row a length, at most sequence
+        counts[r["length"]] = r["n"]
+    held = docs.sparkSession.sparkContext.broadcast(Slots(plan_sequences(counts, sequence)))
+    earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("length").alias("l"), F.col("salt").alias("s"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("nth", F.row_number().over(order) - 1)
-    return ranked.mapInArrow(lambda it: _place(it, held, salts), "doc_id long, piece int, start long, length int, ids_crc32 long, sequence_id long, offset long")
+    ranked = ranked.join(starts, (F.col("length") == F.col("l")) & (F.col("salt") == F.col("s"))).select(*pieces.columns, "before", "nth")
+    return ranked.mapInArrow(lambda it: _place(it, held), "doc_id long, piece int, start long, length int, ids_crc32 long, sequence_id long, offset long")
 
 
 def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
