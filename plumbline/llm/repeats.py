@@ -4,9 +4,11 @@ Seeds are winnowed anchors: of every 13 consecutive 8-word hashes the smallest
 is kept, so that each window of 20 words has exactly one anchor and equal
 windows have equal anchors. Documents meet on anchors that occur at least
 twice; from each such seed the match is extended to the left and to the right
-over all windows that hold the anchor, by comparing their 96-bit hashes with
-those of the other documents on that seed. Covered windows merge into maximal
-repeats of at least 20 words; the earliest copy stays.
+over all windows that hold the anchor. A seed's documents are not compared two
+by two, as a third of all may share one: each of its windows is joined by the
+hash of its words (64 and 32 bits, of two polynomials over different word
+hashes) with the earliest document that has it. Covered windows merge into
+maximal repeats of at least 20 words; the earliest copy stays.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ MIN_WORDS, ANCHOR_WORDS = 20, 8
 SEED_BITS, LEAST_BITS, MOST_BITS = 12, 16, 30
 _SHIFTS = (0, 16, 33)
 _NULL_ID = -(1 << 63)
-_B = np.uint64(0x9E3779B97F4A7C15)
-_FLUSH = 400_000
+_B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_FLUSH, _SHIFT = 400_000, 20
 
 
 class _Hashes(dict):
@@ -43,9 +45,9 @@ def _mix(x: np.ndarray, c: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _grams(words: np.ndarray, n: int) -> np.ndarray:
-    """Polynomial hash of every n consecutive word hashes, by doubling."""
-    done, power, length, step, base = None, None, 0, words, _B
+def _grams(words: np.ndarray, n: int, at: np.uint64 = _B) -> np.ndarray:
+    """Polynomial hash (the polynomial's value ``at`` a point) of every n consecutive word hashes, by doubling."""
+    done, power, length, step, base = None, None, 0, words, at
     size = 1
     while True:
         if n & size:
@@ -54,7 +56,7 @@ def _grams(words: np.ndarray, n: int) -> np.ndarray:
             else:  # step covers `size` words, done the `length` words after them
                 done = step[: max(0, len(done) - size)] * power + done[size:]
                 length += size
-            power = _pow(length)
+            power = _pow(length, at)
         if size * 2 > n:
             return done
         step = step[: max(0, len(step) - size)] * base + step[size:]
@@ -62,8 +64,8 @@ def _grams(words: np.ndarray, n: int) -> np.ndarray:
         size *= 2
 
 
-def _pow(n: int) -> np.uint64:
-    return np.uint64(pow(int(_B), n, 1 << 64))
+def _pow(n: int, at: np.uint64) -> np.uint64:
+    return np.uint64(pow(int(at), n, 1 << 64))
 
 
 def windows(words: list[bytes], memo: dict, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -76,8 +78,8 @@ def windows(words: list[bytes], memo: dict, min_words: int = MIN_WORDS) -> tuple
         h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
         k = min(ANCHOR_WORDS, min_words)
         grams = _mix(_grams(h, k), 0x94D049BB133111EB)
-        whole = _grams(h, min_words)
-        first, second = _mix(whole, 0xD6E8FEB86659FD93), (_mix(whole ^ np.uint64(0x5851F42D4C957F2D), 0xFF51AFD7ED558CCD) >> np.uint64(33)).astype(np.int32)
+        first = _mix(_grams(h, min_words), 0xD6E8FEB86659FD93)
+        second = (_mix(_grams(_mix(h, 0xFF51AFD7ED558CCD), min_words, _C), 0x94D049BB133111EB) >> np.uint64(32)).astype(np.uint32).view(np.int32)
     view = np.lib.stride_tricks.sliding_window_view(grams, min_words - k + 1)
     at = np.empty(n, np.int64)
     for i in range(0, n, 200_000):
@@ -136,6 +138,11 @@ def _seed_filter(seeds: DataFrame) -> SeedFilter:
     return SeedFilter(words.view(np.uint64), log2)
 
 
+def _both(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """One 64-bit name of a window within its document."""
+    return first ^ (second.astype(np.int64).view(np.uint64) << np.uint64(_SHIFT))
+
+
 def _seeded(batches, min_words: int, held):
     """(first, second, doc) of the distinct windows on a seed, per document."""
     memo, seeds = _Hashes(), held.value
@@ -146,7 +153,7 @@ def _seeded(batches, min_words: int, held):
             anchor, _, first, second = windows(data.split(), memo, min_words)
             on = np.flatnonzero(seeds.holds(anchor))
             if len(on):
-                _, own = np.unique(first[on], return_index=True)
+                _, own = np.unique(_both(first[on], second[on]), return_index=True)
                 cols[0].append(first[on][own].view(np.int64))
                 cols[1].append(second[on][own])
                 cols[2].append(np.full(len(own), doc, np.int64))
@@ -169,15 +176,16 @@ def _cut(batches, min_words: int, held):
         n_words, spans, kept = [], [], []
         for i, data in enumerate(texts):
             words = data.split()
-            anchor, _, first, _ = windows(words, memo, min_words)
+            anchor, _, first, second = windows(words, memo, min_words)
+            name = _both(first, second)
             later = seeds.holds(anchor)
             on = np.flatnonzero(later)
             if len(on):
-                _, own = np.unique(first[on], return_index=True)
+                _, own = np.unique(name[on], return_index=True)
                 earliest = on[own]
                 mine = firsts[i].values
                 if mine is not None:
-                    later[earliest[np.isin(first[earliest].view(np.int64), mine.to_numpy(zero_copy_only=False))]] = False
+                    later[earliest[np.isin(name[earliest].view(np.int64), mine.to_numpy(zero_copy_only=False))]] = False
             marks = np.zeros(len(words) + 1, np.int64)
             at = np.flatnonzero(later)
             np.add.at(marks, at, 1)
@@ -205,7 +213,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     seeds = stored(anchors.groupBy("anchor").agg(F.sum("times").alias("times")).where("times > 1").select("anchor"), "seeds")
     held = spark.sparkContext.broadcast(_seed_filter(seeds))
     on_seed = map_texts(keyed, lambda it: _seeded(it, min_words, held), "first long, second int, doc long")
-    first = on_seed.groupBy("first", "second").agg(F.min("doc").alias("doc")).groupBy("doc").agg(F.collect_list("first").alias("firsts"))
+    first = on_seed.groupBy("first", "second").agg(F.min("doc").alias("doc"))
+    name = F.col("first").bitwiseXOR(F.shiftleft(F.col("second").cast("long"), _SHIFT))
+    first = first.groupBy("doc").agg(F.collect_list(name).alias("firsts"))
     cut = map_texts(keyed.join(first, "doc", "left").select(F.expr(f"nullif(doc, {_NULL_ID}L)").alias("doc_id"), "text", "firsts"), lambda it: _cut(it, min_words, held), "doc_id long, n_words int, spans array<struct<start:int,end:int>>, kept string")
     return cut
 
