@@ -54,6 +54,15 @@ def test_repeats_random(spark, seed, n, vocabulary):
     assert all(s.end - s.start >= n for r in got for s in r.spans)
 
 
+def test_repeats_with_colliding_hashes(spark, monkeypatch):
+    """A first hash of 6 bits: the second one keeps windows apart."""
+    real = repeats._mix
+    monkeypatch.setattr(repeats, "_mix", lambda x, c: real(x, c) & np.uint64(63) if c == 0xD6E8FEB86659FD93 else real(x, c))
+    texts = random_texts(8, vocabulary=4)
+    got = repeats.remove_repeats(docs(spark, texts), min_words=9).collect()
+    assert {r.doc_id: (r.n_words, sum(s.end - s.start for s in r.spans), hashlib.sha256(r.kept.encode()).hexdigest()) for r in got} == brute_repeats(list(enumerate(texts)), 9)
+
+
 def test_repeats_query(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in repeats.op4_seed_extend(spark, SF).collect()}
@@ -121,6 +130,16 @@ def test_benchmark_query(spark):
     assert sum(v[1] > 0 for v in got.values()) > 0
 
 
+def test_removal_keeps_clashing_columns(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, f"a {text} b", 5, "x", "y"), (1, f"a {text} b", 5, "x", "y"), (2, None, 6, "x", "y"), (3, "", 7, "x", "y"), (None, "clean   text\n", 8, "x", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words int, hit_spans string, text_to_search string")
+    out = decontaminate.remove_benchmark(df, spark.createDataFrame([(1, text), (None, None)], "item_id long, text string"))
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[2]) == [(1, "a  b", 5, "x", "y")] * 2 + [(2, None, 6, "x", "y"), (3, "", 7, "x", "y"), (None, "clean   text\n", 8, "x", "y")]
+    assert decontaminate.remove_benchmark(df.limit(0), spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
 def test_benchmark_empty_tables(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     df = docs(spark, ["a b", None])
@@ -239,6 +258,46 @@ def test_packing_query(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_ids_of_a_whole_table_are_the_tokenizers():
+    """Every text of a table, by both libraries and with a memo that is cleared all the time."""
+    import duckdb
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [t or "" for (t,) in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    tok = Tokenizer.from_file(path)
+    want = [np.array(x.ids, "<u4").tobytes() for x in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    encoder = packing.Encoder(path, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    assert encoder.encode(texts) == want
+    bytes_, packing.MEMO_BYTES = packing.MEMO_BYTES, 1000
+    try:
+        encoder = packing.Encoder(path, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+        assert [x for i in range(0, 200, 20) for x in encoder.encode(texts[i : i + 20])] == want[:200]
+        assert encoder.size < 1 << 22
+    finally:
+        packing.MEMO_BYTES = bytes_
+
+
+def test_packing_repeated_ids_and_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANK_ROWS", 3)
+    monkeypatch.setattr(packing, "LEAST_SALTS", 2)
+    rows = [(i % 5 or None, f"text {i % 7}" * (i % 11), "x", 1) for i in range(300)]
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, length string, before int").repartition(5)).collect()
+    assert len(packed) == 300
+    places = defaultdict(list)
+    for p in packed:
+        places[p.sequence_id].append((p.offset, p.length))
+    for own in places.values():
+        assert [o for o, _ in sorted(own)] == [0, *np.cumsum([n for _, n in sorted(own)]).tolist()[:-1]] and sum(n for _, n in own) <= 1024
+
+
+def test_packing_query_columns(spark):
+    got = packing.op6_pattern_packing(spark, SF)
+    assert dict(got.dtypes) == {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint"}
+    assert {r.doc_id for r in got.collect()} == {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
 def test_plan_holds_exactly_the_counts():
     rng = np.random.default_rng(0)
     for top in (3, 300, 1024):

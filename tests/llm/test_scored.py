@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,3 +206,56 @@ def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [x.toxicity >= 0.5 for x in toxicity.score_toxicity(df, none).orderBy("doc_id").collect()] == [True, False, False]
     assert toxicity.score_toxicity(df.limit(0), none).count() == 0
+
+
+def test_label_model_against_enumeration():
+    """Votes drawn from a known tree: the model finds rates and correlated voters, and its posterior is Bayes' rule over all patterns."""
+    rng = np.random.default_rng(4)
+    n, share = 40_000, 0.2
+    y = rng.random(n) < share
+    fire = np.array([[0.05, 0.7], [0.1, 0.6], [0.02, 0.5], [0.2, 0.8]])
+    v = (rng.random((n, 4)) < fire[:, y.astype(int)].T).astype(int)
+    v = np.column_stack([v, np.where(rng.random(n) < 0.95, v[:, 0], 1 - v[:, 0])])  # a fifth voter copies the first
+    patterns, at = np.unique(v, axis=0, return_inverse=True)
+    weight = np.bincount(at).astype(float)
+    gold = np.zeros((len(patterns), 2))
+    np.add.at(gold, (at[:400], y[:400].astype(int)), 1)
+    post = toxicity.label_model(patterns.astype(float), weight, gold)
+    true = np.bincount(at, y) / weight
+    often = weight > 200
+    assert np.abs(post - true)[often].max() < 0.08
+    mass = np.stack([np.bincount(at, ~y), np.bincount(at, y)]).astype(float)
+    parent = toxicity.correlated_tree(patterns.astype(float), mass)
+    assert parent[4] == 0 or parent[0] == 4
+    rate = toxicity.voter_rates(patterns.astype(float), mass, parent)
+    prior = np.array([0.8, 0.2])
+    joint = np.empty((len(patterns), 2))
+    for i, p in enumerate(patterns):
+        for c in (0, 1):
+            joint[i, c] = prior[c]
+            for j, x in enumerate(p):
+                r = rate[c, p[parent[j]] if parent[j] >= 0 else 0, j]
+                joint[i, c] *= r if x else 1 - r
+    assert toxicity.posterior(patterns.astype(float), rate, parent, prior) == pytest.approx(joint[:, 1] / joint.sum(axis=1))
+    # counting the copy as a voter of its own would be surer than the data are
+    alone = toxicity.posterior(patterns.astype(float), toxicity.voter_rates(patterns.astype(float), mass, np.full(5, -1)), np.full(5, -1), prior)
+    assert np.abs(post - true)[often].max() < np.abs(alone - true)[often].max()
+
+
+def test_toxicity_query(spark):
+    got = toxicity.op8_weak_supervision(spark, SF).collect()
+    ids = [r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    assert sorted(r.doc_id for r in got) == sorted(ids)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+
+
+def test_toxicity_edges(spark):
+    long = "fine words here " * 40_000
+    rows = [(1, long, 0.5, "f"), (1, long, 0.5, "f"), (2, long + "idiot", 0.1, "f"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxicity double, features string")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(df, labels)
+    assert got.columns == ["doc_id", "features", "toxicity"] and got.count() == 4
+    kept = toxicity.without_toxic(df, labels)
+    assert kept.columns == df.columns and {r.features for r in kept.collect()} <= {"f", None}
+    assert toxicity.without_toxic(df.limit(0), labels.limit(0)).count() == 0
