@@ -1,47 +1,64 @@
 """Exact and near duplicates by banded fingerprints, and their summaries.
 
 Fingerprints are arrays of 64-bit words. Two that differ in at most T bits
-agree on at least one of T + 1 bands, so the band equi-join with a Hamming
-check is complete. Buckets above a cap make the join raise instead of leaving
-pairs out.
+agree on at least one of T + 1 bands, and on two of T + 2, so an equi-join on
+pairs of bands with a Hamming check is complete and meets few others. Equal
+fingerprints are one node. Groups come from links between one member of each
+node; all pairs are only listed where a report asks for them. Buckets above a
+cap make the join raise instead of leaving pairs out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import re
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..storage import stored
 from .graph import connected_components
+from .ranking import numbered
 
-#: A larger band bucket makes detection raise: its pairs would grow with its square.
+#: A larger bucket of distinct fingerprints makes detection raise: its pairs would grow with its square.
 HARD_CAP = 50_000
+#: Bits of a fingerprint, and n-grams whose bits are counted at a time.
+PRINT_BITS, _GRAMS = 256, 1 << 16
+_SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
 def content_hash(column: Column | str) -> Column:
     return F.md5(F.col(column) if isinstance(column, str) else column)
 
 
-def simhash64(docs: DataFrame, id_: str = "id", text: str = "text", width: int = 3) -> DataFrame:
-    """(id, print): 64-bit SimHash of the distinct word n-grams of a lower-cased text; shorter texts use their words.
+def fingerprint(text: str, width: int = 3) -> np.ndarray:
+    """The majority bits of the SHA-256 of the distinct word n-grams, as four 64-bit words, the lowest first; no words give 0."""
+    words = [w for w in _SPACE.split(text) if w]
+    grams = {" ".join(words[i : i + width]) for i in range(len(words) - width + 1)} if len(words) >= width else set(words)
+    ones, n, grams = np.zeros(PRINT_BITS, np.int64), len(grams), iter(grams)
+    while part := b"".join(hashlib.sha256(g.encode()).digest() for _, g in zip(range(_GRAMS), grams, strict=False)):
+        ones += np.unpackbits(np.frombuffer(part, np.uint8).reshape(-1, PRINT_BITS // 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > n).view(">i8").astype(np.int64)[::-1]
+
+
+def simhash(docs: DataFrame, id_: str = "id", text: str = "text", width: int = 3) -> DataFrame:
+    """(id, words): 256-bit SimHash of the distinct word n-grams of a lower-cased text; shorter texts use their words.
 
-    An n-gram's hash is the first 16 hex digits of its MD5; a bit is set if it
-    is set in over half of them. Null and empty texts give 0. Bits are counted
-    in 32 sums of two 32-bit lanes each, so the whole is one aggregation whose
-    partial step already leaves one row per document.
+    Null and empty texts give 0. A text with a row of its own is never
+    exploded: its n-grams are hashed in the batch that holds it.
     """
-    words = docs.select(F.col(id_).alias("id"), F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda w: w != "").alias("w"))
-    many = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - width, F.lit(0))), lambda i: F.concat_ws(" ", *[F.get("w", i + k) for k in range(width)]))
-    grams = words.select("id", F.explode_outer(F.array_distinct(F.when(F.size("w") >= width, many).otherwise(F.col("w")))).alias("g"))
-    digest = F.md5("g")
-    half = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
-    hashes = grams.select("id", F.shiftleft(half(1), 32).bitwiseOR(half(9)).alias("h"))
-    lanes = F.lit(0x0000000100000001)
-    counted = hashes.groupBy("id").agg(F.count("h").alias("n"), *[F.coalesce(F.sum(F.shiftrightunsigned("h", b).bitwiseAND(lanes)), F.lit(0)).alias(f"b{b}") for b in range(32)])
-    set_ = lambda lane: F.when(lane * 2 > F.col("n"), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
-    out = F.lit(0).cast("long")
-    for b in range(32):
-        out = out.bitwiseOR(F.shiftleft(set_(F.col(f"b{b}").bitwiseAND(F.lit(0xFFFFFFFF))), b)).bitwiseOR(F.shiftleft(set_(F.shiftrightunsigned(f"b{b}", 32)), b + 32))
-    return counted.select(F.col("id").alias(id_), out.alias("print"))
+    base = docs.select(F.col(id_), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+
+    def run(batches):
+        for b in batches:
+            words = [fingerprint(x.as_py(), width) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.int64()))], names=[id_, "words"])
+
+    return base.mapInArrow(run, base.select(id_).schema.add("words", T.ArrayType(T.LongType())))
 
 
 def band_plan(n_bits: int, threshold: int) -> list[tuple[int, int]]:
@@ -56,8 +73,8 @@ def band_plan(n_bits: int, threshold: int) -> list[tuple[int, int]]:
     return out
 
 
-def _bits(words: Column, shift: int, width: int) -> Column:
-    """Bits shift .. shift + width - 1 of an array of 64-bit words (low word first) as strings of their parts."""
+def _bits(words: Column, shift: int, width: int) -> list[Column]:
+    """Bits shift .. shift + width - 1 of an array of 64-bit words (low word first), as parts of one word each."""
     parts = []
     while width:
         word, at = divmod(shift, 64)
@@ -65,15 +82,26 @@ def _bits(words: Column, shift: int, width: int) -> Column:
         part = F.shiftrightunsigned(F.get(words, F.lit(word)), at)
         parts.append(part.bitwiseAND(F.lit((1 << take) - 1)) if take < 64 else part)
         shift, width = shift + take, width - take
-    return F.concat_ws(".", *[p.cast("string") for p in parts])
+    return parts
 
 
 def banded(prints: DataFrame, n_bits: int, threshold: int, id_: str = "id", words: str = "words") -> DataFrame:
     """(id, words, band, key): one row per band."""
-    keys = F.array(*[_bits(F.col(words), s, w) for s, w in band_plan(n_bits, threshold)])
+    keys = F.array(*[F.concat_ws(".", *[x.cast("string") for x in _bits(F.col(words), s, w)]) for s, w in band_plan(n_bits, threshold)])
     return prints.select(F.col(id_).alias("id"), F.col(words).alias("words"), F.posexplode(keys).alias("band", "key"))
 
 
+def _with_pair_keys(df: DataFrame, words: str, n_bits: int, threshold: int) -> DataFrame:
+    """A row with ``key`` for every two of threshold + 2 bands; fingerprints within the threshold share a key."""
+    bands = band_plan(n_bits, threshold + 1)
+    if len(bands) < threshold + 2:
+        raise ValueError("the threshold is too high for so few bits")
+    two = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in combinations(range(len(bands)), 2)])
+    rows = df.withColumn("__bands", F.array(*[F.xxhash64(*_bits(F.col(words), *x)) for x in bands])).withColumn("__p", F.explode(two))
+    at = lambda k: F.get("__bands", F.col(f"__p.{k}"))
+    return rows.withColumn("key", F.xxhash64("__p.i", "__p.j", at("i"), at("j"))).drop("__bands", "__p")
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
@@ -88,26 +116,58 @@ def candidate_counts(bands: DataFrame) -> DataFrame:
     return bucket_sizes(bands).agg(F.coalesce(F.sum(m * (m - 1) / 2), F.lit(0)).cast("long").alias("n_candidates"), F.max("m").alias("largest_bucket"))
 
 
+def close_prints(distinct: DataFrame, n_bits: int, threshold: int, words: str = "words", cap: int = HARD_CAP) -> DataFrame:
+    """(wa, wb, dist) for all different fingerprints within the threshold, wa < wb; raises if a bucket is over the cap."""
+    keyed = _with_pair_keys(distinct.select(F.col(words).alias("w")), "w", n_bits, threshold)
+    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "buckets")
+    largest = shared.agg(F.max("m")).first()[0] or 0
+    if largest > cap:
+        raise ValueError(f"a bucket has {largest} fingerprints, over the cap of {cap}: use more bits")
+    members = stored(keyed.join(shared.select("key"), "key"), "members")
+    left, right = (members.select("key", F.col("w").alias(n)) for n in ("wa", "wb"))
+    dist = hamming(F.col("wa"), F.col("wb"))
+    return left.join(right, "key").where("wa < wb").where(dist <= threshold).select("wa", "wb").distinct().withColumn("dist", dist)
+
+
+def links(prints: DataFrame, n_bits: int, threshold: int, id_: str = "id", words: str = "words", cap: int = HARD_CAP) -> DataFrame:
+    """(a, b): edges whose components are those of all pairs within the threshold.
+
+    Each fingerprint's smallest id stands for it: its other ids and the close
+    fingerprints' smallest ids are linked to that one, so copies grow rows in
+    proportion.
+    """
+    first = stored(prints.groupBy(F.col(words).alias("w")).agg(F.min(id_).alias("first")), "first")
+    copies = prints.select(F.col(id_).alias("b"), F.col(words).alias("w")).join(first, "w").where("b <> first").select(F.col("first").alias("a"), "b")
+    close = close_prints(first, n_bits, threshold, "w", cap)
+    ends = [first.select(F.col("w").alias(w), F.col("first").alias(n)) for w, n in (("wa", "a"), ("wb", "b"))]
+    return copies.unionAll(close.join(ends[0], "wa").join(ends[1], "wb").select("a", "b"))
+
+
 def near_pairs(prints: DataFrame, n_bits: int, threshold: int, id_: str = "id", words: str = "words", cap: int = HARD_CAP) -> DataFrame:
-    """(a, b, dist) with a < b for all pairs within the threshold; raises if a bucket is over the cap.
+    """(a, b, dist) with a < b for all pairs within the threshold, those of copies included.
 
-    Equal fingerprints are collapsed before the band join: distances are
-    measured between distinct fingerprints and members joined back.
+    A report: a group of n copies has n (n - 1) / 2 rows. Groups and counts
+    come from `links` and `pair_counts`, which don't list them.
     """
-    distinct = prints.select(F.col(words).alias("words")).distinct().withColumn("id", F.xxhash64("words"))
-    bands = banded(distinct, n_bits, threshold)
-    largest = bucket_sizes(bands).agg(F.max("m")).first()[0] or 0
-    if largest > cap:
-        raise ValueError(f"a band bucket has {largest} fingerprints, over the cap of {cap}: use more bits")
-    left = bands.select("band", "key", F.col("words").alias("wa"))
-    right = bands.select("band", "key", F.col("words").alias("wb"))
-    close = left.join(right, ["band", "key"]).where("wa < wb").select("wa", "wb", hamming(F.col("wa"), F.col("wb")).alias("dist")).where(F.col("dist") <= threshold).distinct()
-    close = close.unionAll(distinct.select(F.col("words").alias("wa"), F.col("words").alias("wb"), F.lit(0).alias("dist")))
     members = prints.select(F.col(id_).alias("id"), F.col(words).alias("words"))
-    a = members.select(F.col("id").alias("x"), F.col("words").alias("wa"))
-    b = members.select(F.col("id").alias("y"), F.col("words").alias("wb"))
-    both = close.join(a, "wa").join(b, "wb").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "dist")
-    return both.distinct()
+    distinct = stored(members.select("words").distinct(), "distinct")
+    a, b = (members.select(F.col("id").alias(x), F.col("words").alias(w)) for x, w in (("x", "wa"), ("y", "wb")))
+    same = a.join(b, F.col("wa") == F.col("wb")).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(0).alias("dist"))
+    close = close_prints(distinct, n_bits, threshold, cap=cap)
+    other = close.join(a, "wa").join(b, "wb").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "dist")
+    return same.unionAll(other).distinct()
+
+
+def pair_counts(prints: DataFrame, labels: DataFrame, n_bits: int, threshold: int, id_: str = "id", words: str = "words", label: str = "label") -> DataFrame:
+    """One row: n_pairs within the threshold and n_conflicts among them (both labelled, 0 and 1), counted by fingerprint."""
+    rows = prints.select(F.col(id_).alias("id"), F.col(words).alias("w")).join(labels.select(F.col(id_).alias("id"), F.col(label).alias("l")), "id", "left")
+    own = stored(rows.groupBy("w").agg(F.count("*").alias("n"), F.count_if(F.col("l") == 0).alias("z"), F.count_if(F.col("l") == 1).alias("o")), "nodes")
+    n, z, o = F.col("n"), F.col("z"), F.col("o")
+    within = own.select((n * (n - 1) / 2).cast("long").alias("p"), (z * o).alias("c"))
+    side = lambda k: own.select(F.col("w").alias(f"w{k}"), *[F.col(c).alias(c + k) for c in "nzo"])
+    both = close_prints(own, n_bits, threshold, "w").join(side("a"), "wa").join(side("b"), "wb")
+    between = both.select((F.col("na") * F.col("nb")).alias("p"), (F.col("za") * F.col("ob") + F.col("oa") * F.col("zb")).alias("c"))
+    return within.unionAll(between).agg(F.coalesce(F.sum("p"), F.lit(0)).alias("n_pairs"), F.coalesce(F.sum("c"), F.lit(0)).alias("n_conflicts"))
 
 
 def exact_groups(items: DataFrame, id_: str = "id", digest: str = "md5") -> DataFrame:
@@ -137,7 +197,7 @@ def label_conflicts(pairs: DataFrame, labels: DataFrame, id_: str = "id", label:
 def numbered_components(comps: DataFrame, prefix: str = "dup_", width: int = 6, id_: str = "id") -> DataFrame:
     """(id, name): components numbered from 0 by size, largest first, then smallest member."""
     sizes = comps.groupBy("component").agg(F.count("*").alias("size"))
-    names = sizes.withColumn("no", F.row_number().over(Window.partitionBy().orderBy(F.desc("size"), "component")) - 1)
+    names = numbered(sizes.withColumn("less", -F.col("size")), ["less", "component"], out="no")
     return comps.join(names, "component").select(id_, F.concat(F.lit(prefix), F.lpad(F.col("no").cast("string"), width, "0")).alias("name"))
 
 
@@ -155,11 +215,21 @@ def cross_set(pairs: DataFrame, side: DataFrame, id_: str = "id", flag: str = "i
     return pairs.join(a, "a").join(b, "b").where("side_a <> side_b")
 
 
-def nearest_in_sample(queries: DataFrame, sample: DataFrame, limit: int, id_: str = "id", words: str = "words") -> DataFrame:
-    """(id, dist, nearest): the closest fingerprint of a bounded sample, if within the limit."""
-    s = F.broadcast(sample.select(F.col(id_).alias("nearest"), F.col(words).alias("ws")))  # the caller's sample is capped
-    d = queries.select(F.col(id_).alias("id"), F.col(words).alias("wq")).join(s).withColumn("dist", hamming(F.col("wq"), F.col("ws"))).where((F.col("dist") <= limit) & (F.col("id") != F.col("nearest")))
-    return d.groupBy("id").agg(F.min("dist").alias("dist"), F.min_by("nearest", F.struct("dist", "nearest")).alias("nearest"))
+def nearest_within(queries: DataFrame, rows: DataFrame, n_bits: int, limit: int, id_: str = "id", words: str = "words") -> DataFrame:
+    """(id, kind, dist, nearest) of every query that has a row within the limit; queries and rows are two sets.
+
+    Equal fingerprints are joined first (kind "exact"); the other queries meet
+    fingerprints within ``limit`` bits on pairs of bands (kind "near"). Of
+    equally near rows the smallest id counts. Every row is searched.
+    """
+    q = queries.select(F.col(id_).alias("id"), F.col(words).alias("wq"))
+    r = stored(rows.groupBy(F.col(words).alias("wr")).agg(F.min(id_).alias("first")), "rows")
+    exact = q.join(r, F.col("wq") == F.col("wr")).select("id", F.lit("exact").alias("kind"), F.lit(0).alias("dist"), F.col("first").alias("nearest"))
+    other = q.join(r, F.col("wq") == F.col("wr"), "left_anti")
+    keyed = lambda df, w: _with_pair_keys(df, w, n_bits, limit)
+    met = keyed(other, "wq").join(keyed(r, "wr"), "key").withColumn("dist", hamming(F.col("wq"), F.col("wr"))).where(F.col("dist") <= limit)
+    near = met.groupBy("id").agg(F.min(F.struct("dist", F.col("first").alias("nearest"))).alias("m"))
+    return exact.unionAll(near.select("id", F.lit("near").alias("kind"), "m.dist", "m.nearest"))
 
 
 def closest(pairs: DataFrame, k: int) -> DataFrame:

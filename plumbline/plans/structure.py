@@ -9,15 +9,15 @@ from ..operators import similarity as sim
 from ..operators import splits as sp
 from ..storage import stored
 from .registry import query
-from .views import COMPONENTS, ITEMS, PAIRS, PRINTS, items, load, prints
+from .views import COMPONENTS, DIST, ITEMS, PAIRS, PRINTS, items, load, prints
 
-T = 10
+BITS, T = sim.PRINT_BITS, 10
 
 
-@query("fingerprints", f"WITH {PRINTS} SELECT id, md5, hi, lo FROM prints")
+@query("fingerprints", f"WITH {PRINTS} SELECT id, printf('{'%08x' * 8}', {', '.join(f'h{k}' for k in range(8))}) AS print FROM prints")
 def fingerprints(spark, sf):
-    w = F.get("words", F.lit(0))
-    return prints(spark, sf).select("id", "md5", F.shiftrightunsigned(w, 32).alias("hi"), w.bitwiseAND(F.lit(0xFFFFFFFF)).alias("lo"))
+    word = lambda i: F.lower(F.lpad(F.hex(F.get("words", F.lit(i))), 16, "0"))
+    return prints(spark, sf).select("id", F.concat(*map(word, (3, 2, 1, 0))).alias("print"))
 
 
 @query("exact_groups", "SELECT md5(text) AS md5, list(doc_id ORDER BY doc_id) AS ids, count(*) AS n FROM documents GROUP BY md5(text) HAVING count(*) > 1")
@@ -30,8 +30,12 @@ def star_edges(spark, sf):
     return sim.star_edges(exact_groups(spark, sf))
 
 
+def _prints(spark, sf):
+    return stored(prints(spark, sf), "prints")
+
+
 def _pairs(spark, sf):
-    return sim.near_pairs(stored(prints(spark, sf).select("id", "words"), "prints"), 64, T)
+    return sim.near_pairs(_prints(spark, sf), BITS, T)
 
 
 @query("near_pairs", f"WITH {PAIRS} SELECT a, b, dist FROM pairs")
@@ -44,21 +48,23 @@ def closest_pairs(spark, sf):
     return sim.closest(_pairs(spark, sf), 25)
 
 
-def _key(s: int, w: int) -> str:
-    if s + w <= 32:
-        return f"(lo >> {s}) & {(1 << w) - 1}"
-    if s >= 32:
-        return f"(hi >> {s - 32}) & {(1 << w) - 1}"
-    low = 32 - s
-    return f"((lo >> {s}) & {(1 << low) - 1}) + ((hi & {(1 << (w - low)) - 1}) << {low})"
+def _key(shift: int, width: int) -> str:
+    """Bits shift .. shift + width - 1, counted from the lowest, as a number."""
+    parts, at = [], 0
+    while at < width:
+        word, low = divmod(shift + at, 32)
+        take = min(width - at, 32 - low)
+        parts.append(f"(((h{7 - word} >> {low}) & {(1 << take) - 1}) << {at})")
+        at += take
+    return " + ".join(parts)
 
 
-_KEYS = " UNION ALL ".join(f"SELECT id, {i} AS band, {_key(s, w)} AS key FROM prints" for i, (s, w) in enumerate(sim.band_plan(64, T)))
+_KEYS = " UNION ALL ".join(f"SELECT id, {i} AS band, {_key(s, w)} AS key FROM prints" for i, (s, w) in enumerate(sim.band_plan(BITS, T)))
 
 
 @query("lsh_candidates", f"WITH {PRINTS}, bands AS ({_KEYS}), b AS (SELECT band, key, count(*) AS m FROM bands GROUP BY band, key) SELECT CAST(sum(m * (m - 1) // 2) AS BIGINT) AS n_candidates, max(m) AS largest_bucket FROM b")
 def lsh_candidates(spark, sf):
-    return sim.candidate_counts(sim.banded(prints(spark, sf), 64, T))
+    return sim.candidate_counts(sim.banded(prints(spark, sf), BITS, T))
 
 
 @query("label_conflicts", f"WITH {PAIRS} SELECT p.a, p.b, la.toxic AS label_a, lb.toxic AS label_b, coalesce(la.toxic <> lb.toxic, false) AS label_conflict FROM pairs p LEFT JOIN labels la ON p.a = la.doc_id LEFT JOIN labels lb ON p.b = lb.doc_id")
@@ -68,7 +74,8 @@ def label_conflicts(spark, sf):
 
 
 def _components(spark, sf):
-    return sim.components(load(spark, sf, "documents").select(F.col("doc_id").alias("id")), _pairs(spark, sf))
+    p = _prints(spark, sf)
+    return sim.components(p.select("id"), sim.links(p, BITS, T))
 
 
 @query("components", f"WITH RECURSIVE {COMPONENTS} SELECT id, component FROM comps")
@@ -88,12 +95,10 @@ def numbered_components(spark, sf):
 
 @query("dedup_summary", f"WITH RECURSIVE {COMPONENTS}, z AS (SELECT count(*) AS size FROM comps GROUP BY component), c AS (SELECT count(*) AS n FROM pairs p JOIN labels a ON p.a = a.doc_id JOIN labels b ON p.b = b.doc_id WHERE a.toxic <> b.toxic) SELECT (SELECT count(*) FROM pairs) AS n_pairs, (SELECT n FROM c) AS n_conflicts, count(*) AS n_components, count(*) FILTER (size > 1) AS n_nontrivial, max(size) AS largest FROM z")
 def dedup_summary(spark, sf):
-    pairs = stored(_pairs(spark, sf), "pairs")
+    p = _prints(spark, sf)
     labels = load(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
-    a = sim.label_conflicts(pairs, labels).agg(F.count("*").alias("n_pairs"), F.count_if("label_conflict").alias("n_conflicts"))
-    comps = sim.components(load(spark, sf, "documents").select(F.col("doc_id").alias("id")), pairs)
-    sizes = comps.groupBy("component").agg(F.count("*").alias("size"))
-    return a.join(sizes.agg(F.count("*").alias("n_components"), F.count_if(F.col("size") > 1).alias("n_nontrivial"), F.max("size").alias("largest")))
+    sizes = sim.components(p.select("id"), sim.links(p, BITS, T)).groupBy("component").agg(F.count("*").alias("size"))
+    return sim.pair_counts(p, labels, BITS, T).join(sizes.agg(F.count("*").alias("n_components"), F.count_if(F.col("size") > 1).alias("n_nontrivial"), F.max("size").alias("largest")))
 
 
 @query("cross_set_leak", f"WITH {PAIRS}, side AS (SELECT d.doc_id AS id, l.doc_id IS NULL AS in_test FROM documents d LEFT JOIN labels l USING (doc_id)) SELECT p.a, p.b, p.dist, x.in_test AS side_a, y.in_test AS side_b FROM pairs p JOIN side x ON p.a = x.id JOIN side y ON p.b = y.id WHERE x.in_test <> y.in_test")
@@ -104,12 +109,10 @@ def cross_set_leak(spark, sf):
     return sim.cross_set(_pairs(spark, sf), side)
 
 
-@query("nearest_in_sample", f"WITH {PRINTS}, s AS (SELECT id AS nearest, hi, lo FROM prints WHERE id IN (SELECT doc_id FROM documents ORDER BY md5('4:' || doc_id), doc_id LIMIT 200)), d AS (SELECT p.id, s.nearest, bit_count(xor(p.hi, s.hi)) + bit_count(xor(p.lo, s.lo)) AS dist FROM prints p JOIN s ON p.id <> s.nearest) SELECT id, CAST(min(dist) AS INTEGER) AS dist, arg_min(nearest, row(dist, nearest)) AS nearest FROM d WHERE dist <= 6 GROUP BY id")
-def nearest_in_sample(spark, sf):
-    from ..operators.sampling import cap_sample
-
-    p = stored(prints(spark, sf).select("id", "words"), "prints")
-    return sim.nearest_in_sample(p, cap_sample(p, 200, 4), 6)
+@query("nearest_rows", f"WITH {PRINTS}, d AS (SELECT a.id, b.id AS nearest, {DIST} AS dist FROM prints a JOIN prints b ON a.id % 50 = 0 AND b.id % 50 <> 0) SELECT id, CASE WHEN min(dist) = 0 THEN 'exact' ELSE 'near' END AS kind, min(dist) AS dist, arg_min(nearest, row(dist, nearest)) AS nearest FROM d WHERE dist <= 24 GROUP BY id")
+def nearest_rows(spark, sf):
+    p = _prints(spark, sf)
+    return sim.nearest_within(p.where("id % 50 = 0"), p.where("id % 50 <> 0"), BITS, 24)
 
 
 # --- groups and splits ---
@@ -127,9 +130,15 @@ grouped AS (SELECT i.id, i.label, i.type, i.country, split_group FROM items i JO
 )
 
 
+def _item_links(spark, sf):
+    """Links among the prints of labelled items alone."""
+    labelled = load(spark, sf, "labels").select(F.col("doc_id").alias("id"))
+    return sim.links(stored(prints(spark, sf).join(labelled, "id", "left_semi"), "prints"), BITS, T)
+
+
 def _grouped(spark, sf):
     rows = items(spark, sf).select("id", "label", "type", "country")
-    return sp.assign_groups(rows, _pairs(spark, sf))
+    return sp.assign_groups(rows, _item_links(spark, sf))
 
 
 @query("assign_groups", f"WITH RECURSIVE {ITEM_GROUPS} SELECT id, split_group FROM grouped")
@@ -199,7 +208,7 @@ _FINE = f"WITH RECURSIVE {ITEM_GROUPS}, f AS (SELECT g.id, g.split_group, i.doc_
 
 @query("loto_sizes", f"{_FINE} SELECT held_type, count(*) AS n_held, (SELECT count(*) FROM f o WHERE o.held_type <> t.held_type AND o.split_group NOT IN (SELECT split_group FROM f h WHERE h.held_type = t.held_type)) AS n_train, (SELECT count(*) FROM f o WHERE o.held_type <> t.held_type AND o.split_group IN (SELECT split_group FROM f h WHERE h.held_type = t.held_type)) AS n_tainted FROM f t GROUP BY held_type")
 def loto_sizes(spark, sf):
-    rows = sp.assign_groups(items(spark, sf).select("id", "doc_type"), _pairs(spark, sf))
+    rows = sp.assign_groups(items(spark, sf).select("id", "doc_type"), _item_links(spark, sf))
     return sp.loto_sizes(stored(rows, "groups"), "doc_type")
 
 
@@ -221,5 +230,5 @@ def type_holdout(spark, sf):
 
 @query("build_splits")
 def build_splits(spark, sf):
-    out = sp.build_splits(items(spark, sf).select("id", "label", "type", "country"), _pairs(spark, sf), SplitConfig())
+    out = sp.build_splits(items(spark, sf).select("id", "label", "type", "country"), _item_links(spark, sf), SplitConfig())
     return sp.split_stats(out)

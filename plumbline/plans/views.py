@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.bootstrap import hash_unit
-from ..operators.similarity import simhash64
+from ..operators.similarity import simhash
 
 MODELS = ("m1", "m2", "m3")
 
@@ -30,8 +30,9 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, words): a table of few files is dealt out first, as hashing n-grams is the work."""
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").repartition(spark.sparkContext.defaultParallelism, "id")
-    return simhash64(docs).join(docs.select("id", F.md5("text").alias("md5")), "id").select("id", "md5", F.array("print").alias("words"))
+    return simhash(docs)
 
 
 def micro(x):
@@ -56,17 +57,19 @@ def micro_sql(x: str) -> str:
     return f"CAST(floor(({x}) * 1e6 + 0.5) AS BIGINT)"
 
 
-_BITS = ", ".join(f"sum(({h} >> {31 - b}) & 1) * 2 > count(*) AS {h}{b}" for h in ("hi", "lo") for b in range(32))
-_PACK = {h: " + ".join(f"CASE WHEN {h}{b} THEN {1 << (31 - b)}::BIGINT ELSE 0 END" for b in range(32)) for h in ("hi", "lo")}
+_H = [f"h{k}" for k in range(8)]
+_BITS = ", ".join(f"sum(({h} >> {31 - b}) & 1) * 2 > count(*) AS {h}_{b}" for h in _H for b in range(32))
+_PACK = ", ".join("coalesce(" + " + ".join(f"CASE WHEN {h}_{b} THEN {1 << (31 - b)}::BIGINT ELSE 0 END" for b in range(32)) + f", 0)::BIGINT AS {h}" for h in _H)
+#: 256-bit prints as eight 32-bit numbers, the highest first.
 PRINTS = f"""words AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') AS w FROM documents),
 grams AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) ELSE w END) AS g FROM words),
-halves AS (SELECT id, ('0x' || substr(md5(g), 1, 8))::BIGINT AS hi, ('0x' || substr(md5(g), 9, 8))::BIGINT AS lo FROM grams),
-bits AS (SELECT id, {_BITS} FROM halves GROUP BY id),
-prints AS (SELECT d.doc_id AS id, coalesce({_PACK["hi"]}, 0)::BIGINT AS hi, coalesce({_PACK["lo"]}, 0)::BIGINT AS lo, md5(d.text) AS md5 FROM documents d LEFT JOIN bits ON d.doc_id = bits.id)"""
+parts AS (SELECT id, {", ".join(f"('0x' || substr(sha256(g), {8 * k + 1}, 8))::BIGINT AS {h}" for k, h in enumerate(_H))} FROM grams),
+bits AS (SELECT id, {_BITS} FROM parts GROUP BY id),
+prints AS (SELECT d.doc_id AS id, {_PACK} FROM documents d LEFT JOIN bits ON d.doc_id = bits.id)"""
+DIST = "(" + " + ".join(f"bit_count(xor(a.{h}, b.{h}))::INTEGER" for h in _H) + ")"
 PAIRS = (
     PRINTS
-    + """, pairs AS (SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS INTEGER) AS dist FROM prints a JOIN prints b ON a.id < b.id
- WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 10)"""
+    + f""", pairs AS (SELECT * FROM (SELECT a.id AS a, b.id AS b, {DIST} AS dist FROM prints a JOIN prints b ON a.id < b.id) WHERE dist <= 10)"""
 )
 #: Components of `pairs` over all documents; needs WITH RECURSIVE.
 COMPONENTS = (
