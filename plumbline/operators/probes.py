@@ -73,6 +73,11 @@ def map_correlations(maps: DataFrame, type_: str) -> DataFrame:
     return left.join(right, "pos").where("a < b").groupBy("a", "b").agg(F.corr("da", "db").alias("r"))
 
 
+def mean_correlation(pairs: DataFrame) -> DataFrame:
+    """One row: mean_off_diagonal of the correlations, and n_pairs."""
+    return pairs.agg(F.avg("r").alias("mean_off_diagonal"), F.count("r").alias("n_pairs"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     from ..functions.kernels import dot, norm
 

@@ -18,4 +18,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import evaluation, profiling, structure, vectors  # noqa: E402, F401
+from . import evaluation, profiling, structure, validation, vectors  # noqa: E402, F401

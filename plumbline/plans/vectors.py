@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import forensics as fs
 from ..functions import kernels as ks
 from ..operators import probes as pb
 from .registry import query
@@ -65,9 +66,79 @@ def neighbour_anomaly(spark, sf):
     return rows.select("vec_id", micro(F.array_max("d")).alias("max"), micro(ks.mean(F.col("d"))).alias("mean"), micro(ks.top_mean(F.col("d"))).alias("top5"))
 
 
-@query("spectral_features")
-def spectral_features(spark, sf):
-    return ks.extract(_vectors(spark, sf), "embedding").select("vec_id", "residual", "spectral")
+# --- forensic families, on images made of products of a vector's entries ---
+
+_SIDE = 16
+_PIXELS = f"""v AS (SELECT vec_id, {V} AS v FROM embeddings), px AS (SELECT vec_id, i, j, 128 + 4000 * v[i + 1] * v[j + 1] AS r, 128 + 4000 * v[i + 1] * v[64 - j] AS g, 128 + 4000 * v[64 - i] * v[j + 1] AS b FROM v, range({_SIDE}) a(i), range({_SIDE}) b(j)),
+grey AS (SELECT *, r * 0.299::DOUBLE + g * 0.587::DOUBLE + b * 0.114::DOUBLE AS y, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM px)"""
+
+
+def _images(spark, sf, side):
+    return _vectors(spark, sf).select("vec_id", "label", fs.outer_image(F.col("embedding"), side).alias("pixels"))
+
+
+def _named(df, names):
+    return df.select("vec_id", *[micro(F.get("x", F.lit(i))).alias(n) for i, n in enumerate(names)])
+
+
+_MOMENTS = ", ".join(f"{micro_sql(f'{f}({c})')} AS col_{n}_{m}" for c, n in (("r", "r"), ("g", "g"), ("b", "b"), ("y", "gray")) for f, m in (("avg", "mean"), ("stddev_pop", "std"), ("skewness", "skew"), ("kurtosis", "kurt")))
+
+
+@query("colour_features", f"WITH {_PIXELS}, s AS (SELECT *, CASE WHEN hi > 0 THEN (hi - lo) / (hi + 1e-6) ELSE 0 END AS s FROM grey) SELECT vec_id, {_MOMENTS}, {micro_sql('avg(s)')} AS col_sat_mean, {micro_sql('stddev_pop(s)')} AS col_sat_std, {micro_sql('avg((y > 250)::INTEGER)')} AS col_frac_bright, {micro_sql('avg((y < 5)::INTEGER)')} AS col_frac_dark FROM s GROUP BY vec_id")
+def colour_features(spark, sf):
+    return _named(fs.with_vector(_images(spark, sf, _SIDE), "x", fs.colour, "pixels", (_SIDE, _SIDE, 3)), fs.COLOUR)
+
+
+def _dct_families_sql() -> str:
+    basis = ", ".join(f"({k}, {i}, {float(fs.dct_basis()[k, i])!r}::DOUBLE)" for k in range(8) for i in range(8))
+    law = ", ".join(f"({d + 1}, {float(x)!r}::DOUBLE)" for d, x in enumerate(fs.FIRST_DIGITS))
+    return f"""WITH {_PIXELS}, d(k, n, c) AS (VALUES {basis}), law(f, p) AS (VALUES {law}),
+half AS (SELECT vec_id, i // 8 AS bi, j // 8 AS bj, k, j % 8 AS jj, sum(c * y) AS h FROM grey JOIN d ON d.n = i % 8 GROUP BY ALL),
+ac AS (SELECT vec_id, bi, bj, half.k AS k, d.k AS l, sum(h * d.c) AS z FROM half JOIN d ON d.n = jj GROUP BY ALL HAVING half.k + d.k > 0),
+q AS (SELECT vec_id, CAST(substr(CAST(CAST(abs(round_even(z, 0)) AS BIGINT) AS VARCHAR), 1, 1) AS INTEGER) AS f FROM ac WHERE abs(round_even(z, 0)) >= 1),
+shares AS (SELECT vec_id, f, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY vec_id) AS s FROM q GROUP BY vec_id, f),
+chi AS (SELECT v.vec_id, sum(pow(coalesce(s, 0) - p, 2) / (p + 1e-9)) AS chi2 FROM (SELECT DISTINCT vec_id FROM q) v CROSS JOIN law LEFT JOIN shares ON shares.vec_id = v.vec_id AND shares.f = law.f GROUP BY v.vec_id),
+st AS (SELECT vec_id, stddev_pop(z) AS sd, kurtosis(z) AS kurt, avg((abs(z) < 0.5)::INTEGER) AS zero FROM ac GROUP BY vec_id),
+dh AS (SELECT a.vec_id, a.i, abs(b.y - a.y) AS x FROM grey a JOIN grey b ON a.vec_id = b.vec_id AND b.i = a.i + 1 AND b.j = a.j),
+dv AS (SELECT a.vec_id, a.j, abs(b.y - a.y) AS x FROM grey a JOIN grey b ON a.vec_id = b.vec_id AND b.j = a.j + 1 AND b.i = a.i),
+h AS (SELECT vec_id, avg(x) FILTER (i % 8 = 7) AS on_, avg(x) AS off FROM dh GROUP BY vec_id), w AS (SELECT vec_id, avg(x) FILTER (j % 8 = 7) AS on_, avg(x) AS off FROM dv GROUP BY vec_id)
+SELECT st.vec_id, {micro_sql('chi2')} AS dct_benford_chi2, {micro_sql('sd')} AS dct_ac_std, {micro_sql('kurt')} AS dct_ac_kurt, {micro_sql('zero')} AS dct_zero_frac, {micro_sql('(h.on_ + w.on_) / 2')} AS jpeg_blockiness, {micro_sql('(h.on_ + w.on_) / 2 / ((h.off + w.off) / 2 + 1e-9)')} AS jpeg_grid_ratio
+FROM st JOIN chi USING (vec_id) JOIN h USING (vec_id) JOIN w USING (vec_id)"""
+
+
+@query("dct_features", _dct_families_sql())
+def dct_features(spark, sf):
+    rows = fs.with_vector(_images(spark, sf, _SIDE), "x", lambda x: fs.dct(x @ fs.GREY), "pixels", (_SIDE, _SIDE, 3))
+    return _named(rows, fs.DCT)
+
+
+@query("forensic_features")
+def forensic_features(spark, sf):
+    rows = _images(spark, sf, 64).withColumn("bytes", F.lit(64.0 * 64 * 3))
+    return fs.with_vector(rows, "features", fs.feature_vector, "pixels", (64, 64, 3), "bytes").select("vec_id", "features")
+
+
+@query("spectral_maps")
+def spectral_maps(spark, sf):
+    rows = fs.with_vector(_images(spark, sf, 64), "x", lambda x: sum(fs.spectral_map(x @ fs.GREY), []), "pixels", (64, 64, 3))
+    return rows.select("vec_id", "label", F.slice("x", 1, 64).alias("radial"), F.slice("x", 65, 1024).alias("pooled"))
+
+
+@query("upsampling_maps")
+def upsampling_maps(spark, sf):
+    rows = fs.with_vector(_images(spark, sf, 64), "x", lambda x: sum(fs.upsampling_map(x @ fs.GREY), []), "pixels", (64, 64, 3))
+    return rows.select("vec_id", F.slice("x", 1, 3).alias("stats"), F.slice("x", 4, 64).alias("radial"), F.slice("x", 68, 1024).alias("pooled"))
+
+
+@query("region_noise")
+def region_noise(spark, sf):
+    rows = fs.with_vector(_images(spark, sf, 64), "x", lambda x: fs.region_noise(x @ fs.GREY, 8), "pixels", (64, 64, 3))
+    return rows.select("vec_id", F.col("x").alias("features"))
+
+
+@query("patch_anomaly")
+def patch_anomaly(spark, sf):
+    return fs.with_vector(_vectors(spark, sf), "x", lambda x: fs.patch_anomaly(x, 4), "embedding", (16, 4)).select("vec_id", F.col("x").alias("features"))
 
 
 @query("model_scores")
@@ -131,6 +202,12 @@ def _halves(spark, sf):
     return _vectors(spark, sf).select((F.col("label") % 3).alias("type"), F.when(F.col("vec_id") % 2 == 0, 1).otherwise(0).alias("y"), "embedding")
 
 
+@query("diff_corr_mean", f"WITH {_HALF}, d AS (SELECT type, pos, max(mean) FILTER (y = 1) - max(mean) FILTER (y = 0) AS diff FROM m GROUP BY type, pos), r AS (SELECT corr(a.diff, b.diff) AS r FROM d a JOIN d b ON a.pos = b.pos AND a.type < b.type GROUP BY a.type, b.type) SELECT {micro_sql('avg(r)')} AS mean_off_diagonal, count(*) AS n_pairs FROM r")
+def diff_corr_mean(spark, sf):
+    got = pb.mean_correlation(pb.map_correlations(pb.difference_maps(_halves(spark, sf), "embedding", "type", "y"), "type"))
+    return got.withColumn("mean_off_diagonal", micro(F.col("mean_off_diagonal")))
+
+
 @query("mean_vectors", f"WITH {_HALF} SELECT type, y, CAST(pos AS INTEGER) AS pos, {micro_sql('mean')} AS mean FROM m")
 def mean_vectors(spark, sf):
     return pb.mean_vectors(_halves(spark, sf), "embedding", ["type", "y"]).withColumn("mean", micro(F.col("mean")))
@@ -157,7 +234,7 @@ def cosine_silhouette(spark, sf):
 
 @query("kmeans_silhouette")
 def kmeans_silhouette(spark, sf):
-    rows, k = pb.best_kmeans(_vectors(spark, sf), "embedding", 4)
+    rows, k = pb.best_kmeans(_vectors(spark, sf), "embedding")
     return rows.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("k", F.lit(k))
 
 
@@ -179,7 +256,7 @@ def loto_linear_probe(spark, sf):
 
 @query("loto_boosted_probe")
 def loto_boosted_probe(spark, sf):
-    got = pb.loto_scores(_probe_rows(spark, sf), ["n", "hint"], pb.probe("boosted", maxIter=3, maxDepth=3))
+    got = pb.loto_scores(_probe_rows(spark, sf), ["n", "hint"], pb.probe("boosted", maxIter=BOOSTING_ROUNDS))
     return pb.auc(got, ["type"], "score")
 
 
@@ -188,8 +265,7 @@ def permutation_importance(spark, sf):
     return pb.permutation_importance(_probe_rows(spark, sf), ["n", "hint"], lambda d: d.withColumn("score", F.col("hint") - F.col("n") / 1e6))
 
 
-@query("top_in_row", f"WITH v AS (SELECT vec_id, list_reverse_sort({V}) AS v FROM embeddings) SELECT vec_id, {micro_sql('list_avg(v[1:5])')} AS top5, {micro_sql('v[1]')} AS max FROM v")
+@query("top_in_row", f"WITH v AS (SELECT vec_id, list_reverse_sort({V}) AS v FROM embeddings) SELECT vec_id, {micro_sql('list_avg(v[1:5])')} AS top5, {micro_sql('v[1]')} AS max, {micro_sql('(v[1] - list_avg(v)) / (list_stddev_samp(v) + 1e-6)')} AS peakiness FROM v")
 def top_in_row(spark, sf):
-    return _vectors(spark, sf).select("vec_id", micro(ks.top_mean(F.col("embedding"))).alias("top5"), micro(F.array_max("embedding")).alias("max"))
-
-
+    v = F.col("embedding")
+    return _vectors(spark, sf).select("vec_id", micro(ks.top_mean(v)).alias("top5"), micro(F.array_max(v)).alias("max"), micro(ks.peakiness(v)).alias("peakiness"))
