@@ -15,9 +15,10 @@ whose partner may be above the next power has blocks for both. Sets with too
 few classes in use (their partners are the same) also have the first shingles
 of the order as blocks.
 
-Candidates are verified by the Hamming distance of 512 parities (whether the
-number of a set's hashes in each of 512 ranges is odd), which never exceeds
-the shingles that two sets don't share, and then by the sets themselves. Equal
+Candidates are verified by the Hamming distance of parities (whether the number
+of a set's hashes with given low bits is odd: 512 of them, and for larger sets
+also as many as the power of two that holds them), which never exceeds the
+shingles that two sets don't share, and then by the sets themselves. Equal
 sets are one node. On the first blocks of each set, and in some turns on large
 blocks, members are compared with one of them and linked; members of small
 blocks, and those of large ones that are then still in other components, with
@@ -112,12 +113,18 @@ def blocks(tokens: np.ndarray, least: tuple[int, int] = LEAST, frequent: np.ndar
     return np.concatenate(out)
 
 
-def _parities(tokens: np.ndarray) -> np.ndarray:
-    """512 bits as 8 longs: whether the number of hashes in each range (of their low 9 bits) is odd."""
-    odd = np.bincount((tokens & np.uint64(511)).astype(np.int64), minlength=512) & 1
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """Bits as longs: whether the number of hashes with the same low bits is odd; 512 bits, or the power of two that holds the set if that is more."""
+    bits = max(512, 1 << max(0, len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
+def _folded(odd: np.ndarray) -> np.ndarray:
+    """The parities by the low 9 bits alone."""
+    return np.bitwise_xor.reduce(odd.reshape(-1, 8), axis=0)
+
+
 def _frequent(texts: DataFrame, least: tuple[int, int]) -> np.ndarray:
     def run(batches):
         for b in batches:
@@ -130,13 +137,15 @@ def _frequent(texts: DataFrame, least: tuple[int, int]) -> np.ndarray:
 
 
 def _sets(batches, held, least: tuple[int, int]):
-    """(doc_id, own, fp of the set, n, keys, parities) of (doc_id, own, text)."""
+    """(doc_id, own, fp of the set, n, keys, 512 parities, all if there are more) of (doc_id, own, text)."""
     longs = pa.list_(pa.int64())
     for b in batches:
         found = [shingles(x) for x in utf8(b.column(2))]
         fps = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0 for s in found], np.uint64).view(np.int64)
-        new = [pa.array(fps), pa.array([len(s) for s in found], pa.int64()), pa.array([blocks(s, least, held.value).view(np.int64) for s in found], longs), pa.array([_parities(s) for s in found], longs)]
-        yield pa.RecordBatch.from_arrays([*b.columns[:2], *new], names=["doc_id", "own", "fp", "n", "keys", "odd"])
+        odd = [parities(s) for s in found]
+        new = [pa.array(fps), pa.array([len(s) for s in found], pa.int64()), pa.array([blocks(s, least, held.value).view(np.int64) for s in found], longs)]
+        new += [pa.array([_folded(x) for x in odd], longs), pa.array([x if len(x) > 8 else x[:0] for x in odd], longs)]
+        yield pa.RecordBatch.from_arrays([*b.columns[:2], *new], names=["doc_id", "own", "fp", "n", "keys", "odd", "wide"])
 
 
 def _whole(batches):
@@ -150,21 +159,25 @@ def _bounded(df: DataFrame) -> DataFrame:
 
 
 def _may(a: str, b: str, least: tuple[int, int]) -> Column:
-    """Whether the sets na, oa and nb, ob can be similar enough by their sizes and the distance of their parities."""
+    """Whether the sets na, oa, wa and nb, ob, wb can be similar enough by their sizes and the distances of their parities."""
     p, q = least
-    n, m = F.col(f"n{a}"), F.col(f"n{b}")
+    n, m, x, y = F.col(f"n{a}"), F.col(f"n{b}"), F.col(f"w{a}"), F.col(f"w{b}")
+    near = lambda apart: (p + q) * (n + m - apart) >= 2 * p * (n + m)
     apart = reduce(lambda x, y: x + y, [F.bit_count(F.get(f"o{a}", F.lit(i)).bitwiseXOR(F.get(f"o{b}", F.lit(i)))) for i in range(8)])
-    return (F.least(n, m) * q >= F.greatest(n, m) * p) & ((p + q) * (n + m - apart) >= 2 * p * (n + m))
+    size = F.least(F.size(x), F.size(y))  # of similar sizes one is at most twice the other
+    same = lambda v: F.when(F.size(v) > size, F.zip_with(F.slice(v, F.lit(1), size), F.slice(v, size + 1, size), lambda s, t: s.bitwiseXOR(t))).otherwise(v)
+    wide = F.aggregate(F.zip_with(same(x), same(y), lambda s, t: F.bit_count(s.bitwiseXOR(t))), F.lit(0), lambda s, t: s + t)
+    return F.when((F.least(n, m) * q < F.greatest(n, m) * p) | ~near(apart), False).when(size > 0, near(wide)).otherwise(True)
 
 
 def _side(df: DataFrame, name: str, *columns: str) -> DataFrame:
-    return df.select(*columns, *[F.col(c).alias(f"{c[0]}{name}") for c in ("fp", "n", "odd") if c in df.columns])
+    return df.select(*columns, *[F.col(c).alias(f"{c[0]}{name}") for c in ("fp", "n", "odd", "wide") if c in df.columns])
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: tuple[int, int]) -> DataFrame:
     """Of the pairs (fa, fb) of set prints, those that are similar enough, as (a, b)."""
     p, q = least
-    known = nodes.select("fp", "n", "odd")
+    known = nodes.select("fp", "n", "odd", "wide")
     near = pairs.distinct().join(_side(known, "a"), "fa").join(_side(known, "b"), "fb").where(_may("a", "b", least))
     pairs = stored(near.select("fa", "fb"), "candidates")
     asked = stored(nodes.select("fp", "own").join(pairs.select(F.col("fa").alias("fp")).unionAll(pairs.select(F.col("fb").alias("fp"))).distinct(), "fp", "left_semi"), "asked")
@@ -194,14 +207,14 @@ def _mixed(members: DataFrame) -> DataFrame:
 
 
 def _all_pairs(members: DataFrame, few: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """(fa, fb) of the pairs of few with members (key, fp, c, n, odd) of their blocks, in other components, that may be similar."""
+    """(fa, fb) of the pairs of few with members (key, fp, c, n, odd, wide) of their blocks, in other components, that may be similar."""
     x, y = (_side(df, name, "key", F.col("c").alias(f"c{name}")) for df, name in ((few, "x"), (members, "y")))
     return x.join(y, "key").where(F.col("cx") != F.col("cy")).where(_may("x", "y", least)).select(*_pair("fx", "fy"))
 
 
 def _links(nodes: DataFrame, texts: DataFrame, least: tuple[int, int]) -> DataFrame:
     """(node, component) of the nodes that have a link; the table of nodes is deleted on the way."""
-    known = stored(nodes.select("fp", "own", "n", "odd"), "known")
+    known = stored(nodes.select("fp", "own", "n", "odd", "wide"), "known")
     first = nodes.select("fp", F.explode(F.slice("keys", 1, FIRST)).alias("key"))
     heads = first.groupBy("key").agg(F.min("fp").alias("head"), F.max("fp").alias("high")).where("head < high").select("key", "head")
     links = [_verified(first.join(heads, "key").where("fp <> head").select(*_pair("fp", "head")), known, texts, least)]
@@ -209,7 +222,7 @@ def _links(nodes: DataFrame, texts: DataFrame, least: tuple[int, int]) -> DataFr
     marked = lambda df, comps: df.join(comps, df["fp"] == comps["node"], "left").withColumn("c", F.coalesce("component", "fp")).drop("node", "component")
     rest = stored(_mixed(marked(nodes.select("fp", "keys"), linked()).select("fp", "c", F.explode("keys").alias("key"))), "members")
     dropped(nodes)
-    sketch = known.select("fp", "n", "odd")
+    sketch = known.select("fp", "n", "odd", "wide")
     small = stored(rest.where(F.col("m") <= SMALL).join(sketch, "fp"), "small")
     found = stored(_all_pairs(small, small, least).distinct(), "found")
     dropped(small)
@@ -243,11 +256,11 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     texts = texts.select("doc_id", F.xxhash64("text").alias("own"), "text")
     held = docs.sparkSession.sparkContext.broadcast(_frequent(texts, least))
     schema = texts.drop("text").schema.add("fp", "long").add("n", "long")
-    for name in ("keys", "odd"):
+    for name in ("keys", "odd", "wide"):
         schema = schema.add(name, T.ArrayType(T.LongType()))
     sets = stored(map_texts(texts, lambda it: _sets(it, held, least), schema), "sets")
     rows = stored(sets.select("doc_id", "own", "fp"), "rows")
-    nodes = stored(sets.select("fp", "own", "n", "keys", "odd").dropDuplicates(["fp"]), "nodes")
+    nodes = stored(sets.select("fp", "own", "n", "keys", "odd", "wide").dropDuplicates(["fp"]), "nodes")
     dropped(sets)
     comps = _links(nodes, texts, least)
     out = rows.join(comps, rows["fp"] == comps["node"], "left").select("doc_id", "own", F.coalesce("component", "fp").alias("root"))

@@ -75,6 +75,22 @@ def test_blocks_of_all_similar_sets_meet():
     assert len(np.intersect1d(nc.blocks(few), nc.blocks(np.append(few[1:], np.uint64(50)))))
 
 
+def test_parities_bound_the_difference(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for n in (5, 400, 600, 1000, 1100, 5000):
+        for share in (0.0, 0.05, 0.2, 0.5):
+            a = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[int(share * n / 2) :], rng.integers(0, 1 << 64, int(share * n / 2), dtype=np.uint64)]))
+            wide = lambda x: x.tolist() if len(x) > 8 else []
+            pa_, pb = nc.parities(a), nc.parities(b)
+            both = len(np.intersect1d(a, b))
+            rows.append((len(a), nc._folded(pa_).tolist(), wide(pa_), len(b), nc._folded(pb).tolist(), wide(pb), both / (len(a) + len(b) - both)))
+    df = spark.createDataFrame(rows, "na long, oa array<long>, wa array<long>, nb long, ob array<long>, wb array<long>, j double")
+    got = [(r.j, r.may) for r in df.select("j", nc._may("a", "b", (4, 5)).alias("may")).collect()]
+    assert all(may for j, may in got if j >= 0.8) and not any(may for j, may in got if j < 0.6)
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(2, "a b", 1), (None, "A b", 2), (1, "a b c", 3), (1, "a b c", 3), (5, None, 4), (4, "", 5)], "doc_id long, text string, x int")
     assert sorted((r.doc_id, r.x) for r in nc.without_near_copies(df).collect()) == [(1, 3), (2, 1), (4, 5)]
