@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .curves import score_bundle
+from .ranking import numbered
 
 
 def hash_unit(*parts: Column | str) -> Column:
@@ -22,8 +23,7 @@ def resamples(scored: DataFrame, replicates: int, id_: str = "id", y: str = "y",
     Draw j of a class picks its row number floor(u * n) by the hash of
     (replicate, class, j), so it is an equi-join and the same everywhere.
     """
-    order = Window.partitionBy(y).orderBy(id_)
-    rows = scored.select(y, s, (F.row_number().over(order) - 1).cast("long").alias("at"), F.count("*").over(Window.partitionBy(y)).alias("n"))
+    rows = numbered(scored.select(id_, y, s), [id_], [y], "at", "n").select(y, s, "at", "n")
     reps = scored.sparkSession.range(replicates).select(F.col("id").alias("replicate"))
     draws = rows.select(y, F.col("at").alias("j"), "n").join(F.broadcast(reps))
     picked = draws.select("replicate", y, F.floor(hash_unit("replicate", y, "j") * F.col("n")).cast("long").alias("at"))

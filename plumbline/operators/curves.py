@@ -32,14 +32,24 @@ def error_rates_at(scored: DataFrame, threshold: float | Column, keys: Sequence[
     return scored.groupBy(*keys).agg(rate(F.col(s) < t, 1).alias("apcer"), rate(F.col(s) >= t, 0).alias("bpcer"))
 
 
+def _by_score(scored: DataFrame, keys: Sequence[str], y: str, s: str) -> DataFrame:
+    """(keys, threshold, n, a, g): rows of each distinct score. The one pass over the rows: all else is made of it, and its shuffle is shared."""
+    return scored.groupBy(*keys, F.col(s).alias("threshold")).agg(F.count("*").alias("n"), F.count_if(F.col(y) == 1).alias("a"), F.count_if(F.col(y) == 0).alias("g"))
+
+
+def _totals(by: DataFrame, keys: Sequence[str]) -> DataFrame:
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in (("n", "n"), ("a", "n_att"), ("g", "n_gen"))]
+    return by.groupBy(*keys).agg(*sums)
+
+
 def det_points(scored: DataFrame, keys: Sequence[str] = (), y: str = "y", s: str = "s") -> DataFrame:
     """(keys, threshold, k, fn, fp, n_att, n_gen): counts at every distinct score and two sentinels (k = 0 above, 2 below)."""
-    by = scored.groupBy(*keys, F.col(s).alias("threshold")).agg(F.count_if(F.col(y) == 1).alias("a"), F.count_if(F.col(y) == 0).alias("g"))
+    by = _by_score(scored, keys, y, s)
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy()
     upto = whole.orderBy("threshold").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = by.withColumns({"ca": F.sum("a").over(upto), "cg": F.sum("g").over(upto), "n_att": F.sum("a").over(whole), "n_gen": F.sum("g").over(whole)})
     data = run.select(*keys, "threshold", F.lit(1).alias("k"), (F.col("ca") - F.col("a")).alias("fn"), (F.col("n_gen") - F.col("cg") + F.col("g")).alias("fp"), "n_att", "n_gen")
-    totals = scored.groupBy(*keys).agg(F.count_if(F.col(y) == 1).alias("n_att"), F.count_if(F.col(y) == 0).alias("n_gen"))
+    totals = _totals(by, keys)
     zero = F.lit(0).cast("long")
     ends = totals.select(*keys, F.explode(F.array(F.struct(F.lit(UPPER).alias("threshold"), F.lit(0).alias("k"), F.col("n_att").alias("fn"), zero.alias("fp")), F.struct(F.lit(LOWER).alias("threshold"), F.lit(2).alias("k"), zero.alias("fn"), F.col("n_gen").alias("fp")))).alias("e"), "n_att", "n_gen")
     return data.unionByName(ends.select(*keys, "e.*", "n_att", "n_gen"))
@@ -74,7 +84,7 @@ def score_bundle(scored: DataFrame, keys: Sequence[str] = (), target: float = 0.
     g, h = 1 - F.col("audet"), 1 - F.col("apcer_at")
     got = got.select(*keys, "n_att", "n_gen", audet.alias("audet"), F.col("at.apcer").alias("apcer_at"), F.col("at.threshold").alias("threshold_at"), "eer")
     got = got.withColumn("score", F.when(g + h <= 0, 1.0).otherwise(1 - 2 * g * h / (g + h)))
-    totals = scored.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col(y) == 1).alias("n_att"), F.count_if(F.col(y) == 0).alias("n_gen"))
+    totals = _totals(_by_score(scored, keys, y, s), keys)
     if not keys:
         return totals.join(F.broadcast(got), ["n_att", "n_gen"], "left").select("n", "n_att", "n_gen", "audet", "apcer_at", "threshold_at", "eer", "score")
     return totals.join(got.drop("n_att", "n_gen"), list(keys), "left").select(*keys, "n", "n_att", "n_gen", "audet", "apcer_at", "threshold_at", "eer", "score")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import numbered, running
+
 
 def probability_average(scores: DataFrame, id_: str = "id", s: str = "s") -> DataFrame:
     """(id, s): mean over the models (or views) of a long table (id, model, s)."""
@@ -15,15 +17,16 @@ def probability_average(scores: DataFrame, id_: str = "id", s: str = "s") -> Dat
 
 def position_ranks(scores: DataFrame, keys: Sequence[str] = ("model",), id_: str = "id", s: str = "s") -> DataFrame:
     """Add ``rank``: place by score, ties by id, over max(n - 1, 1)."""
-    whole = Window.partitionBy(*keys)
-    return scores.withColumn("rank", (F.row_number().over(whole.orderBy(s, id_)) - 1) / F.greatest(F.count("*").over(whole) - 1, F.lit(1)))
+    placed = numbered(scores, [s, id_], keys, "__place", "__n")
+    return placed.withColumn("rank", F.col("__place") / F.greatest(F.col("__n") - 1, F.lit(1))).drop("__place", "__n")
 
 
 def tie_ranks(scores: DataFrame, keys: Sequence[str] = ("model",), s: str = "s") -> DataFrame:
-    """Add ``rank``: average rank of equal scores over n."""
-    whole = Window.partitionBy(*keys)
-    ties = F.count("*").over(Window.partitionBy(*keys, s))
-    return scores.withColumn("rank", (F.rank().over(whole.orderBy(s)) + (ties - 1) / 2) / F.count("*").over(whole))
+    """Add ``rank``: average rank of equal scores over n, from the counts of distinct scores."""
+    by = scores.groupBy(*keys, s).agg(F.count("*").alias("__ties"))
+    by = running(by, [s], F.col("__ties"), keys, "__before", "__n")
+    rank = (F.col("__before") + (F.col("__ties") + 1) / 2) / F.col("__n")
+    return scores.join(by.select(*keys, s, rank.alias("rank")), [*keys, s]).select(*scores.columns, "rank")
 
 
 def rank_average(scores: DataFrame, ties: bool = False, id_: str = "id", s: str = "s") -> DataFrame:
@@ -58,10 +61,18 @@ def assembled(ids: DataFrame, public: DataFrame, private: DataFrame, default: fl
     return ids.select(id_).join(both, id_, "left").select(id_, F.coalesce(s, F.lit(default)).alias(s), F.coalesce("origin", F.lit("fill")).alias("origin"))
 
 
-def keyed_digest(df: DataFrame, id_: str = "id", s: str = "s", decimals: int = 6) -> DataFrame:
-    """One row: n and a digest of (id, score) that doesn't depend on order: the xor of row hashes, as SHA-256 of its text."""
-    row = F.xxhash64(F.col(id_).cast("string"), F.format_number(s, decimals))
-    return df.agg(F.count("*").alias("n"), F.sha2(F.bit_xor(row).cast("string"), 256).alias("sha256"))
+def keyed_digest(df: DataFrame, id_: str = "id", s: str = "s", buckets: int = 2) -> DataFrame:
+    """One row: n and a SHA-256 of all rows (id, score in whole millionths), whatever their order.
+
+    A row's digest is that of its text; rows are dealt to buckets by the first
+    ``buckets`` hexadecimal digits, a bucket's digest is that of its sorted
+    row digests, and the result that of the buckets' in order: equal rows
+    count, and no task holds more than one bucket.
+    """
+    row = F.sha2(F.concat_ws(",", F.col(id_).cast("string"), F.floor(F.col(s) * 1e6 + 0.5).cast("long").cast("string")), 256)
+    part = df.select(row.alias("d")).groupBy(F.substring("d", 1, buckets).alias("b")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d"))
+    ordered = F.array_sort(F.collect_list(F.struct("b", "d")))
+    return part.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(F.transform(ordered, lambda x: x["d"]), ""), 256).alias("sha256"))
 
 
 def disagreements(scored: DataFrame, s: str = "s", label: str = "label", threshold: float = 0.5) -> DataFrame:

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import numbered
+from .sampling import shuffled
+
 
 def long_features(df: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """(keep, feature, value) from wide numeric columns."""
@@ -46,7 +49,7 @@ def mutual_information(df: DataFrame, value: str, label: str, bins: int = 16, ke
     """(keys, mi): information in nats between equal-width bins of the value and the label (a histogram estimate)."""
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value))
     ends = rows.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    joined = rows.join(F.broadcast(ends), list(keys)) if keys else rows.join(F.broadcast(ends))
+    joined = rows.join(ends, list(keys)) if keys else rows.join(F.broadcast(ends))  # without keys one row
     width = F.col("hi") - F.col("lo")
     b = F.when(width <= 0, 0).otherwise(F.least(F.floor((F.col(value) - F.col("lo")) / width * bins), F.lit(bins - 1))).cast("int")
     cells = joined.select(*keys, b.alias("b"), F.col(label).alias("l")).groupBy(*keys, "b", "l").agg(F.count("*").alias("n"))
@@ -84,14 +87,13 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-def loo_neighbours(df: DataFrame, id_: str, vector: str, label: str, k: int = 3, queries: DataFrame | None = None) -> DataFrame:
+def loo_neighbours(df: DataFrame, queries: DataFrame, id_: str, vector: str, label: str, k: int = 3) -> DataFrame:
     """(id, label, vote, correct): majority label (ties to the smaller) of the k nearest others by cosine distance.
 
-    A stated query set is compared with all rows; without one every row is a
-    query, which is for small tables. The rank limit lets Spark keep the k
-    best per query and task before the shuffle.
+    A stated query set is compared with all rows. The rank limit lets Spark
+    keep the k best per query and task before the shuffle.
     """
-    q = (queries if queries is not None else df).select(F.col(id_).alias("q"), F.col(label).alias("ql"), F.col(vector).alias("qv"))
+    q = queries.select(F.col(id_).alias("q"), F.col(label).alias("ql"), F.col(vector).alias("qv"))
     r = df.select(F.col(id_).alias("r"), F.col(label).alias("rl"), F.col(vector).alias("rv"))
     near = r.join(q, F.col("q") != F.col("r")).select("q", "ql", "r", "rl", (1 - cosine(F.col("qv"), F.col("rv"))).alias("d"))
     top = near.withColumn("at", F.row_number().over(Window.partitionBy("q").orderBy("d", "r"))).where(F.col("at") <= k)
@@ -193,13 +195,12 @@ def permutation_importance(df: DataFrame, columns: Sequence[str], score, label:
     def rated(rows: DataFrame, name: str) -> DataFrame:
         return auc(score(rows).select(F.lit(name).alias("feature"), F.col("score").alias("value"), label), ["feature"], label=label)
 
-    own = Window.partitionBy().orderBy(id_)
-    dealt = Window.partitionBy().orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_).cast("string"))))
+    own = numbered(df, [id_], out="__n")
+    dealt = shuffled(df.select(id_, *columns), seed, id_).withColumnRenamed("place", "__n")
     base = rated(df, "")
     out = None
     for c in columns:
-        moved = df.select(F.col(c).alias(c), F.row_number().over(dealt).alias("__n"))
-        rows = df.withColumn("__n", F.row_number().over(own)).drop(c).join(moved, "__n").drop("__n")
+        rows = own.drop(c).join(dealt.select(c, "__n"), "__n").drop("__n")
         part = rated(rows, c)
         out = part if out is None else out.unionByName(part)
     return out.join(F.broadcast(base.select(F.col("auc").alias("whole")))).select("feature", (F.col("whole") - F.col("auc")).alias("drop"))

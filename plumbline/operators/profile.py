@@ -36,13 +36,18 @@ def label_stats(df: DataFrame, id_: str = "id", label: str = "label") -> DataFra
 
 
 def table_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """(column, type, n_unique, n_null) for every column; distinct counts exclude nulls."""
+    """(column, type, n, n_unique, n_null) for every column; n is the table's rows, distinct counts exclude nulls."""
     distinct = F.approx_count_distinct if approximate else F.countDistinct
-    row = df.agg(*[F.struct(distinct(f"`{c}`").alias("u"), F.count_if(F.col(f"`{c}`").isNull()).alias("m")).alias(c) for c in df.columns])
-    parts = [F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col(f"`{c}`.u").alias("n_unique"), F.col(f"`{c}`.m").alias("n_null")) for c, t in df.dtypes]
+    row = df.agg(*[F.struct(distinct(f"`{c}`").alias("u"), F.count_if(F.col(f"`{c}`").isNull()).alias("m")).alias(c) for c in df.columns], F.count("*").alias("__rows"))
+    parts = [F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col("__rows").alias("n"), F.col(f"`{c}`.u").alias("n_unique"), F.col(f"`{c}`.m").alias("n_null")) for c, t in df.dtypes]
     return row.select(F.inline(F.array(*parts)))
 
 
+def head(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:
+    """The first n rows by order (a report)."""
+    return df.orderBy(*order).limit(n)
+
+
 def bytes_by_extension(files: DataFrame, path: str = "path", size: str = "length") -> DataFrame:
     """(ext, n, bytes) by bytes descending; files without an extension have the empty one."""
     ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))

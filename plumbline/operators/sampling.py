@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import numbered
+
 
 def draw(seed: int, id_: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_).cast("string")))
@@ -17,15 +19,15 @@ def cap_sample(df: DataFrame, n: int, seed: int, id_: str = "id") -> DataFrame:
     return df.withColumn("__d", draw(seed, id_)).orderBy("__d", id_).limit(n).drop("__d")
 
 
-def numbered(df: DataFrame, seed: int, id_: str = "id", keys: Sequence[str] = ()) -> DataFrame:
-    """Add ``place``: 0, 1, ... in draw order, within each cell of the keys."""
-    order = Window.partitionBy(*keys).orderBy(draw(seed, id_), id_)
-    return df.withColumn("place", (F.row_number().over(order) - 1).cast("long"))
+def shuffled(df: DataFrame, seed: int, id_: str = "id", keys: Sequence[str] = ()) -> DataFrame:
+    """Add ``place``: 0, 1, ... in draw order, within each cell of the keys, and ``total``, the cell's rows."""
+    return numbered(df.withColumn("__d", draw(seed, id_)), ["__d", id_], keys, "place", "total").drop("__d")
 
 
 def per_cell(df: DataFrame, n: int, seed: int, keys: Sequence[str], id_: str = "id") -> DataFrame:
-    """At most n rows of each cell."""
-    return numbered(df, seed, id_, keys).where(F.col("place") < n).drop("place")
+    """At most n rows of each cell; each task keeps its first n of a cell before the shuffle."""
+    order = Window.partitionBy(*keys).orderBy(draw(seed, id_), id_)
+    return df.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= n).drop("__place")
 
 
 def stratified_sample(df: DataFrame, n: int, seed: int, keys: Sequence[str], id_: str = "id") -> DataFrame:
@@ -36,8 +38,7 @@ def stratified_sample(df: DataFrame, n: int, seed: int, keys: Sequence[str], id_
 
 def fraction_holdout(df: DataFrame, fraction: float, seed: int, keys: Sequence[str], id_: str = "id") -> DataFrame:
     """Add ``held``: the first round(fraction * n) rows of each stratum in draw order."""
-    sizes = F.count("*").over(Window.partitionBy(*keys))
-    return numbered(df, seed, id_, keys).withColumn("held", F.col("place") < F.floor(sizes * F.lit(fraction) + 0.5)).drop("place")
+    return shuffled(df, seed, id_, keys).withColumn("held", F.col("place") < F.floor(F.col("total") * F.lit(fraction) + 0.5)).drop("place", "total")
 
 
 def validation_carve(df: DataFrame, seed: int, id_: str = "id", most: int = 5000) -> DataFrame:
@@ -57,13 +58,12 @@ def head_tail(df: DataFrame, tail: int, seed: int, id_: str = "id") -> DataFrame
 
 def k_folds(df: DataFrame, k: int, seed: int, label: str = "label", id_: str = "id") -> DataFrame:
     """Add ``fold``: row number mod k within each class; not grouped."""
-    return numbered(df, seed, id_, [label]).withColumn("fold", F.col("place") % k).drop("place")
+    return shuffled(df, seed, id_, [label]).withColumn("fold", F.col("place") % k).drop("place", "total")
 
 
 def train_mask(df: DataFrame, fraction: float, seed: int, id_: str = "id") -> DataFrame:
-    """Add ``in_train``: whether the row's draw number in [0, 1) is under the fraction (no sort; sizes are approximate)."""
-    u = F.conv(F.substring(draw(seed, id_), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
-    return df.withColumn("in_train", u < fraction)
+    """Add ``in_train``: whether the row is among the first floor(fraction * n) in draw order."""
+    return shuffled(df, seed, id_).withColumn("in_train", F.col("place") < F.floor(F.col("total") * F.lit(fraction))).drop("place", "total")
 
 
 # --- pseudo-labels ---

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from hashlib import md5
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import SPLITS, SplitConfig
+from ..storage import stored
 from .profile import stratum
 from .similarity import components, numbered_components
 
@@ -25,8 +27,24 @@ def assign_groups(items: DataFrame, pairs: DataFrame, id_: str = "id") -> DataFr
 
 
 def holdout_folds(fraction: float, n_groups: int) -> int:
-    """k = max(2, min(round(1 / fraction), groups)); Python rounds half to even."""
-    return max(2, min(round(1 / fraction), n_groups))
+    """k = max(2, min(round(1 / fraction), groups)), of which one fold is held out; 0 if nothing can be: no fraction or under two groups."""
+    return max(2, min(round(1 / fraction), n_groups)) if fraction > 0 and n_groups >= 2 else 0
+
+
+def fold_count(wanted: int, n_groups: int) -> int:
+    """Folds that so many groups allow; 0 for under two."""
+    return max(2, min(wanted, n_groups)) if n_groups >= 2 else 0
+
+
+def split_warnings(n_groups: int, n_pool: int, config: SplitConfig) -> list[str]:
+    """What a split of so many groups, and of those outside test, can't do."""
+    out = [f"only {n_groups} groups: splits are coarse"] if n_groups < 5 else []
+    folds = fold_count(config.n_folds, n_pool)
+    if not folds:
+        out.append(f"{n_pool} groups outside test: no folds")
+    elif folds < config.n_folds:
+        out.append(f"only {folds} folds, as there are {n_pool} groups outside test")
+    return out
 
 
 def serpentine_folds(items: DataFrame, k: int, seed: int, group: str = "split_group", strata: Sequence[str] = ("type", "label")) -> DataFrame:
@@ -110,19 +128,31 @@ def deal_signatures(kinds: list[tuple[str, int, int]], k: int, seed: int) -> lis
     return runs
 
 
+def _held(items: DataFrame, fraction: float, n_groups: int, seed: int, strata: Sequence[str]) -> DataFrame:
+    """Add ``held``: whether the row is in the first of the folds that make out the fraction; nothing is if there are none."""
+    k = holdout_folds(fraction, n_groups)
+    if not k:
+        return items.withColumn("held", F.lit(False))
+    return greedy_folds(items, k, seed, strata=strata).withColumn("held", F.col("fold") == 0).drop("fold")
+
+
 def build_splits(items: DataFrame, pairs: DataFrame, config: SplitConfig = SplitConfig(), id_: str = "id", strata: Sequence[str] = ("type", "label")) -> DataFrame:
-    """Items with split_group, split (train, val, test) and cv_fold (-1 outside train and val); checked for leakage."""
-    from ..storage import stored
+    """Items with split_group, split (train, val, test) and cv_fold (-1 outside train and val); checked for leakage.
 
+    A fraction of 0, or too few groups, leaves a part empty; there are no more
+    folds than groups outside test, and none for under two. Both are warned of.
+    """
     grouped = stored(assign_groups(items, pairs, id_), "groups")
     n_groups = grouped.select("split_group").distinct().count()
-    test = greedy_folds(grouped, holdout_folds(config.test_frac, n_groups), config.random_state, strata=strata)
-    test = stored(test.withColumn("__test", F.col("fold") == 0).drop("fold"), "test")
+    test = stored(_held(grouped, config.test_frac, n_groups, config.random_state, strata).withColumnRenamed("held", "__test"), "test")
     rest = test.where("not __test")
     n_rest = rest.select("split_group").distinct().count()
-    val = greedy_folds(rest, holdout_folds(config.val_frac / (1 - config.test_frac), n_rest), config.random_state + 1, strata=strata)
-    val = val.select(id_, F.when(F.col("fold") == 0, "val").otherwise("train").alias("__part"))
-    folds = greedy_folds(rest, config.n_folds, config.random_state + 2, strata=strata).select(id_, F.col("fold").alias("__fold"))
+    for line in split_warnings(n_groups, n_rest, config):
+        warnings.warn(line, stacklevel=2)
+    val = _held(rest, config.val_frac / max(1 - config.test_frac, 1e-9), n_rest, config.random_state + 1, strata)
+    val = val.select(id_, F.when(F.col("held"), "val").otherwise("train").alias("__part"))
+    k = fold_count(config.n_folds, n_rest)
+    folds = greedy_folds(rest, k, config.random_state + 2, strata=strata).select(id_, F.col("fold").alias("__fold")) if k else rest.select(id_, F.lit(-1).alias("__fold"))
     out = test.join(val, id_, "left").join(folds, id_, "left")
     out = out.withColumn("split", F.coalesce("__part", F.lit("test"))).withColumn("cv_fold", F.coalesce("__fold", F.lit(-1)))
     out = stored(out.drop("__test", "__part", "__fold"), "splits")
@@ -130,13 +160,25 @@ def build_splits(items: DataFrame, pairs: DataFrame, config: SplitConfig = Split
     return out
 
 
-def type_holdout(items: DataFrame, seed: int, val_frac: float = 0.15, test_frac: float = 0.15, type_: str = "type") -> DataFrame:
-    """Add ``split`` by whole types in MD5 order: max(1, round) types each for test and val, the others train."""
-    types = items.select(type_).distinct().withColumn("__at", F.row_number().over(Window.partitionBy().orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(type_))), type_)))
-    n = types.count()
-    n_test, n_val = max(1, round(n * test_frac)), max(1, round(n * val_frac))
-    named = types.select(type_, F.when(F.col("__at") <= n_test, "test").when(F.col("__at") <= n_test + n_val, "val").otherwise("train").alias("split"))
-    return items.join(named, type_)
+def type_holdout(items: DataFrame, seed: int, val_frac: float = 0.15, test_frac: float = 0.15, type_: str = "type", n_folds: int = 5) -> DataFrame:
+    """Add ``split`` and ``cv_fold`` by whole types (few): max(1, round) types each for val and test in MD5 order, the others train.
+
+    The types of train and val are dealt to folds by size, the largest first,
+    each to the smallest fold so far; there are at most as many folds as types,
+    and at least two. Test has fold -1.
+    """
+    sizes = {r[type_]: r["n"] for r in items.groupBy(type_).agg(F.count("*").alias("n")).collect()}
+    order = sorted(sizes, key=lambda t: (md5(f"{seed}:{t}".encode()).hexdigest(), t))
+    n_val, n_test = max(1, round(len(order) * val_frac)), max(1, round(len(order) * test_frac))
+    parts = {t: "val" if i < n_val else "test" if i < n_val + n_test else "train" for i, t in enumerate(order)}
+    pool = sorted((t for t in order if parts[t] != "test"), key=lambda t: (-sizes[t], t))
+    rows = [0] * max(2, min(n_folds, len(pool)))
+    folds = dict.fromkeys(order, -1)
+    for t in pool:
+        folds[t] = rows.index(min(rows))
+        rows[folds[t]] += sizes[t]
+    named = items.sparkSession.createDataFrame([(t, parts[t], folds[t]) for t in order], f"{type_} string, split string, cv_fold int")
+    return items.join(F.broadcast(named), type_)
 
 
 def cv_roles(splits: DataFrame, fold: str = "cv_fold") -> DataFrame:

@@ -124,13 +124,13 @@ def ensemble_vs_members(spark, sf):
 
 
 _B = "rows AS (SELECT y, s, row_number() OVER (PARTITION BY y ORDER BY id) - 1 AS ix, count(*) OVER (PARTITION BY y) AS n FROM m1s)"
-_BOOT = f"""WITH {SCORES}, {M1}, {_B}, draws AS (SELECT r AS replicate, y, CAST(floor({unit_sql("r || ':' || y || ':' || ix")} * n) AS BIGINT) AS ix FROM rows CROSS JOIN range(20) t(r)),
+_BOOT = f"""WITH {SCORES}, {M1}, {_B}, draws AS (SELECT r AS replicate, y, CAST(floor({unit_sql("r || ':' || y || ':' || ix")} * n) AS BIGINT) AS ix FROM rows CROSS JOIN range(500) t(r)),
 base AS (SELECT d.replicate, rows.y, rows.s FROM draws d JOIN rows ON d.y = rows.y AND d.ix = rows.ix), {bundle_sql('replicate', 'base')}"""
 
 
 @query("bootstrap_ci", f"{_BOOT} SELECT {micro_sql('avg(score)')} AS mean, {micro_sql('stddev_pop(score)')} AS std, {micro_sql('quantile_cont(score, 0.025)')} AS lower, {micro_sql('quantile_cont(score, 0.975)')} AS upper FROM bundle")
 def bootstrap_ci(spark, sf):
-    got = bootstrap.bootstrap_metric(m1(spark, sf), replicates=20)
+    got = bootstrap.bootstrap_metric(m1(spark, sf), replicates=500)
     return got.select(*[micro(F.col(c)).alias(c) for c in got.columns])
 
 
@@ -201,7 +201,10 @@ def final_assembly(spark, sf):
     return ensemble.assembled(load(spark, sf, "documents").select(F.col("doc_id").alias("id")), p.where("id % 2 = 0"), p.where("id % 2 = 1"))
 
 
-@query("assembly_digest")
+_FINAL = f"""{SCORES}, {_PRED}, final AS (SELECT d.doc_id AS id, coalesce(p.s, 0.5) AS s FROM documents d LEFT JOIN pred p ON d.doc_id = p.id)"""
+
+
+@query("assembly_digest", f"WITH {_FINAL}, r AS (SELECT sha256(id || ',' || {micro_sql('s')}) AS d FROM final), b AS (SELECT substr(d, 1, 2) AS b, count(*) AS n, sha256(string_agg(d, '' ORDER BY d)) AS d FROM r GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(d, '' ORDER BY b)) AS sha256 FROM b")
 def assembly_digest(spark, sf):
     return ensemble.keyed_digest(final_assembly(spark, sf))
 
@@ -278,6 +281,6 @@ def strat_kfold(spark, sf):
     return sampling.k_folds(items(spark, sf).select("id", "label"), 5, 7).select("id", "fold")
 
 
-@query("random_split", f"WITH {ITEMS} SELECT id, {unit_sql("'13:' || id")} < 0.8 AS in_train FROM items")
+@query("random_split", f"WITH {ITEMS} SELECT id, row_number() OVER (ORDER BY md5('13:' || id), id) <= floor(count(*) OVER () * 0.8::DOUBLE) AS in_train FROM items")
 def random_split(spark, sf):
     return sampling.train_mask(items(spark, sf).select("id"), 0.8, 13)

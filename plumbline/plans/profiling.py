@@ -31,11 +31,16 @@ def crosstab(spark, sf):
     return profile.crosstab(items(spark, sf), "doc_type")
 
 
-@query("table_profile", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{t}' AS type, count(DISTINCT {c}) AS n_unique, count(*) FILTER ({c} IS NULL) AS n_null FROM customer" for c, t in (("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"), ("c_mktsegment", "string"))))
+@query("table_profile", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{t}' AS type, count(*) AS n, count(DISTINCT {c}) AS n_unique, count(*) FILTER ({c} IS NULL) AS n_null FROM customer" for c, t in (("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"), ("c_mktsegment", "string"))))
 def table_profile(spark, sf):
     return profile.table_profile(load(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))
 
 
+@query("table_head", "SELECT c_custkey, c_name, c_nationkey FROM customer ORDER BY c_custkey LIMIT 5")
+def table_head(spark, sf):
+    return profile.head(load(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey"), ["c_custkey"])
+
+
 @query("bytes_by_ext", r"SELECT lower(regexp_extract(url, '\.([A-Za-z0-9]+)$', 1)) AS ext, count(*) AS n, CAST(sum(length(html)) AS BIGINT) AS bytes FROM pages GROUP BY ext")
 def bytes_by_ext(spark, sf):
     return profile.bytes_by_extension(load(spark, sf, "pages").select(F.col("url").alias("path"), F.length("html").alias("length")))

@@ -223,9 +223,15 @@ def cv_roles(spark, sf):
     return sp.cv_roles(_splits(spark, sf)).groupBy("held_fold", "role").agg(F.count("*").alias("n"))
 
 
-@query("type_holdout", f"WITH {ITEMS}, t AS (SELECT doc_type, row_number() OVER (ORDER BY md5('1:' || doc_type), doc_type) AS ix FROM (SELECT DISTINCT doc_type FROM items)) SELECT id, CASE WHEN ix <= 3 THEN 'test' WHEN ix <= 6 THEN 'val' ELSE 'train' END AS split FROM items JOIN t USING (doc_type)")
+_TYPED = f"""{ITEMS}, sizes AS (SELECT doc_type, count(*) AS n, row_number() OVER (ORDER BY md5('1:' || doc_type), doc_type) AS ix FROM items GROUP BY doc_type),
+part AS (SELECT doc_type, n, CASE WHEN ix <= 3 THEN 'val' WHEN ix <= 6 THEN 'test' ELSE 'train' END AS split FROM sizes),
+pool AS (SELECT doc_type, n, row_number() OVER (ORDER BY n DESC, doc_type) AS o FROM part WHERE split <> 'test'),
+dealt(o, rows_, f) AS (SELECT CAST(0 AS BIGINT), [CAST(0 AS HUGEINT), 0, 0, 0, 0], CAST(0 AS BIGINT) UNION ALL SELECT p.o, list_transform(rows_, lambda x, i: x + CASE WHEN i = list_position(rows_, list_min(rows_)) THEN p.n ELSE 0 END), CAST(list_position(rows_, list_min(rows_)) AS BIGINT) FROM dealt d JOIN pool p ON p.o = d.o + 1)"""
+
+
+@query("type_holdout", f"WITH RECURSIVE {_TYPED} SELECT id, split, CAST(coalesce(f - 1, -1) AS INTEGER) AS cv_fold FROM items JOIN part USING (doc_type) LEFT JOIN pool USING (doc_type) LEFT JOIN dealt USING (o)")
 def type_holdout(spark, sf):
-    return sp.type_holdout(items(spark, sf).select("id", "doc_type"), 1, type_="doc_type").select("id", "split")
+    return sp.type_holdout(items(spark, sf).select("id", "doc_type"), 1, type_="doc_type").select("id", "split", "cv_fold")
 
 
 @query("build_splits")

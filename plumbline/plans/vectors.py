@@ -11,6 +11,8 @@ from ..operators import probes as pb
 from .registry import query
 from .views import SCORES, items, load, micro, micro_sql, scores
 
+#: Boosting rounds of the registered probe; a fit is a chain of jobs, as many as rounds times depth.
+BOOSTING_ROUNDS = 20
 V = "list_transform(embedding, lambda x: x::DOUBLE)"
 
 
@@ -224,7 +226,7 @@ _UNIT = f"u AS (SELECT vec_id, label, list_transform(v, lambda x: x / n) AS u FR
 @query("knn_loo", f"WITH {_UNIT}, d AS (SELECT a.vec_id, a.label, b.label AS rl, row_number() OVER (PARTITION BY a.vec_id ORDER BY 1 - list_dot_product(a.u, b.u), b.vec_id) AS ix FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), v AS (SELECT vec_id, label, rl, count(*) AS n FROM d WHERE ix <= 3 GROUP BY ALL) SELECT vec_id, label, arg_min(rl, row(-n, rl)) AS vote, label = arg_min(rl, row(-n, rl)) AS correct FROM v GROUP BY vec_id, label")
 def knn_loo(spark, sf):
     rows = _vectors(spark, sf)
-    return pb.loo_neighbours(rows, "vec_id", "embedding", "label", queries=rows.where("vec_id % 50 = 0"))
+    return pb.loo_neighbours(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding", "label")
 
 
 @query("cosine_silhouette", f"WITH {_UNIT}, d AS (SELECT a.vec_id, a.label, b.label AS other, sum(1 - list_dot_product(a.u, b.u)) AS t, count(*) AS n FROM u a JOIN u b ON a.vec_id <> b.vec_id GROUP BY ALL), s AS (SELECT vec_id, max(t / n) FILTER (label = other) AS a, min(t / n) FILTER (label <> other) AS b FROM d GROUP BY vec_id) SELECT {micro_sql('avg(coalesce((b - a) / greatest(a, b), 0))')} AS silhouette FROM s")
