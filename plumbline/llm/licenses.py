@@ -1,10 +1,13 @@
 """License scan with a positional index of rare words, in DataFrame functions only.
 
 The words of the templates get their inverse document frequency from the whole
-corpus; each template is indexed under its rarest words with their offsets. A
-document's occurrences of those words vote for alignments (template, start) by
-relative position; an alignment counts if the template's key phrase stands
-there word by word and enough of its words, weighted by frequency, match.
+corpus. Of every template's mandatory key phrase the two words of highest
+frequency weight are indexed with their offsets. A file's licence words are
+looked up there; the postings that both words of a template give, as starts of
+its key phrase, are intersected by relative position; and at each start that
+is left the key phrase is verified word by word. The template's other words
+may be shifted by a few places, as when a year or a name is put in; enough of
+them must match, weighted by their rarity.
 """
 
 from __future__ import annotations
@@ -16,13 +19,11 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, without
+from .common import table, unused, without
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Index words of a template, besides the rarest of its key phrase.
-SEEDS = 3
-#: Least share of a template's weight that must match.
-LEAST_SHARE = 0.6
+#: Least share of a template's weight that must match, and how far its words outside the key phrase may be shifted.
+LEAST_SHARE, SHIFT = 0.6, 3
 
 
 class Template(NamedTuple):
@@ -56,6 +57,42 @@ OWN = (
     Template("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
     Template("cc0", "cc0 1 0 universal public domain dedication", "public domain dedication"),
     Template("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
+    Template(
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so",
+        "deal in the software without restriction",
+    ),
+    Template(
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0",
+        "you may not use this file except in compliance with the license",
+    ),
+    Template(
+        "gpl-3.0",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+        "either version 3 of the license or at your option any later version",
+        "either version 3 of the license",
+    ),
+    Template(
+        "gpl-2.0",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+        "either version 2 of the license or at your option any later version",
+        "either version 2 of the license",
+    ),
+    Template(
+        "bsd",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "must retain the above copyright notice this list of conditions",
+    ),
+    Template("isc", "with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "this permission notice appear in all copies"),
+    Template(
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
+        "authors be held liable for any damages arising from the use",
+    ),
+    Template("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "any person or organization obtaining a copy"),
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -74,23 +111,31 @@ def frequencies(docs: DataFrame, templates: Sequence[Template], text: str = "tex
     return {w: math.log((n.get("", 0) + 1) / (n.get(w, 0) + 1)) + 1 for w in vocabulary}
 
 
-def _index(templates: Sequence[Template], idf: dict[str, float]) -> dict[str, list[tuple[int, int]]]:
-    out: dict[str, list[tuple[int, int]]] = {}
+#: A vote as one number: the template above, the start (which may lie before the text) below.
+_PLACES = 1 << 40
+
+
+def _index(templates: Sequence[Template], idf: dict[str, float]) -> list[dict[str, list[tuple[int, int]]]]:
+    """For the rarest and the second rarest word of each key phrase: word -> (template, offset in the phrase)."""
+    out: list[dict[str, list[tuple[int, int]]]] = [{}, {}]
     for t, template in enumerate(templates):
-        words, key = template.words.split(), template.key.split()
-        rank = lambda w: (-idf[w], w)
-        for w in {*sorted(set(words), key=rank)[: 1 if template.base else SEEDS], min(key, key=rank)}:
-            out.setdefault(w, []).extend((t, i) for i, x in enumerate(words) if x == w)
+        key = template.key.split()
+        rare = sorted(set(key), key=lambda w: (-idf[w], w))
+        for postings, w in zip(out, (rare[0], rare[min(1, len(rare) - 1)]), strict=True):
+            postings.setdefault(w, []).extend((t, i) for i, x in enumerate(key) if x == w)
     return out
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", templates: Sequence[Template] = BASE + OWN, least_share: float = LEAST_SHARE) -> DataFrame:
     """Add n_words and license_matches, an array of (label, base, start, share), to every row.
 
+    ``start`` is where the template begins, 0 if that is before the text; its
+    key phrase must stand in the text whole.
     ``share`` is the matched part of a template's weight; it is 1 for the exact
-    phrases of base templates. The key phrase must stand in the text, other
-    words of a template may lie outside it; ``start`` is at least 0. Null and empty texts have no words and no
-    matches. Input columns named as the new ones are replaced.
+    phrases of base templates. Other words of a template may lie outside the
+    text or up to SHIFT places off. Null and empty texts have no words and no
+    matches; repeated rows stay repeated, no rows give none. Input columns
+    named as the new ones are replaced.
     """
     idf = frequencies(docs, templates, text)
     index = _index(templates, idf)
@@ -99,35 +144,43 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: Sequence[Templ
         words, key = t.words.split(), t.key.split()
         at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
         total = sum(idf[w] for w in words)
+        around = [(w, i - at) for i, w in enumerate(words) if not at <= i < at + len(key)]
         structs.append(
             F.struct(
                 F.lit(t.label).alias("label"),
                 F.lit(t.base).alias("base"),
-                F.array(*map(F.lit, words)).alias("words"),
-                F.array(*[F.lit(idf[w] / total) for w in words]).alias("weights"),
-                F.lit(at).alias("from"),
-                F.lit(at + len(key) - 1).alias("to"),
+                F.array(*map(F.lit, key)).alias("key"),
+                F.lit(at).alias("at"),
+                F.lit(sum(idf[w] for w in key) / total).alias("sure"),
+                F.array(*[F.struct(F.lit(w).alias("w"), F.lit(d).alias("d"), F.lit(idf[w] / total).alias("weight")) for w, d in around]).cast("array<struct<w:string,d:int,weight:double>>").alias("around"),
                 F.lit(1.0 if t.base else least_share).alias("least"),
             )
         )
-    postings = F.create_map(*[x for w, places in sorted(index.items()) for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(o).alias("o")) for t, o in places]))])
-    out = without(docs, "n_words", "license_matches", "__words", "__votes").withColumn("__words", words_column(text))
-    words = F.col("__words")
-    hits = F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(sorted(index)), F.struct(w.alias("w"), i.alias("i")))))
-    votes = F.array_distinct(F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(postings, h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["o"]).alias("start"))))))
-    out = out.withColumn("__votes", votes)
+    tokens, votes = unused(docs, "tokens"), unused(docs, "votes")
+    out = without(docs, "n_words", "license_matches").withColumn(tokens, words_column(text))
+    words = F.col(tokens)
+    known = sorted({w for postings in index for w in postings})
+    hits = F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(known), F.struct(w.alias("w"), i.alias("i")))))
+
+    def starts(hits: Column, postings: dict[str, list[tuple[int, int]]]) -> Column:
+        table = F.create_map(*[x for w, places in sorted(postings.items()) for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(o).alias("o")) for t, o in places]))])
+        own = F.filter(hits, lambda h: h["w"].isin(sorted(postings)))
+        return F.flatten(F.transform(own, lambda h: F.transform(F.element_at(table, h["w"]), lambda p: p["t"].cast("long") * _PLACES + h["i"].cast("long") - p["o"].cast("long") + _PLACES // 2)))
+
+    both = F.get(F.transform(F.array(hits), lambda h: F.array_intersect(starts(h, index[0]), starts(h, index[1]))), F.lit(0))
+    out = out.withColumn(votes, both)
 
     def match(v: Column) -> Column:
-        template = F.get(F.array(*structs), v["t"])
-        same = lambda j: F.get(words, v["start"] + j).eqNullSafe(F.get(template["words"], j))
-        share = F.aggregate(F.transform(template["weights"], lambda w, j: F.when(same(j), w).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
-        keyed = F.forall(F.sequence(template["from"], template["to"]), same)
-        return F.struct(template["label"].alias("label"), template["base"].alias("base"), F.greatest(v["start"], F.lit(0)).alias("start"), F.when(keyed, F.least(F.lit(1.0), share + 1e-12)).otherwise(0.0).alias("share"), template["least"].alias("least"))
-
-    good = F.filter(F.transform(F.col("__votes"), match), lambda m: m["share"] >= m["least"])
-    matches = F.when(F.size("__votes") > 0, F.transform(good, lambda m: F.struct(m["label"].alias("label"), m["base"].alias("base"), m["start"].alias("start"), m["share"].alias("share"))))
+        template, start = F.get(F.array(*structs), F.floor(v / _PLACES).cast("int")), (v % _PLACES - _PLACES // 2).cast("int")
+        stands = (start >= 0) & F.forall(F.transform(template["key"], lambda w, j: F.get(words, start + j).eqNullSafe(w)), lambda x: x)
+        near = lambda x: F.exists(F.sequence(F.lit(-SHIFT), F.lit(SHIFT)), lambda e: F.get(words, start + x["d"] + e).eqNullSafe(x["w"]))
+        share = template["sure"] + F.aggregate(F.transform(template["around"], lambda x: F.when(near(x), x["weight"]).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
+        return F.struct(template["label"].alias("label"), template["base"].alias("base"), F.greatest(start - template["at"], F.lit(0)).alias("start"), F.when(stands, F.least(F.lit(1.0), share + 1e-12)).otherwise(0.0).alias("share"), template["least"].alias("least"))
+
+    good = F.filter(F.transform(F.col(votes), match), lambda m: m["share"] >= m["least"])
+    matches = F.when(F.size(votes) > 0, F.transform(good, lambda m: F.struct(m["label"].alias("label"), m["base"].alias("base"), m["start"].alias("start"), m["share"].alias("share"))))
     empty = F.expr("cast(array() as array<struct<label:string,base:boolean,start:int,share:double>>)")
-    return out.withColumn("n_words", F.size("__words").cast("long")).withColumn("license_matches", F.coalesce(matches, empty)).drop("__words", "__votes")
+    return out.withColumn("n_words", F.size(tokens).cast("long")).withColumn("license_matches", F.coalesce(matches, empty)).drop(tokens, votes)
 
 
 def op1_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
