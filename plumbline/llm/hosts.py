@@ -1,10 +1,11 @@
-"""Empirical-Bayes host reputation over URL rules.
-
-Pages that a rule decides are the labelled outcomes. Their beta-binomial
-counts shrink from host to registered domain to public suffix to all pages:
-each level's prior has its parent's mean and a strength fitted to how much the
-level's rates scatter. Pages without a rule get the verdict of their host's
-posterior bound.
+"""Empirical-Bayes host reputation beside URL rules.
+
+Every page's own content is a labelled outcome: a page of few words or of many
+symbols is bad. Outcomes are counted by host, and beta-binomial means shrink
+from host to registered domain to public suffix to all pages: each level's
+prior has its parent's mean and a strength fitted to how much the level's
+rates scatter beyond chance. A rule decides its pages; all others get the
+verdict of their host's posterior bound.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import stored
-from .common import table, without
+from .common import table, unused, without
 
 
 class Rule(NamedTuple):
@@ -39,10 +40,14 @@ RULES = (
 )
 #: Second-level labels under which country suffixes register names.
 SECOND_LEVEL = ("co", "com", "org", "net", "edu", "gov", "ac")
-#: A host is blocked if the bad share is above LIMIT at Z standard deviations under the posterior mean.
-LIMIT, Z = 0.5, 1.64
-#: Bounds of a prior's strength in pages.
-WEAKEST, STRONGEST = 1.0, 1000.0
+#: A host is blocked if the share of bad pages is above LIMIT at Z standard deviations under the posterior mean.
+LIMIT, Z = 0.25, 1.64
+#: A page is bad with fewer words, or with more symbols a word.
+LEAST_WORDS, MOST_SYMBOLS = 50, 0.3
+_HIDDEN = r"(?is)<(script|style)\b.*?</\1\s*+>|<!--.*?-->|<[^>]*+>"
+_NUMERIC = r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"
+#: Bounds of a prior's strength in pages, and the share of bad pages that two pages are taken to have before any is seen.
+WEAKEST, STRONGEST, FIRST = 1.0, 1000.0, 0.1
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -64,15 +69,25 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule] = RULES) -> Column
     return out
 
 
+def page_outcome(html: Column) -> Column:
+    """1 for a bad page, 0 for a good one, null without a page: judged by the words and symbols outside its markup."""
+    seen = F.regexp_replace(html.cast("string"), _HIDDEN, " ")
+    words, symbols = F.regexp_count(seen, F.lit(r"[^\x20\x09-\x0D]+")), F.regexp_count(seen, F.lit(r"[#*$%&|<>]"))
+    return F.when((words < LEAST_WORDS) | (symbols > MOST_SYMBOLS * words), 1).when(html.isNotNull(), 0)
+
+
 def domain_and_suffix(host: Column) -> tuple[Column, Column]:
-    """Registered domain and public suffix by label count: the last label, or two under a country's second level."""
-    labels = F.split(F.regexp_replace(host, r":[0-9]*$", ""), r"\.")
+    """Registered domain and public suffix by label count: the last label, or two under a country's second level. A numeric host is its own domain, without a suffix."""
+    plain = F.regexp_replace(host, r":[0-9]*$", "")
+    numeric = plain.rlike(_NUMERIC)
+    labels = F.split(plain, r"\.")
     n = F.size(labels)
     last, second = F.element_at(labels, -1), F.try_element_at(labels, F.lit(-2))
     two = (n >= 3) & (F.length(last) == 2) & second.isin(*SECOND_LEVEL)
     suffix = F.when(two, F.concat_ws(".", second, last)).otherwise(last)
     depth = F.when(two, 3).otherwise(2)
-    return F.array_join(F.when(n > depth, F.slice(labels, n - depth + 1, depth)).otherwise(labels), "."), suffix
+    domain = F.array_join(F.when(n > depth, F.slice(labels, n - depth + 1, depth)).otherwise(labels), ".")
+    return F.when(numeric, plain).otherwise(domain), F.when(numeric, "").otherwise(suffix)
 
 
 def _strength(groups: DataFrame, mean: Column) -> float:
@@ -91,7 +106,7 @@ def _strength(groups: DataFrame, mean: Column) -> float:
 def reputations(outcomes: DataFrame) -> DataFrame:
     """(host, n, bad, mean, bound) from (host, bad), one row per host; ``bad`` is 0, 1 or null (no outcome).
 
-    Hosts without outcomes have the mean of their domain's posterior, and so on upwards; with no outcome at all it is one half.
+    Hosts without outcomes have the mean of their domain's posterior, and so on upwards; with no outcome at all it is FIRST.
     """
     domain, suffix = domain_and_suffix(F.col("host"))
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
@@ -99,7 +114,7 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     whole = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
-    top = (whole["bad"] + 1) / (whole["n"] + 2)
+    top = (whole["bad"] + 2 * FIRST) / (whole["n"] + 2)
 
     def shrunk(groups: DataFrame, mean: Column, key: str) -> tuple[DataFrame, float]:
         m = _strength(groups, mean)
@@ -112,24 +127,30 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     return hosts.select("host", "n", "bad", "mean", (F.col("mean") - Z * deviation).alias("bound"))
 
 
-def judge_pages(pages: DataFrame, url: str = "url", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Add host, path, rule, reputation (posterior mean), bound and verdict (allow or block) to every row.
+def judge_pages(pages: DataFrame, url: str = "url", html: str | None = "html", rules: Sequence[Rule] = RULES) -> DataFrame:
+    """Add host, path, rule, reputation (posterior mean of the share of bad pages), bound and verdict (allow or block) to every row.
 
     A rule decides its pages; all others follow their host's bound. Null urls
-    and urls without :// have an empty host, which is judged like any other.
-    Input columns named as the new ones are replaced; repeated rows stay.
+    and urls without :// have an empty host, which is judged like any other. A
+    null page is no outcome, and if ``html`` is None there is none; all hosts
+    then have the share FIRST. Input columns named as the new ones are
+    replaced; the page itself is not returned; repeated rows stay, and each
+    counts as a page; no rows give none.
     """
     host, path = url_parts(F.col(f"`{url}`"))
     new = ("host", "path", "rule", "verdict", "reputation", "bound")
-    out = without(pages, *new).withColumns({"host": host, "path": path})
-    out = out.withColumn("__rule", rule_of(F.col("host"), F.col("path"), rules))
-    known = reputations(out.select("host", F.when(F.col("__rule.allow"), 0).when(~F.col("__rule.allow"), 1).alias("bad")))
-    known = known.select(F.col("host").alias("__host"), F.col("mean").alias("reputation"), "bound")
-    out = out.join(known, out["host"] == known["__host"], "left").drop("__host")
-    allowed = F.coalesce(F.col("__rule.allow"), F.col("bound") <= LIMIT)
-    return out.withColumn("rule", F.col("__rule.rule")).withColumn("verdict", F.when(allowed, "allow").otherwise("block")).drop("__rule")
+    out = without(pages, *new)
+    bad, found = unused(out, "bad"), unused(out, "found")
+    outcome = page_outcome(F.col(f"`{html}`")) if html else F.lit(None).cast("int")
+    out = out.withColumns({bad: outcome, "host": host, "path": path}).drop(*[html] * bool(html))
+    known = reputations(stored(out.select("host", F.col(bad).alias("bad")), "outcomes"))
+    known = known.select(F.col("host").alias(f"{found}_host"), F.col("mean").alias("reputation"), "bound")
+    out = out.drop(bad).withColumn(found, rule_of(F.col("host"), F.col("path"), rules))
+    out = out.join(known, out["host"] == known[f"{found}_host"], "left").drop(f"{found}_host")
+    allowed = F.coalesce(F.col(f"{found}.allow"), F.col("bound") <= LIMIT)
+    return out.withColumn("rule", F.col(f"{found}.rule")).withColumn("verdict", F.when(allowed, "allow").otherwise("block")).drop(found)
 
 
 def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule and verdict of every page."""
-    return judge_pages(table(spark, sf_dir, "pages", "page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "reputation", "bound")
+    return judge_pages(table(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict", "reputation", "bound")
