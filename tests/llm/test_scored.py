@@ -55,6 +55,48 @@ def test_license_labels(spark, sentence, label):
     assert label in got[0] and not got[1] and not got[2]
 
 
+def test_license_tolerates_insertions_and_long_texts(spark):
+    mit = licenses.OWN[-8].words
+    texts = [
+        "Licensed under the (well known) Apache License, as of 2004: Version 2.0",
+        mit,
+        mit.replace("without limitation", "without any limitation"),
+        "deal in the software without restriction and nothing else of it",
+        "general license public",
+        "cc " * 3000 + "by",
+    ]
+    got = {r.doc_id: r.license_matches for r in licenses.scan_licenses(frame(spark, texts)).collect()}
+    labels = [{m.label for m in got[i] if not m.base} for i in range(len(texts))]
+    assert labels == [{"apache-2.0"}, {"mit"}, {"mit"}, set(), set(), set()]
+    assert [(m.label, m.start) for m in got[5]] == [("cc-by", 2999)]
+
+
+def test_license_query_and_recall(spark):
+    """Every licence line of a table is found, none is made up, and the query's columns follow from its matches."""
+    sf = "/root/testdata/sf0.01"
+    lines = {"Released under the MIT License.": "mit", "Licensed under CC BY-NC 4.0.": "cc-by-nc", "Licensed under the Apache License, Version 2.0.": "apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0"}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in licenses.op1_license_index(spark, sf).collect()}
+    assert len(got) == len(rows)
+    n = 0
+    for r in rows:
+        x = got[r.doc_id]
+        assert (x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels) == brute_license(r.text)
+        want = {label for line, label in lines.items() if line in (r.text or "")}
+        own = set(x.labels.split(",")) - set(PHRASES.values()) - {""}
+        assert want == own, (r.doc_id, want, own)
+        assert set(filter(None, x.base_labels.split(","))) <= set(x.labels.split(",")) and (x.score > 0) == bool(x.labels) and x.score <= 1
+        n += len(want)
+    assert n > 20
+
+
+def test_license_edges(spark):
+    df = spark.createDataFrame([(1, "general public license", "a", "b"), (1, "general public license", "a", "b"), (None, None, "a", "b")], "doc_id long, text string, tokens string, votes string")
+    out = licenses.scan_licenses(df)
+    assert out.columns == [*df.columns, "n_words", "license_matches"] and sorted(len(r.license_matches) for r in out.collect()) == [0, 1, 1]
+    assert licenses.scan_licenses(df.limit(0)).count() == 0
+
+
 # --- quality ---
 
 
@@ -109,14 +151,14 @@ def brute_rule(url):
 def test_hosts(spark):
     urls = [None, "", "nothing", "http://", "http://ORG/x", "HTTP://a.Example.org/es/1#x", "x://example.org/en/12?q", "x://myexample.org/en/1", "ftp://com/fr/", "http://a.com?x=/de/", "http://b.com/de/://com/fr/", "http://é.com/de/\n2"]
     rows = [(i, u) for i, u in enumerate(urls)] * 2 + [(100 + r.page_id, r.url) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
-    got = hosts.judge_pages(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    got = hosts.judge_pages(spark.createDataFrame(rows, "page_id long, url string"), html=None).collect()
     assert len(got) == len(rows)
     by = dict(rows)
     for r in got:
         host, path, rule, verdict = brute_rule(by[r.page_id])
         assert (r.host, r.path, r.rule) == (host, path, rule)
         assert r.verdict == verdict if verdict else r.verdict in ("allow", "block")
-    assert hosts.judge_pages(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    assert hosts.judge_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
 def test_reputation_shrinks_towards_the_domain(spark):
@@ -126,6 +168,76 @@ def test_reputation_shrinks_towards_the_domain(spark):
     assert got["new.good.com"].mean < got["one.good.com"].mean < 0.5 < got["h1.bad.com"].bound < got["h1.bad.com"].mean
 
 
+def brute_outcome(html):
+    seen = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ", html)
+    w = len(re.findall(r"[^\x20\x09-\x0D]+", seen))
+    return int(w < 50 or len(re.findall(r"[#*$%&|<>]", seen)) > 0.3 * w)
+
+
+def test_page_outcomes(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = [(r.html, brute_outcome(r.html)) for r in pages.collect()] + [("<p>" + "word " * 50 + "</p>", 0), ("<p>" + "word " * 49, 1), ("<style>" + "a b " * 99 + "</style>c", 1), ("x# " * 60, 1), ("", 1)]
+    got = spark.createDataFrame(rows, "html string, want int").withColumn("bad", hosts.page_outcome(F.col("html"))).collect()
+    assert all(r.bad == r.want for r in got) and {r.bad for r in got} == {0, 1}
+    assert spark.createDataFrame([(None,)], "html string").select(hosts.page_outcome(F.col("html")).alias("b")).first().b is None
+
+
+def brute_posterior(outcomes):
+    """Shrunk means and bounds host by host, in plain Python."""
+    split = lambda h: (".".join(h.split(".")[-2:]), h.split(".")[-1])
+    levels = [{}, {}, {}]
+    for h, b in outcomes:
+        d, s = split(h)
+        for level, key in zip(levels, (h, d, s), strict=True):
+            n, bad = level.get(key, (0, 0))
+            level[key] = (n + (b is not None), bad + (b or 0))
+    n, bad = (sum(v[i] for v in levels[2].values()) for i in (0, 1))
+    parent, out = {k: (bad + 0.2) / (n + 2) for k in levels[2]}, {}
+    for level, up in ((levels[2], lambda k: k), (levels[1], lambda k: k.split(".")[-1]), (levels[0], lambda k: split(k)[0])):
+        mean = {k: parent[up(k)] for k in level}
+        some = [(k, *level[k], mean[k] * (1 - mean[k])) for k in level if level[k][0] and 0 < mean[k] < 1]
+        rest = sum(v * (n - 1) for _, n, _, v in some)
+        rho = (sum(n * (b / n - mean[k]) ** 2 for k, n, b, _ in some) - sum(v for *_, v in some)) / rest if rest else 0
+        m = min(1000.0, max(1.0, 1 / rho - 1)) if rho > 0 else 1000.0
+        parent = {k: (level[k][1] + m * mean[k]) / (level[k][0] + m) for k in level}
+        out = {k: (parent[k], parent[k] - 1.64 * (parent[k] * (1 - parent[k]) / (level[k][0] + m + 1)) ** 0.5) for k in level}
+    return out
+
+
+def test_reputation_against_brute_force(spark):
+    r = random.Random(8)
+    rows = []
+    for d, share in (("bad.com", 0.8), ("good.com", 0.05), ("mid.org", 0.3), ("x.net", 0.1)):
+        for h in range(6):
+            rows += [(f"h{h}.{d}", int(r.random() < share) if r.random() < 0.9 else None) for _ in range(r.randrange(1, 60))]
+    rows.append(("none.bad.com", None))
+    want = brute_posterior(rows)
+    got = hosts.reputations(spark.createDataFrame(rows, "host string, bad int")).collect()
+    assert {x.host: (x.mean, x.bound) for x in got} == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_bad_hosts_are_blocked(spark):
+    good, bad = "<p>" + "some words here " * 30 + "</p>", "<p>few</p>"
+    rows = [(f"http://h{i % 5}.fine.net/p{i}", good) for i in range(100)] + [(f"http://h{i % 5}.spam.net/p{i}", bad if i % 10 else good) for i in range(100)]
+    rows += [("http://h1.spam.net/x", None), ("http://new.spam.net/x", None), ("http://new.fine.net/x", None), (None, bad), ("http://10.0.0.1:80/x", good), ("http://a.spam.net/" + "long/" * 20_000, good)]
+    df = spark.createDataFrame([(i, u, h, "own", "own") for i, (u, h) in enumerate(rows)], "page_id long, url string, html string, bad string, found string")
+    got = {r.page_id: r for r in hosts.judge_pages(df).collect()}
+    assert len(got) == len(rows) and all(r.bad == r.found == "own" for r in got.values())
+    verdict = [got[i].verdict for i in range(len(rows))]
+    assert set(verdict[:100]) == {"allow"} and set(verdict[100:200]) == {"block"}
+    assert [verdict[i] for i in (200, 201, 202, 204, 205)] == ["block", "block", "allow", "allow", "block"] and got[203].host == ""
+    assert got[204].host == "10.0.0.1:80"
+
+
+def test_host_query(spark):
+    got = hosts.op3_host_reputation(spark, SF).collect()
+    urls = {r.page_id: r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    assert sorted(r.page_id for r in got) == sorted(urls)
+    for r in got:
+        host, path, rule, verdict = brute_rule(urls[r.page_id])
+        assert (r.host, r.path, r.rule) == (host, path, rule) and (verdict is None or r.verdict == verdict) and 0 < r.reputation < 1
+
+
 # --- personal data ---
 
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
