@@ -105,15 +105,21 @@ def cuts(length: int, sequence: int = SEQUENCE) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, sequence) for s in range(first, length, sequence)]
 
 
-def _pieces(batches, paths: tuple[str, str | None], sequence: int):
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+def _pieces(batches, paths: tuple[str, str | None], sequence: int, with_ids: bool):
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if with_ids else 5]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
     end = np.array([END_ID], "<u4").tobytes()
     for b in batches:
-        rows = []
+        rows, kept = [], []
         for doc, ids in zip(b.column(0).to_pylist(), _encoder(*paths).encode([x.decode() for x in utf8(b.column(1))]), strict=True):
-            ids = memoryview(ids + end)
-            rows += [(doc, i, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for i, (s, n) in enumerate(cuts(len(ids) // 4, sequence))]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()], strict=True)], names=names)
+            ids += end
+            rows += [(doc, i, s, n, zlib.crc32(memoryview(ids)[4 * s : 4 * (s + n)])) for i, (s, n) in enumerate(cuts(len(ids) // 4, sequence))]
+            kept.append(ids)  # a document's pieces are its ids in order
+        columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=False)]
+        if with_ids:
+            ends = np.cumsum([0] + [r[3] for r in rows]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(kept), "<i4"))))
+        yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def patterns(present: np.ndarray, sequence: int) -> list[tuple[int, ...]]:
@@ -257,15 +263,15 @@ class Slots:
 
 
 def _place(batches, held):
-    """Sequence and offset in place of (before, nth), a piece's rank within its length in two parts."""
+    """Sequence and offset in place of the last two columns, a piece's rank within its length in two parts."""
     for b in batches:
-        length, before, nth = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (3, 5, 6))
+        length, before, nth = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "before", "nth"))
         sequence, offset = held.value.find(length, before + nth)
-        yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset)], names=[*b.schema.names[:5], "sequence_id", "offset"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(sequence), pa.array(offset)], names=[*b.schema.names[:-2], "sequence_id", "offset"])
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None, doc_id: str = "doc_id", text: str = "text", sequence: int = SEQUENCE) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every piece of every row and its place.
+def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None, doc_id: str = "doc_id", text: str = "text", sequence: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every piece of every row and its place; if asked for, its ids too.
 
     A row's ids are the tokenizer's and then id 2; null and empty texts have
     that one. Rows that share an id, null too, are packed each for itself. No
@@ -276,7 +282,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None
 
         tokenizer, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
     base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    pieces = stored(map_texts(base, lambda it: _pieces(it, (tokenizer, ranks), sequence), "doc_id long, piece int, start long, length int, ids_crc32 long"), "pieces")
+    columns = "doc_id long, piece int, start long, length int, ids_crc32 long" + ", ids array<int>" * with_ids
+    pieces = stored(map_texts(base, lambda it: _pieces(it, (tokenizer, ranks), sequence, with_ids), columns), "pieces")
     salts = max(LEAST_SALTS, pieces.count() // RANK_ROWS)
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     sizes = stored(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "rank-groups")
@@ -289,7 +296,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("nth", F.row_number().over(order) - 1)
     ranked = ranked.join(starts, (F.col("length") == F.col("l")) & (F.col("salt") == F.col("s"))).select(*pieces.columns, "before", "nth")
-    return ranked.mapInArrow(lambda it: _place(it, held), "doc_id long, piece int, start long, length int, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(lambda it: _place(it, held), f"{columns}, sequence_id long, offset long")
 
 
 def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
