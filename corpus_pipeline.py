@@ -23,28 +23,42 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly supervised classifier rejects go."""
+    """Documents that the weakly supervised classifier rejects go.
+
+    All columns stay, whatever these are named; null and empty texts are
+    scored like any other, repeated rows alike; no documents give none.
+    """
     return without_toxic(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 or more in word 5-shingles, one stays."""
+    """Of documents linked by a similarity of 0.8 or more in word 5-shingles (SimHash blocks), the one with the smallest id stays.
+
+    Null and empty texts are copies of each other, null ids come last, and of
+    rows that agree in id and text one stays; no documents give none.
+    """
     return without_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut out of the texts."""
+    """Benchmark passages are cut out of the texts; every document stays.
+
+    Null texts stay null (n_chars null too); an empty benchmark changes none.
+    """
     return _measured(remove_benchmark(docs, table(spark, sf_dir, "benchmark", "item_id", "text")))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind."""
+    """Personal data is replaced by its kind; every document stays, null texts null."""
     return _measured(redact(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The texts as tokens in sequences of 1024."""
-    return pack(docs)
+    """The texts as token ids in sequences of 1024: a row a piece, with its ids and its place.
+
+    Null and empty texts have the end token alone; no documents give no pieces.
+    """
+    return pack(docs, with_ids=True)
 
 
 STAGES = [
