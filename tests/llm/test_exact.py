@@ -292,6 +292,20 @@ def test_packing_repeated_ids_and_groups(spark, monkeypatch):
         assert [o for o, _ in sorted(own)] == [0, *np.cumsum([n for _, n in sorted(own)]).tolist()[:-1]] and sum(n for _, n in own) <= 1024
 
 
+def test_packed_ids(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [None, "", "some words", "word " * 3000, "Été"]
+    packed = packing.pack(docs(spark, texts), with_ids=True).collect()
+    by = defaultdict(list)
+    for p in sorted(packed, key=lambda p: p.piece):
+        assert len(p.ids) == p.length and zlib.crc32(np.array(p.ids, "<u4").tobytes()) == p.ids_crc32
+        by[p.doc_id] += p.ids
+    assert [by[i] for i in range(len(texts))] == [tok.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+
+
 def test_packing_query_columns(spark):
     got = packing.op6_pattern_packing(spark, SF)
     assert dict(got.dtypes) == {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint"}
