@@ -32,6 +32,15 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in out])
 
 
+#: Rows of 16 bytes that are broadcast at most; beyond, the join shuffles.
+MOST_BROADCAST = 500_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """A narrow table to join with: broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that the table has not (names compare without case)."""
     have = {c.lower() for c in df.columns}

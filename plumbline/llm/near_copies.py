@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from ..operators.graph import connected_components
 from ..storage import dropped, stored
-from .common import map_texts, unused, utf8
+from .common import bounded, map_texts, unused, utf8
 
 #: Words of a shingle, and the least similarity as a fraction.
 SHINGLE, SEED, LEAST = 5, 42, (4, 5)
@@ -46,8 +46,6 @@ SHINGLE, SEED, LEAST = 5, 42, (4, 5)
 SAMPLE, FREQUENT, MOST_FREQUENT = 8, 25, 1 << 17
 #: Blocks of a set that are joined on first; members of a block that are compared pair by pair at once; turns over larger ones before that.
 FIRST, SMALL, TURNS = 4, 8, 1
-#: Rows of 16 bytes that are broadcast at most; beyond, the join shuffles.
-MOST_BROADCAST = 500_000
 #: Classes whose majorities are taken at a time.
 _CLASSES = 4096
 
@@ -153,11 +151,6 @@ def _whole(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x).tobytes() for x in utf8(b.column(1))], pa.binary())], names=["fp", "whole"])
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """A table to join with: broadcast if it is small enough."""
-    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
-
-
 def _may(a: str, b: str, least: tuple[int, int]) -> Column:
     """Whether the sets na, oa, wa and nb, ob, wb can be similar enough by their sizes and the distances of their parities."""
     p, q = least
@@ -181,7 +174,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: tuple
     near = pairs.distinct().join(_side(known, "a"), "fa").join(_side(known, "b"), "fb").where(_may("a", "b", least))
     pairs = stored(near.select("fa", "fb"), "candidates")
     asked = stored(nodes.select("fp", "own").join(pairs.select(F.col("fa").alias("fp")).unionAll(pairs.select(F.col("fb").alias("fp"))).distinct(), "fp", "left_semi"), "asked")
-    held = texts.select("own", "text").join(_bounded(asked), "own").select("fp", "text")
+    held = texts.select("own", "text").join(bounded(asked), "own").select("fp", "text")
     held = stored(map_texts(held, _whole, "fp long, whole binary").dropDuplicates(["fp"]), "sets")
     of = lambda name: held.select(F.col("fp").alias(f"f{name}"), F.col("whole").alias(f"w{name}"))
 
@@ -285,7 +278,7 @@ def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     keyed = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
 
     def joined(df: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-        return df.join(_bounded(rows), df[f"`{doc_id}`"].eqNullSafe(rows["id"]) & (df[own] == rows["hash"]), how)
+        return df.join(bounded(rows), df[f"`{doc_id}`"].eqNullSafe(rows["id"]) & (df[own] == rows["hash"]), how)
 
     out = joined(keyed, rows.select("id", "hash"), "left_anti")
     repeated = rows.where("not goes").select("id", "hash")

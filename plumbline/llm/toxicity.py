@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import stored
-from .common import map_texts, table, unused, utf8, without
+from .common import bounded, map_texts, table, unused, utf8, without
 
 #: Common insults, a voter for each language.
 LEXICONS = {
@@ -199,8 +199,8 @@ def _sampled(rows: DataFrame, most_rows: int, *key: str) -> DataFrame:
     return rows.limit(most_rows)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = MOST_ROWS, keep_text: bool = False) -> tuple[np.ndarray, DataFrame, str]:
-    """The linear weights, all rows with a column of their features in place of the text or beside it, and that column's name.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = MOST_ROWS) -> tuple[np.ndarray, DataFrame, str]:
+    """The linear weights, all rows with a column of their features in place of the text, and that column's name.
 
     Labels are learned from at most ``most_rows`` labelled ids that are not
     held out: of ids with several labels the greatest counts, null labels and
@@ -218,7 +218,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     voters = Voters(induced)
     held = sc.broadcast(voters)
     features, votes = unused(docs, "features"), unused(docs, "votes")
-    kept = docs if keep_text else docs.drop(text)
+    kept = docs.drop(text)
     base = docs.select(*[F.col(f"`{c}`") for c in kept.columns], F.col(f"`{text}`").cast("string").alias(votes))
     schema = T.StructType([*kept.schema.fields, T.StructField(features, T.ArrayType(T.IntegerType())), T.StructField(votes, T.IntegerType())])
     voted = stored(map_texts(base, lambda it: _vote(it, held, features, votes), schema), "votes")
@@ -261,9 +261,15 @@ def without_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     """The rows whose score is under ``limit``, with their columns as they are, whatever these are named.
 
     Null and empty texts are scored like any other; a null id is no label's.
+    Rows that go are named by id and hash of the text; texts are shuffled only
+    if there are more of them than may be broadcast.
     """
-    out = unused(docs, "score")
-    return _scored(docs, *fit_toxicity(docs, labels, doc_id, text, label, keep_text=True), out).where(F.col(out) < limit).drop(out)
+    own = unused(docs, "own")
+    keyed = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
+    narrow = keyed.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(own).alias("own"))
+    scored = _scored(narrow, *fit_toxicity(narrow, labels.withColumnRenamed(doc_id, "doc_id"), label=label), "score")
+    gone = stored(scored.where(F.col("score") >= limit).select(F.col("doc_id").alias("id"), F.col("own").alias("hash")).distinct(), "toxic")
+    return keyed.join(bounded(gone), keyed[f"`{doc_id}`"].eqNullSafe(gone["id"]) & (keyed[own] == gone["hash"]), "left_anti").drop(own)
 
 
 def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
