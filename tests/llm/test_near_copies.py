@@ -5,6 +5,7 @@ import random
 import corpus_pipeline
 import numpy as np
 import pytest
+from plumbline.llm import common
 from plumbline.llm import near_copies as nc
 
 SF = "/root/testdata/sf0.001"
@@ -32,12 +33,12 @@ def kept(rows):
     return sorted(i for i in root if find(i) == i)
 
 
-@pytest.mark.parametrize("frequent,first,turns,broadcast,small", [(nc.FREQUENT, nc.FIRST, nc.TURNS, nc.MOST_BROADCAST, nc.SMALL), (2, 1, 1, 0, 2), (1, 1, 2, 0, 1)])
+@pytest.mark.parametrize("frequent,first,turns,broadcast,small", [(nc.FREQUENT, nc.FIRST, nc.TURNS, common.MOST_BROADCAST, nc.SMALL), (2, 1, 1, 0, 2), (1, 1, 2, 0, 1)])
 def test_against_all_pairs(spark, monkeypatch, frequent, first, turns, broadcast, small):
     monkeypatch.setattr(nc, "SMALL", small)
     monkeypatch.setattr(nc, "FREQUENT", frequent)
     monkeypatch.setattr(nc, "FIRST", first)
-    monkeypatch.setattr(nc, "MOST_BROADCAST", broadcast)
+    monkeypatch.setattr(common, "MOST_BROADCAST", broadcast)
     monkeypatch.setattr(nc, "TURNS", turns)
     monkeypatch.setattr(nc, "SAMPLE", 1)
     rng = random.Random(3)

@@ -132,6 +132,32 @@ def test_quality_keeps_prose_and_rejects_symbols(spark):
     assert got[9001] and not got[9002] and not got[9003]
 
 
+def test_quality_edges(spark):
+    names = "doc_id long, text string, lang string, n_words string, kept string, __chars string, __text string, tokens string"
+    rows = [(1, "some words of it", "en", "a", "a", "a", "a", "a")] * 2 + [(None, None, None, "a", "a", "a", "a", "a")]
+    out = quality.judge_quality(spark.createDataFrame(rows, names))
+    got = out.collect()
+    assert sorted(r.n_words for r in got) == [0, 4, 4] and all(not r.kept and r.base_failed and r.tokens == "a" for r in got)
+    assert quality.judge_quality(spark.createDataFrame([], names)).count() == 0
+
+
+def test_quality_query(spark):
+    got = {r.doc_id: r for r in quality.op2_divergence(spark, SF).collect()}
+    rows = documents(spark)
+    assert sorted(got) == sorted(i for i, _ in rows)
+    for i, t in rows:
+        x = got[i]
+        assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) == brute_quality(t)
+        assert x.base_failed == (x.n_words < 50 or 100 * x.n_repeat_words > 50 * x.n_words) and not (x.base_failed and x.kept)
+
+
+def test_distance_by_definition():
+    p, q = np.array([[2.0, 1.0, 1.0, 0.0]]), np.array([[0.25, 0.25, 0.0, 0.5]])
+    m = [(a / 4 + b) / 2 for a, b in zip(p[0], q[0], strict=True)]
+    kl = lambda a: sum(x * np.log2(x / y) for x, y in zip(a, m, strict=True) if x)
+    assert quality.distance(p, q)[0, 0] == pytest.approx(((kl(p[0] / 4) + kl(q[0])) / 2) ** 0.5)
+
+
 # --- hosts ---
 
 
