@@ -196,7 +196,15 @@ def _pair(x: str, y: str) -> list[Column]:
 def _mixed(members: DataFrame) -> DataFrame:
     """Of the members (key, fp, c) of blocks, those in blocks that hold several components c, with the block's members m."""
     several = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low < high")
-    return members.select("key", "fp", "c").join(several.select("key", "m"), "key")
+    several = stored(several.select("key", "m"), "mixed")
+    out = stored(members.select("key", "fp", "c").join(bounded(several), "key"), "members")
+    dropped(several)
+    return out
+
+
+def _pairs_with_heads(members: DataFrame, heads: DataFrame, other: str) -> DataFrame:
+    """(fa, fb) of members and their blocks' heads (key, head, ...), where ``other`` tells them apart."""
+    return members.join(bounded(stored(heads, "heads")), "key").where(other).select(*_pair("fp", "head"))
 
 
 def _all_pairs(members: DataFrame, few: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -210,10 +218,10 @@ def _links(nodes: DataFrame, texts: DataFrame, least: tuple[int, int]) -> DataFr
     known = stored(nodes.select("fp", "own", "n", "odd", "wide"), "known")
     first = nodes.select("fp", F.explode(F.slice("keys", 1, FIRST)).alias("key"))
     heads = first.groupBy("key").agg(F.min("fp").alias("head"), F.max("fp").alias("high")).where("head < high").select("key", "head")
-    links = [_verified(first.join(heads, "key").where("fp <> head").select(*_pair("fp", "head")), known, texts, least)]
+    links = [_verified(_pairs_with_heads(first, heads, "fp <> head"), known, texts, least)]
     linked = lambda: connected_components(reduce(DataFrame.unionAll, links))
     marked = lambda df, comps: df.join(comps, df["fp"] == comps["node"], "left").withColumn("c", F.coalesce("component", "fp")).drop("node", "component")
-    rest = stored(_mixed(marked(nodes.select("fp", "keys"), linked()).select("fp", "c", F.explode("keys").alias("key"))), "members")
+    rest = _mixed(marked(nodes.select("fp", "keys"), linked()).select("fp", "c", F.explode("keys").alias("key")))
     dropped(nodes)
     sketch = known.select("fp", "n", "odd", "wide")
     small = stored(rest.where(F.col("m") <= SMALL).join(sketch, "fp"), "small")
@@ -222,10 +230,10 @@ def _links(nodes: DataFrame, texts: DataFrame, least: tuple[int, int]) -> DataFr
     for turn in range(TURNS):
         last, rest = rest, rest.where(F.col("m") > SMALL)
         heads = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)), "fp", "c")).alias("h")).select("key", F.col("h.fp").alias("head"), F.col("h.c").alias("hc"))
-        pairs = rest.join(heads, "key").where("c <> hc").select(*_pair("fp", "head"))
+        pairs = _pairs_with_heads(rest, heads, "c <> hc")
         links.append(_verified(pairs if turn else pairs.unionAll(found), known, texts, least))
         comps = linked()
-        rest = stored(_mixed(marked(rest.drop("c", "m"), comps)), "members")
+        rest = _mixed(marked(rest.drop("c", "m"), comps))
         dropped(last)
         if rest.isEmpty():
             return comps
