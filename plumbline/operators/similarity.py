@@ -61,6 +61,34 @@ def simhash(docs: DataFrame, id_: str = "id", text: str = "text", width: int = 3
     return base.mapInArrow(run, base.select(id_).schema.add("words", T.ArrayType(T.LongType())))
 
 
+def hashed(files: DataFrame, id_: str = "id", content: str = "content", width: int = 3) -> DataFrame:
+    """(id, failed, md5, words) of binary files: digest and fingerprint of their UTF-8 text; one that can't be read has nulls and never stops the job."""
+    base = files.select(F.col(id_), F.col(content).cast("binary").alias("content"))
+
+    def one(data: bytes | None):
+        try:
+            return False, hashlib.md5(data).hexdigest(), fingerprint(data.decode().lower(), width).tolist()
+        except Exception:  # noqa: BLE001  whatever is wrong with a file, it is counted as failed
+            return True, None, None
+
+    def run(batches):
+        for b in batches:
+            found = [one(x.as_py()) for x in b.column(1)]
+            columns = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.bool_(), pa.string(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=[id_, "failed", "md5", "words"])
+
+    return base.mapInArrow(run, base.select(id_).schema.add("failed", "boolean").add("md5", "string").add("words", T.ArrayType(T.LongType())))
+
+
+def readable(hashes: DataFrame) -> DataFrame:
+    return hashes.where("not failed").drop("failed")
+
+
+def hash_counts(hashes: DataFrame) -> DataFrame:
+    """One row: files that were hashed and files that failed."""
+    return hashes.agg(F.count_if(~F.col("failed")).alias("n_hashed"), F.count_if("failed").alias("n_failed"))
+
+
 def band_plan(n_bits: int, threshold: int) -> list[tuple[int, int]]:
     """(shift, width) of threshold + 1 bands over n_bits, as even as can be, the first ones wider, from the low bit."""
     bands = min(threshold + 1, n_bits)
@@ -171,13 +199,14 @@ def pair_counts(prints: DataFrame, labels: DataFrame, n_bits: int, threshold: in
 
 
 def exact_groups(items: DataFrame, id_: str = "id", digest: str = "md5") -> DataFrame:
-    """(md5, ids, n): sorted members of every content that occurs more than once."""
+    """(md5, ids, n): sorted members of every content that occurs more than once (a report: a row holds a whole group; see star_edges)."""
     return items.groupBy(F.col(digest).alias("md5")).agg(F.array_sort(F.collect_list(id_)).alias("ids"), F.count("*").alias("n")).where("n > 1")
 
 
-def star_edges(groups: DataFrame) -> DataFrame:
-    """(a, b): each exact group as a star on its first member."""
-    return groups.select(F.get("ids", F.lit(0)).alias("a"), F.explode(F.slice("ids", 2, F.greatest(F.size("ids") - 1, F.lit(1)))).alias("b"))
+def star_edges(items: DataFrame, id_: str = "id", digest: str = "md5") -> DataFrame:
+    """(a, b): the items of each content as a star on the smallest id; no group is gathered."""
+    first = items.groupBy(digest).agg(F.min(id_).alias("a"))
+    return items.join(first, digest).where(F.col(id_) != F.col("a")).select("a", F.col(id_).alias("b"))
 
 
 def components(items: DataFrame, pairs: DataFrame, id_: str = "id") -> DataFrame:

@@ -14,20 +14,46 @@ from .views import COMPONENTS, DIST, ITEMS, PAIRS, PRINTS, items, load, prints
 BITS, T = sim.PRINT_BITS, 10
 
 
-@query("fingerprints", f"WITH {PRINTS} SELECT id, printf('{'%08x' * 8}', {', '.join(f'h{k}' for k in range(8))}) AS print FROM prints")
+_PRINT = f"printf('{'%08x' * 8}', {', '.join(f'h{k}' for k in range(8))})"
+
+
+def _hex(words):
+    return F.concat(*[F.lower(F.lpad(F.hex(F.get(words, F.lit(i))), 16, "0")) for i in (3, 2, 1, 0)])
+
+
+@query("fingerprints", f"WITH {PRINTS} SELECT id, {_PRINT} AS print FROM prints")
 def fingerprints(spark, sf):
-    word = lambda i: F.lower(F.lpad(F.hex(F.get("words", F.lit(i))), 16, "0"))
-    return prints(spark, sf).select("id", F.concat(*map(word, (3, 2, 1, 0))).alias("print"))
+    return prints(spark, sf).select("id", _hex(F.col("words")).alias("print"))
+
+
+def _files(spark, sf):
+    """Texts as files, of which some are no UTF-8."""
+    bad = F.when(F.col("doc_id") % 97 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))
+    return load(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat(bad, F.encode("text", "UTF-8")).alias("content"))
+
+
+@query("hashed_corpus", f"WITH {PRINTS} SELECT id, md5(text) AS md5, {_PRINT} AS print FROM prints JOIN documents ON id = doc_id WHERE id % 97 <> 0")
+def hashed_corpus(spark, sf):
+    return sim.readable(sim.hashed(_files(spark, sf))).select("id", "md5", _hex(F.col("words")).alias("print"))
+
+
+@query("hash_counts", "SELECT count(*) FILTER (doc_id % 97 <> 0) AS n_hashed, count(*) FILTER (doc_id % 97 = 0) AS n_failed FROM documents")
+def hash_counts(spark, sf):
+    return sim.hash_counts(sim.hashed(_files(spark, sf)))
+
+
+def _contents(spark, sf):
+    return load(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.md5("text").alias("md5"))
 
 
 @query("exact_groups", "SELECT md5(text) AS md5, list(doc_id ORDER BY doc_id) AS ids, count(*) AS n FROM documents GROUP BY md5(text) HAVING count(*) > 1")
 def exact_groups(spark, sf):
-    return sim.exact_groups(load(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.md5("text").alias("md5")))
+    return sim.exact_groups(_contents(spark, sf))
 
 
 @query("star_edges", "WITH g AS (SELECT list(doc_id ORDER BY doc_id) AS ids FROM documents GROUP BY md5(text) HAVING count(*) > 1) SELECT ids[1] AS a, unnest(ids[2:]) AS b FROM g")
 def star_edges(spark, sf):
-    return sim.star_edges(exact_groups(spark, sf))
+    return sim.star_edges(_contents(spark, sf))
 
 
 def _prints(spark, sf):
