@@ -31,7 +31,7 @@ SEQUENCE, END_ID = 1024, 2
 #: Pieces that one rank group should hold; the number of groups per length grows with the pieces.
 RANK_ROWS, LEAST_SALTS = 200_000, 64
 #: Bytes of token units and their ids that a worker keeps, and those that an entry takes beside them.
-MEMO_BYTES, MEMO_ENTRY = 64 << 20, 190
+MEMO_BYTES, MEMO_ENTRY = 32 << 20, 190
 _BREAK, _LOOSE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s | \s|^ | $")
 _SPECIAL = re.compile(r"<\|endoftext\|>")
 #: Units of these code points are the same to both libraries' splitting expressions.
