@@ -10,15 +10,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows and bytes of an Arrow batch of texts; a batch is held whole, so it is kept small for very long texts.
-BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 
 
 def map_texts(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow with batches of few rows, since texts may be very long."""
+    """mapInArrow with batches of few rows, since texts may be very long. A worker gives free memory back when a task ends."""
+
+    def released(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(released, schema)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

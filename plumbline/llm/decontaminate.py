@@ -215,8 +215,11 @@ def _union(a: list[dict], b: list[tuple[int, int]]) -> list[dict]:
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _search(batches, held):
-    """Add a block's findings; the last four columns are the text, n_words, spans and items so far."""
+def _search(batches, held, cut_at: int | None = None):
+    """Add a block's findings; the last four columns are the text, n_words, spans and items so far.
+
+    With ``cut_at``, the last block's: the spans are cut out of that column, and the four go.
+    """
     phrases: Phrases = held.value
     for b in batches:
         texts, spans, items = utf8(b.column(b.num_columns - 4)), b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
@@ -232,23 +235,31 @@ def _search(batches, held):
                     items[i + j] = sorted({*items[i + j], *names})
             n_words += map(len, shard)
             i += len(shard)
-        yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(n_words, pa.int32()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], names=b.schema.names)
+        if cut_at is None:
+            yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(n_words, pa.int32()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], names=b.schema.names)
+        else:
+            yield _cut(b.select(b.schema.names[:-4]), texts, spans, cut_at)
 
 
-def _searched(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, window: int, names: tuple[str, str, str]) -> DataFrame:
-    """All rows and columns with the number of words, the spans and the items as new columns of these names."""
+def _searched(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, window: int, names: tuple[str, str, str], cut: bool = False) -> DataFrame:
+    """All rows and columns with the number of words, the spans and the items as new columns of these names; or without these and with the spans cut out of the text."""
     words, spans, items = names
     body = unused(docs, "text_to_search")
     out = docs.withColumn(body, F.col(f"`{text}`").cast("string"))
     out = out.withColumns({words: F.lit(0), spans: F.expr("cast(array() as array<struct<start:int,end:int>>)"), items: F.expr("cast(array() as array<string>)")})
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
-    last = None
-    for block in _blocks(benchmark, item_id, item_text):
-        if last is not None:  # a further block: what was found so far is written, and its phrases go
+    at = docs.columns.index(text) if cut else None
+    blocks = _blocks(benchmark, item_id, item_text)
+    block = next(blocks)
+    while block is not None:
+        held = docs.sparkSession.sparkContext.broadcast(Phrases(block, window))
+        block = next(blocks, None)
+        if block is None and cut:
+            return map_texts(out, lambda it, held=held: _search(it, held, at), docs.schema)
+        out = map_texts(out, lambda it, held=held: _search(it, held), schema)
+        if block is not None:  # another block follows: what was found so far is written, and its phrases go
             out = stored(out, "searched")
-            last.unpersist()
-        last = docs.sparkSession.sparkContext.broadcast(Phrases(block, window))
-        out = map_texts(out, lambda it, held=last: _search(it, held), schema)
+            held.unpersist()
     return out.drop(body)
 
 
@@ -278,15 +289,13 @@ def cut_spans(data: bytes, spans: list[dict]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def _cut(batches, at: int):
-    """Replace column ``at``; the last is the spans."""
-    for b in batches:
-        spans = b.column(b.num_columns - 1).to_pylist()
-        if any(spans):
-            texts = [cut_spans(x, s).decode() if s else None for x, s in zip(utf8(b.column(at)), spans, strict=True)]
-            new = pc.if_else(pa.array([bool(s) for s in spans]), pa.array(texts, pa.string()), b.column(at))
-            b = pa.RecordBatch.from_arrays([*b.columns[:at], new, *b.columns[at + 1 :]], names=b.schema.names)
-        yield b.select(b.schema.names[:-1])
+def _cut(b: pa.RecordBatch, texts: list[bytes], spans: list, at: int) -> pa.RecordBatch:
+    """The batch with the spans cut out of the texts of column ``at``; other texts stay as they are."""
+    if not any(spans):
+        return b
+    new = pa.array([cut_spans(x, s).decode() if s else None for x, s in zip(texts, spans, strict=True)], pa.string())
+    new = pc.if_else(pa.array([bool(s) for s in spans]), new, b.column(at))
+    return pa.RecordBatch.from_arrays([*b.columns[:at], new, *b.columns[at + 1 :]], names=b.schema.names)
 
 
 def remove_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -297,9 +306,7 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     """
     docs = docs.withColumn(text, F.col(f"`{text}`").cast("string"))
     names = tuple(unused(docs, n) for n in ("n_words", "hit_spans", "hit_items"))
-    found = _searched(docs, benchmark, text, item_id, item_text, window, names).select(*[F.col(f"`{c}`") for c in docs.columns], names[1])
-    at = docs.columns.index(text)
-    return map_texts(found, lambda it: _cut(it, at), T.StructType([T.StructField(f.name, f.dataType) for f in found.schema.fields[:-1]]))
+    return _searched(docs, benchmark, text, item_id, item_text, window, names, cut=True)
 
 
 def hit_words(spans: str | Column = "hit_spans") -> Column:

@@ -18,6 +18,7 @@ import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -49,10 +50,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, ranks: str | None = None):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.memo, self.size, self.fast = Tokenizer.from_file(path), {}, 0, None
+        self.path, self.memo, self.size, self.fast = path, {}, 0, None
         if ranks:
             import public_tokenizers
             import tiktoken
@@ -61,6 +59,14 @@ class Encoder:
                 pairs = (line.split() for line in f)
                 self.fast = tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={}).encode_ordinary
 
+    @cached_property
+    def tokenizer(self):
+        """Loaded when a unit first needs it, as it is large."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         if self.fast is None:
             return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
