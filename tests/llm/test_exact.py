@@ -140,6 +140,16 @@ def test_removal_keeps_clashing_columns(spark):
     assert decontaminate.remove_benchmark(df.limit(0), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_removal_over_several_blocks(spark, monkeypatch):
+    items = ["alpha beta gamma", "delta epsilon", "zeta"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = ["x alpha beta gamma y, delta epsilon: zeta!", "beta gamma", None, "zeta zeta a"]
+    whole = sorted(map(tuple, decontaminate.remove_benchmark(docs(spark, texts), bench).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 12)
+    assert sorted(map(tuple, decontaminate.remove_benchmark(docs(spark, texts), bench).collect())) == whole
+    assert [r[1] for r in whole] == ["x  y, : !", "beta gamma", None, " a"]
+
+
 def test_benchmark_empty_tables(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     df = docs(spark, ["a b", None])
