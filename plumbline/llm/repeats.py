@@ -29,14 +29,17 @@ _SHIFTS = (0, 16, 33)
 _NULL_ID = -(1 << 63)
 _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _FLUSH, _SHIFT = 400_000, 20
+#: Bytes of a word that are tabulated, and words that are hashed at a time.
+LONG, _WORDS = 64, 1 << 16
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, 7)
-        return h
+def _tabulation(places: int) -> np.ndarray:
+    """A 64-bit number for every byte at each of so many places of a word."""
+    at = np.arange(256 * places, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        return _mix(_mix(at * _B + _C, 0xD6E8FEB86659FD93), 0xFF51AFD7ED558CCD)
 
 
 def _mix(x: np.ndarray, c: int) -> np.ndarray:
@@ -68,24 +71,72 @@ def _pow(n: int, at: np.uint64) -> np.uint64:
     return np.uint64(pow(int(at), n, 1 << 64))
 
 
-def windows(words: list[bytes], memo: dict, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every window: its anchor's hash and position, and two hashes of its words (64 and 32 bits)."""
-    n = len(words) - min_words + 1
-    if n <= 0:
-        none = np.zeros(0, np.uint64)
-        return none, none.astype(np.int64), none, none.astype(np.int32)
+_TABLE = _tabulation(LONG)
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text: sums of tabulated numbers of their bytes, or XXH64 for long words."""
+    text = np.frombuffer(data, np.uint8)
+    inside = ~_SPACE[text]
+    none = np.zeros(1, np.int8)
+    edges = np.flatnonzero(np.diff(np.concatenate([none, inside.view(np.int8), none])))
+    starts, ends = edges[::2], edges[1::2]
+    out = np.empty(len(starts), np.uint64)
+    lengths = ends - starts
+    for first in range(0, len(starts), _WORDS):
+        n = np.minimum(lengths[first : first + _WORDS], LONG)
+        offsets = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(offsets, n)
+        own = text[place + np.repeat(starts[first : first + _WORDS], n)]
+        out[first : first + _WORDS] = np.add.reduceat(_TABLE[own.astype(np.int64) * LONG + place], offsets)
+    out = _mix(out, 0x94D049BB133111EB)
+    for i in np.flatnonzero(lengths > LONG).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]], 7)
+    return out
+
+
+def _anchor_grams(words: np.ndarray, min_words: int) -> tuple[np.ndarray, int]:
+    """Hashes of all runs of anchor length, and how many of them a window has."""
+    k = min(ANCHOR_WORDS, min_words)
+    with np.errstate(over="ignore"):
+        return _mix(_grams(words, k), 0x94D049BB133111EB), min_words - k + 1
+
+
+def _least(x: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of every ``width`` consecutive numbers, by doubling."""
+    size = 1
+    while size * 2 <= width:
+        x = np.minimum(x[:-size], x[size:])
+        size *= 2
+    return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if size < width else x
+
+
+def anchor_places(words: np.ndarray, min_words: int = MIN_WORDS) -> np.ndarray:
+    """The anchors of a text's windows, one number an anchor and place: of equal ones in a window the last counts."""
+    if len(words) < min_words:
+        return np.zeros(0, np.uint64)
+    grams, width = _anchor_grams(words, min_words)
+    view = np.lib.stride_tricks.sliding_window_view(grams, width)
+    at = np.empty(len(view), np.int64)
+    for i in range(0, len(view), 200_000):
+        at[i : i + 200_000] = width - 1 - view[i : i + 200_000, ::-1].argmin(axis=1)
+    at += np.arange(len(view))
+    return grams[at[np.flatnonzero(np.diff(at, prepend=-1))]]
+
+
+def window_anchors(words: np.ndarray, min_words: int = MIN_WORDS) -> np.ndarray:
+    """Every window's anchor."""
+    if len(words) < min_words:
+        return np.zeros(0, np.uint64)
+    return _least(*_anchor_grams(words, min_words))
+
+
+def window_hashes(words: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of every window's words (64 and 32 bits)."""
     with np.errstate(over="ignore"):
-        h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-        k = min(ANCHOR_WORDS, min_words)
-        grams = _mix(_grams(h, k), 0x94D049BB133111EB)
-        first = _mix(_grams(h, min_words), 0xD6E8FEB86659FD93)
-        second = (_mix(_grams(_mix(h, 0xFF51AFD7ED558CCD), min_words, _C), 0x94D049BB133111EB) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    view = np.lib.stride_tricks.sliding_window_view(grams, min_words - k + 1)
-    at = np.empty(n, np.int64)
-    for i in range(0, n, 200_000):
-        at[i : i + 200_000] = view.shape[1] - 1 - view[i : i + 200_000, ::-1].argmin(axis=1)
-    at += np.arange(n)
-    return grams[at], at, first, second
+        first = _mix(_grams(words, min_words), 0xD6E8FEB86659FD93)
+        second = (_mix(_grams(_mix(words, 0xFF51AFD7ED558CCD), min_words, _C), 0x94D049BB133111EB) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return first, second
 
 
 class SeedFilter:
@@ -107,7 +158,7 @@ class SeedFilter:
 
 def _anchors(batches, min_words: int):
     """(anchor, times) per group of batches."""
-    memo, held, size = _Hashes(), [], 0
+    held, size = [], 0
 
     def out():
         a, times = np.unique(np.concatenate(held), return_counts=True)
@@ -115,14 +166,12 @@ def _anchors(batches, min_words: int):
 
     for b in batches:
         for data in utf8(b.column(0)):
-            anchor, at, _, _ = windows(data.split(), memo, min_words)
-            if len(at):
-                held.append(anchor[np.flatnonzero(np.diff(at, prepend=-1))])
-                size += len(held[-1])
+            held.append(anchor_places(word_hashes(data), min_words))
+            size += len(held[-1])
             if size > _FLUSH:
                 yield out()
                 held, size = [], 0
-    if held:
+    if size:
         yield out()
 
 
@@ -145,14 +194,14 @@ def _both(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 def _seeded(batches, min_words: int, held):
     """(first, second, doc) of the distinct windows on a seed, per document."""
-    memo, seeds = _Hashes(), held.value
-    names = ["first", "second", "doc"]
+    seeds, names = held.value, ["first", "second", "doc"]
     for b in batches:
         cols = ([], [], [])
         for doc, data in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
-            anchor, _, first, second = windows(data.split(), memo, min_words)
-            on = np.flatnonzero(seeds.holds(anchor))
+            words = word_hashes(data)
+            on = np.flatnonzero(seeds.holds(window_anchors(words, min_words)))
             if len(on):
+                first, second = window_hashes(words, min_words)
                 _, own = np.unique(_both(first[on], second[on]), return_index=True)
                 cols[0].append(first[on][own].view(np.int64))
                 cols[1].append(second[on][own])
@@ -169,18 +218,18 @@ def merged(covered: np.ndarray) -> list[tuple[int, int]]:
 
 def _cut(batches, min_words: int, held):
     """Spans and kept text of each document, given the windows that it has first."""
-    memo, seeds = _Hashes(), held.value
+    seeds = held.value
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for b in batches:
         texts, firsts = utf8(b.column(b.num_columns - 2)), b.column(b.num_columns - 1)
         n_words, spans, kept = [], [], []
         for i, data in enumerate(texts):
             words = data.split()
-            anchor, _, first, second = windows(words, memo, min_words)
-            name = _both(first, second)
-            later = seeds.holds(anchor)
+            hashes = word_hashes(data)
+            later = seeds.holds(window_anchors(hashes, min_words))
             on = np.flatnonzero(later)
             if len(on):
+                name = _both(*window_hashes(hashes, min_words))
                 _, own = np.unique(name[on], return_index=True)
                 earliest = on[own]
                 mine = firsts[i].values
