@@ -31,8 +31,8 @@ from .common import map_texts, table, utf8
 SEQUENCE, END_ID = 1024, 2
 #: Pieces that one rank group should hold; the number of groups per length grows with the pieces.
 RANK_ROWS, LEAST_SALTS = 200_000, 64
-#: Bytes of token units and their ids that a worker keeps, and those that an entry takes beside them.
-MEMO_BYTES, MEMO_ENTRY = 32 << 20, 190
+#: Bytes of token units and their ids that a worker keeps unless told otherwise, and those that an entry takes beside them.
+MEMO_BYTES, MEMO_ENTRY = 160 << 20, 190
 _BREAK, _LOOSE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s | \s|^ | $")
 _SPECIAL = re.compile(r"<\|endoftext\|>")
 #: Units of these code points are the same to both libraries' splitting expressions.
@@ -49,8 +49,9 @@ class Encoder:
     ranks. Texts with the special token go whole through the tokenizer.
     """
 
-    def __init__(self, path: str, ranks: str | None = None):
+    def __init__(self, path: str, ranks: str | None = None, memo_bytes: int | None = None):
         self.path, self.memo, self.size, self.fast = path, {}, 0, None
+        self.most = MEMO_BYTES if memo_bytes is None else memo_bytes
         if ranks:
             import public_tokenizers
             import tiktoken
@@ -83,7 +84,7 @@ class Encoder:
                 continue
             parts = _BREAK.split(t) if _LOOSE.search(t) else t.split(" ")
             units.append([parts[0], *[" " + p for p in parts[1:]]])
-        if self.size > MEMO_BYTES:  # what the present batch adds is bounded by its texts
+        if self.size > self.most:  # what the present batch adds is bounded by its texts
             self.memo.clear()
             self.size = 0
         new = list({u for us in units if us for u in us if u not in self.memo})
@@ -99,10 +100,11 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def _encoder(*paths: str | None) -> Encoder:
-    if paths not in _ENCODERS:
-        _ENCODERS[paths] = Encoder(*paths)
-    return _ENCODERS[paths]
+def _encoder(*settings) -> Encoder:
+    if settings not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[settings] = Encoder(*settings)
+    return _ENCODERS[settings]
 
 
 def cuts(length: int, sequence: int = SEQUENCE) -> list[tuple[int, int]]:
@@ -111,13 +113,13 @@ def cuts(length: int, sequence: int = SEQUENCE) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, sequence) for s in range(first, length, sequence)]
 
 
-def _pieces(batches, paths: tuple[str, str | None], sequence: int, with_ids: bool):
+def _pieces(batches, settings: tuple, sequence: int, with_ids: bool):
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if with_ids else 5]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
     end = np.array([END_ID], "<u4").tobytes()
     for b in batches:
         rows, kept = [], []
-        for doc, ids in zip(b.column(0).to_pylist(), _encoder(*paths).encode([x.decode() for x in utf8(b.column(1))]), strict=True):
+        for doc, ids in zip(b.column(0).to_pylist(), _encoder(*settings).encode([x.decode() for x in utf8(b.column(1))]), strict=True):
             ids += end
             rows += [(doc, i, s, n, zlib.crc32(memoryview(ids)[4 * s : 4 * (s + n)])) for i, (s, n) in enumerate(cuts(len(ids) // 4, sequence))]
             kept.append(ids)  # a document's pieces are its ids in order
@@ -276,12 +278,13 @@ def _place(batches, held):
         yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(sequence), pa.array(offset)], names=[*b.schema.names[:-2], "sequence_id", "offset"])
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None, doc_id: str = "doc_id", text: str = "text", sequence: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None, doc_id: str = "doc_id", text: str = "text", sequence: int = SEQUENCE, with_ids: bool = False, memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every piece of every row and its place; if asked for, its ids too.
 
     A row's ids are the tokenizer's and then id 2; null and empty texts have
     that one. Rows that share an id, null too, are packed each for itself. No
-    rows give no pieces. Other columns are not read.
+    rows give no pieces. Other columns are not read. ``memo_bytes`` bounds what
+    a worker keeps of encoded units and changes no result.
     """
     if tokenizer is None:
         import public_tokenizers
@@ -289,7 +292,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None
         tokenizer, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
     base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     columns = "doc_id long, piece int, start long, length int, ids_crc32 long" + ", ids array<int>" * with_ids
-    pieces = stored(map_texts(base, lambda it: _pieces(it, (tokenizer, ranks), sequence, with_ids), columns), "pieces")
+    pieces = stored(map_texts(base, lambda it: _pieces(it, (tokenizer, ranks, memo_bytes), sequence, with_ids), columns), "pieces")
     salts = max(LEAST_SALTS, pieces.count() // RANK_ROWS)
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     sizes = stored(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "rank-groups")
