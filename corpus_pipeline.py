@@ -58,7 +58,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have the end token alone; no documents give no pieces.
     """
-    return pack(docs, with_ids=True)
+    return pack(docs, with_ids=True, memo_bytes=32 << 20)  # the stage's shuffle of ids needs the memory
 
 
 STAGES = [
