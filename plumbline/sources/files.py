@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import stem_and_suffix
-from ..model import IMAGE_EXTENSIONS, MANIFEST, SUBMISSION, SplitConfig
+from ..model import IMAGE_EXTENSIONS, MANIFEST, SPLITS, SUBMISSION, SplitConfig
 from ..operators.profile import split_type
 
 
@@ -138,9 +138,11 @@ def results(spark: SparkSession, pattern: str, schema: str | T.StructType) -> Da
 
 
 def save_splits(splits: DataFrame, path: str, manifest: dict | None = None) -> None:
-    """Parquet by split, a CSV of all rows, and the manifest."""
+    """Parquet by split, a CSV of all rows and one of each split, and the manifest."""
     splits.write.mode("overwrite").partitionBy("split").parquet(f"{path}/splits.parquet")
     splits.write.mode("overwrite").option("header", True).csv(f"{path}/all.csv")
+    for name in SPLITS:
+        splits.where(F.col("split") == name).write.mode("overwrite").option("header", True).csv(f"{path}/{name}.csv")
     save_json(splits.sparkSession, manifest or {}, f"{path}/manifest.json")
 
 
