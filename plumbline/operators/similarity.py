@@ -151,7 +151,7 @@ def close_prints(distinct: DataFrame, n_bits: int, threshold: int, words: str =
     largest = shared.agg(F.max("m")).first()[0] or 0
     if largest > cap:
         raise ValueError(f"a bucket has {largest} fingerprints, over the cap of {cap}: use more bits")
-    members = stored(keyed.join(shared.select("key"), "key"), "members")
+    members = stored(keyed.join(shared.select("key"), "key", "left_semi"), "members")  # the exploded side can't be broadcast
     left, right = (members.select("key", F.col("w").alias(n)) for n in ("wa", "wb"))
     dist = hamming(F.col("wa"), F.col("wb"))
     return left.join(right, "key").where("wa < wb").where(dist <= threshold).select("wa", "wb").distinct().withColumn("dist", dist)
@@ -249,14 +249,16 @@ def nearest_within(queries: DataFrame, rows: DataFrame, n_bits: int, limit: int,
 
     Equal fingerprints are joined first (kind "exact"); the other queries meet
     fingerprints within ``limit`` bits on pairs of bands (kind "near"). Of
-    equally near rows the smallest id counts. Every row is searched.
+    equally near rows the smallest id counts. Every row is searched. Both sides
+    of that join are shuffled: sizes are estimated without the rows that
+    exploding makes, so one that is taken for small would fill the driver.
     """
     q = queries.select(F.col(id_).alias("id"), F.col(words).alias("wq"))
     r = stored(rows.groupBy(F.col(words).alias("wr")).agg(F.min(id_).alias("first")), "rows")
     exact = q.join(r, F.col("wq") == F.col("wr")).select("id", F.lit("exact").alias("kind"), F.lit(0).alias("dist"), F.col("first").alias("nearest"))
     other = q.join(r, F.col("wq") == F.col("wr"), "left_anti")
     keyed = lambda df, w: _with_pair_keys(df, w, n_bits, limit)
-    met = keyed(other, "wq").join(keyed(r, "wr"), "key").withColumn("dist", hamming(F.col("wq"), F.col("wr"))).where(F.col("dist") <= limit)
+    met = keyed(other, "wq").hint("merge").join(keyed(r, "wr"), "key").withColumn("dist", hamming(F.col("wq"), F.col("wr"))).where(F.col("dist") <= limit)
     near = met.groupBy("id").agg(F.min(F.struct("dist", F.col("first").alias("nearest"))).alias("m"))
     return exact.unionAll(near.select("id", F.lit("near").alias("kind"), "m.dist", "m.nearest"))
 
