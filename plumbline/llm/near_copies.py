@@ -19,10 +19,13 @@ Candidates are verified by the Hamming distance of parities (whether the number
 of a set's hashes with given low bits is odd: 512 of them, and for larger sets
 also as many as the power of two that holds them), which never exceeds the
 shingles that two sets don't share, and then by the sets themselves. Equal
-sets are one node. On the first blocks of each set, and in some turns on large
-blocks, members are compared with one of them and linked; members of small
-blocks, and those of large ones that are then still in other components, with
-each other, the Hamming distance as a condition of the join.
+sets are one node. On the first blocks of each set, then in turns on all blocks
+whose members are in several components, members are compared with one of them
+and linked. Turns go on while the pairs that remain are many and a tenth less
+members are in other components than before. Then those are compared with each
+other, a pair once a block, the Hamming distance as a condition of the join. So
+a large group of near copies is linked by stars as far as they reach, before
+any block's pairs are listed.
 """
 
 from __future__ import annotations
@@ -44,8 +47,10 @@ from .common import bounded, map_texts, unused, utf8
 SHINGLE, SEED, LEAST = 5, 42, (4, 5)
 #: Order of the blocks only: one text in this many is sampled, and the blocks of this many of them or more, at most so many, come last.
 SAMPLE, FREQUENT, MOST_FREQUENT = 8, 25, 1 << 17
-#: Blocks of a set that are joined on first; members of a block that are compared pair by pair at once; turns over larger ones before that.
+#: Blocks of a set that are joined on first; members of a block that are compared pair by pair after one turn; turns over larger ones at least.
 FIRST, SMALL, TURNS = 4, 8, 1
+#: Pairs that are listed without further turns: so many, or so many a member of a block.
+LISTED, LISTED_EACH = 100_000, 2
 #: Classes whose majorities are taken at a time.
 _CLASSES = 4096
 
@@ -208,9 +213,13 @@ def _pairs_with_heads(members: DataFrame, heads: DataFrame, other: str) -> DataF
 
 
 def _all_pairs(members: DataFrame, few: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """(fa, fb) of the pairs of few with members (key, fp, c, n, odd, wide) of their blocks, in other components, that may be similar."""
-    x, y = (_side(df, name, "key", F.col("c").alias(f"c{name}")) for df, name in ((few, "x"), (members, "y")))
-    return x.join(y, "key").where(F.col("cx") != F.col("cy")).where(_may("x", "y", least)).select(*_pair("fx", "fy"))
+    """(fa, fb) of the pairs of few with members (key, fp, c, rare, n, odd, wide) of their blocks, in other components, that may be similar.
+
+    Few are the rare members; a pair of two such is met once.
+    """
+    x, y = (_side(df, name, "key", F.col("c").alias(f"c{name}"), F.col("rare").alias(f"r{name}")) for df, name in ((few, "x"), (members, "y")))
+    once = ~F.col("ry") | (F.col("fx") < F.col("fy"))
+    return x.join(y, "key").where((F.col("cx") != F.col("cy")) & once).where(_may("x", "y", least)).select(*_pair("fx", "fy"))
 
 
 def _links(nodes: DataFrame, texts: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -224,23 +233,29 @@ def _links(nodes: DataFrame, texts: DataFrame, least: tuple[int, int]) -> DataFr
     rest = _mixed(marked(nodes.select("fp", "keys"), linked()).select("fp", "c", F.explode("keys").alias("key")))
     dropped(nodes)
     sketch = known.select("fp", "n", "odd", "wide")
-    small = stored(rest.where(F.col("m") <= SMALL).join(sketch, "fp"), "small")
-    found = stored(_all_pairs(small, small, least).distinct(), "found")
-    dropped(small)
-    for turn in range(TURNS):
-        last, rest = rest, rest.where(F.col("m") > SMALL)
-        heads = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)), "fp", "c")).alias("h")).select("key", F.col("h.fp").alias("head"), F.col("h.c").alias("hc"))
-        pairs = _pairs_with_heads(rest, heads, "c <> hc")
-        links.append(_verified(pairs if turn else pairs.unionAll(found), known, texts, least))
+    turn, before = 0, None
+    while True:
+        last, some = rest, rest.where(F.col("m") > SMALL) if turn else rest
+        heads = some.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)), "fp", "c")).alias("h")).select("key", F.col("h.fp").alias("head"), F.col("h.c").alias("hc"))
+        links.append(_verified(_pairs_with_heads(some, heads, "c <> hc"), known, texts, least))
         comps = linked()
         rest = _mixed(marked(rest.drop("c", "m"), comps))
         dropped(last)
-        if rest.isEmpty():
+        # Of two components in a block one is not its largest: only members of such a one are compared with all.
+        each = rest.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key")
+        most = stored(each.agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("rare")), "most")
+        left = most.agg(F.sum("rare").alias("rare"), F.sum("all").alias("all"), F.sum(F.col("rare").cast("double") * F.col("all")).alias("pairs")).first()
+        if not left["rare"]:
+            dropped(rest, most)
             return comps
-    # Of two components in a block one is not its largest: only members of such a one are compared with all.
-    most = rest.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("most"))
-    rest = stored(rest.join(sketch, "fp"), "members")
-    found = stored(_all_pairs(rest, rest.join(most, "key").where("c <> most"), least).distinct(), "found")
+        turn += 1
+        if turn >= TURNS and (left["pairs"] <= max(LISTED, LISTED_EACH * left["all"]) or before and 10 * left["rare"] > 9 * before):
+            break
+        before = left["rare"]
+        dropped(most)
+    last, rest = rest, stored(rest.join(most.select("key", "most"), "key").withColumn("rare", F.col("c") != F.col("most")).drop("m", "most").join(sketch, "fp"), "members")
+    dropped(last, most)
+    found = stored(_all_pairs(rest, rest.where("rare"), least).distinct(), "found")
     links.append(_verified(found, known, texts, least))
     dropped(rest, found)
     return linked()
